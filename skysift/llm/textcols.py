@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as arrays at a time; a longer document is a slice of its own.
-SLICE = 8 << 20
+SLICE = 2 << 20
 DROP, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
@@ -71,7 +71,7 @@ def runs(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.nda
         at, cls = None, classes[data]
     else:
         at = np.flatnonzero((data & 0xC0) != 0x80)
-        lead = data[at].astype(np.int64)
+        lead = data[at].astype(np.int32)
         wide = np.append(data, np.zeros(3, np.uint8))
         cp = lead.copy()
         for size, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
@@ -111,7 +111,7 @@ def encoded(s: np.ndarray, e: np.ndarray, packed: np.ndarray) -> tuple[list[str]
 class Lexicon:
     """Numbers for words, made once for each distinct word and kept for the next batches. The store only saves time: it is emptied when full."""
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000):
         self.make, self.limit, self.index, self.rows = make, limit, {}, None
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -173,7 +173,7 @@ class Encoder:
         self.flat, self.off = np.zeros(1 << 20, np.uint32), [0]
 
     def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > 500_000:
+        if len(self.index) > 250_000:
             self.index, self.off = {}, [0]
         get = self.index.get
         at = [get(w, -1) for w in words]
