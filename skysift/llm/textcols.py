@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as arrays at a time; a longer document is a slice of its own.
-SLICE = 2 << 20
+SLICE = 4 << 20
 DROP, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
