@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions import vectors as V
+from skysift.session import checkpointed
 
 SCALE = 100.0
 #: The side that is sent to all executors has at most so many rows; a larger one is left to the planner.
@@ -25,12 +26,12 @@ def similarity(texts: DataFrame, patches: DataFrame, scale: float = SCALE, norma
     t = texts.select("question_id", "pos", (V.unit(F.col("vec")) if normalise_texts else V.doubles(F.col("vec"))).alias("tv"))
     p = patches.select(*[c for c in ("question_id", "patch_idx") if c in patches.columns], V.unit(F.col("vec")).alias("pv"))
     pairs = p.join(small(t), "question_id") if "question_id" in p.columns else p.crossJoin(small(t))
-    logits = pairs.select("question_id", "pos", "patch_idx", (V.dot(F.col("tv"), F.col("pv")) * scale).alias("logit"))
+    # no logit is above scale x |text|, so this bound serves for the largest one: one pass less
+    logit = V.dot(F.col("tv"), F.col("pv")) * scale - V.norm(F.col("tv")) * scale
     by = ["question_id", "pos"]
-    top = logits.groupBy(*by).agg(F.max("logit").alias("m"))
-    mass = logits.join(small(top), by).select(*by, "patch_idx", F.exp(F.col("logit") - F.col("m")).alias("e"))
+    mass = pairs.select(*by, "patch_idx", F.exp(logit).alias("e"))
     total = mass.groupBy(*by).agg(F.sum("e").alias("t"))
-    return mass.join(small(total), by).select(*by, "patch_idx", (F.col("e") / F.col("t")).alias("prob"))
+    return mass.join(total, by).select(*by, "patch_idx", (F.col("e") / F.col("t")).alias("prob"))
 
 
 def top_k(sims: DataFrame, k: int) -> DataFrame:
@@ -97,7 +98,7 @@ def clusters(points: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
     while True:
         heard = near.join(state.withColumnsRenamed({"id": "id2", "cluster": "m"}), [*by, "id2"]).groupBy(*by, "id").agg(F.min("m").alias("m"))
         after = state.join(heard, [*by, "id"]).select(*by, "id", F.col("cluster").alias("old"), F.least("cluster", "m").alias("cluster"))
-        after = after.checkpoint()
+        after = checkpointed(after)
         state = after.drop("old")
         if after.where("old != cluster").isEmpty():
             break
