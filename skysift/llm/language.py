@@ -199,7 +199,7 @@ def label(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
     """docs' columns `keep` with lang_pred, score (the mean posterior of lang_pred), n_words, and switches (places where the label changes)."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(field.emissions, 150_000)
+        lexicon = Lexicon(field.emissions)
         for b in batches:
             for i, j, words, idx, first in words_of(b.column(b.num_columns - 1)):
                 pred, score, count, switches = np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.diff(first), np.zeros(j - i, np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import sys
 import unicodedata
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as arrays at a time; a longer document is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 DROP, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
@@ -53,6 +55,13 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Gives freed memory back: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(arr: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, or of one row."""
     _, off = raw(arr)
@@ -61,6 +70,7 @@ def slices(arr: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = j
+    trim()
 
 
 def runs(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +121,7 @@ def encoded(s: np.ndarray, e: np.ndarray, packed: np.ndarray) -> tuple[list[str]
 class Lexicon:
     """Numbers for words, made once for each distinct word and kept for the next batches. The store only saves time: it is emptied when full."""
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 100_000):
         self.make, self.limit, self.index, self.rows = make, limit, {}, None
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -170,10 +180,10 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path_of(file))
         self.index: dict[str, int] = {}
-        self.flat, self.off = np.zeros(1 << 20, np.uint32), [0]
+        self.flat, self.off = np.zeros(1 << 18, np.uint32), [0]
 
     def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > 250_000:
+        if len(self.index) > 120_000:
             self.index, self.off = {}, [0]
         get = self.index.get
         at = [get(w, -1) for w in words]
