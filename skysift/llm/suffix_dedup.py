@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.llm.near_duplicates import groups
-from skysift.llm.shared import by_row, row_tag, stored, table
+from skysift.llm.shared import by_row, drop_stored, row_tag, stored, table
 from skysift.llm.textcols import gather, raw, slices
 
 SPAN, LEAD = 50, 24
@@ -178,7 +178,8 @@ def splitters(docs: DataFrame, count: int, ranges: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, found: DataFrame, bits: int, parts: int, bounds: np.ndarray) -> DataFrame:
-    """(range, lead, doc_id, __t, at, left, before, after) of the anchors whose numbers were reported for their document."""
+    """(range, around, doc_id, __t, place) of the anchors whose numbers were reported for their document. around: SPAN bytes from the
+    anchor on, then the REACH bytes before it; place: the anchor's place << 16, how many of the latter << 8 and of the former are the document's."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         now, ready = None, None
@@ -216,22 +217,19 @@ def suffixes(docs: DataFrame, found: DataFrame, bits: int, parts: int, bounds: n
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.searchsorted(bounds, lead_of(data, at), "right").astype(np.int32)),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(LEAD), len(at), [None, pa.py_buffer(np.ascontiguousarray(around[:, REACH : REACH + LEAD]))]).cast(pa.binary()),
+                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(REACH + SPAN), len(at), [None, pa.py_buffer(np.ascontiguousarray(np.roll(around, -REACH, 1)))]).cast(pa.binary()),
                             ids.take(at_row),
                             tags.take(at_row),
-                            pa.array(at - off[row]),
-                            pa.array((begin << 8 | end).astype(np.int32)),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(REACH), len(at), [None, pa.py_buffer(np.ascontiguousarray(around[:, :REACH]))]).cast(pa.binary()),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(SPAN - LEAD), len(at), [None, pa.py_buffer(np.ascontiguousarray(around[:, REACH + LEAD :]))]).cast(pa.binary()),
+                            pa.array((at - off[row]) << 16 | begin << 8 | end),
                         ],
-                        names=["range", "lead", "doc_id", "__t", "at", "sizes", "before", "after"],
+                        names=["range", "around", "doc_id", "__t", "place"],
                     )
 
     own_part = part_of(docs.select("doc_id", "__t", "text"), parts)
     rows = own_part.select("part", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", "__t", "text")
     blobs = found.select("part", F.lit(0).alias("kind"), "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("__t"), F.lit(None).cast("string").alias("text"))
     dealt = blobs.unionByName(rows).repartition("part").sortWithinPartitions("part", "kind", "doc_id")
-    return dealt.mapInArrow(cut, "range int, lead binary, doc_id long, __t long, at long, sizes int, before binary, after binary")
+    return dealt.mapInArrow(cut, "range int, around binary, doc_id long, __t long, place long")
 
 
 def part_of(docs: DataFrame, parts: int) -> DataFrame:
@@ -308,12 +306,12 @@ def repeats(suffix: DataFrame) -> DataFrame:
                 continue
             held.append(b)
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            lead = whole.column(1)
-            last = lead[whole.num_rows - 1].as_py()
+            around = whole.column(1)
+            last = around[whole.num_rows - 1].as_py()[:LEAD]
             lo, hi = 0, whole.num_rows  # where the last group begins
             while lo < hi:
                 mid = (lo + hi) // 2
-                if (whole.column(0)[mid].as_py(), lead[mid].as_py()) < (whole.column(0)[whole.num_rows - 1].as_py(), last):
+                if (whole.column(0)[mid].as_py(), around[mid].as_py()[:LEAD]) < (whole.column(0)[whole.num_rows - 1].as_py(), last):
                     lo = mid + 1
                 else:
                     hi = mid
@@ -326,15 +324,17 @@ def repeats(suffix: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in many(batches):
             n = b.num_rows
-            lead, before, after = (raw(b.column(k))[0].reshape(n, -1) for k in (1, 6, 7))
-            group = np.concatenate([[0], np.cumsum((lead[1:] != lead[:-1]).any(1))])
-            sizes = b.column(5).to_numpy()
-            doc, at = b.column(2).to_numpy(), b.column(4).to_numpy()
-            r, lo, hi = covered(group, doc, before[:, ::-1], np.concatenate([lead, after], 1), sizes >> 8, sizes & 0xFF)
+            around = raw(b.column(1))[0].reshape(n, -1)
+            group = np.concatenate([[0], np.cumsum((around[1:, :LEAD] != around[:-1, :LEAD]).any(1))])
+            order = np.lexsort((b.column(2).to_numpy(), group))
+            b, around, group = b.take(pa.array(order)), around[order], group[order]
+            doc, place = b.column(2).to_numpy(), b.column(4).to_numpy()
+            at = place >> 16
+            r, lo, hi = covered(group, doc, around[:, SPAN:][:, ::-1], around[:, :SPAN], place >> 8 & 0xFF, place & 0xFF)
             at_row = pa.array(r)
             yield pa.RecordBatch.from_arrays([b.column(2).take(at_row), b.column(3).take(at_row), pa.array(at[r] - hi), pa.array(at[r] - lo + SPAN)], names=["doc_id", "__t", "s", "e"])
 
-    dealt = suffix.repartition("range").sortWithinPartitions("range", "lead", "doc_id")
+    dealt = suffix.repartition("range").sortWithinPartitions("range", "around")
     return dealt.mapInArrow(compare, "doc_id long, __t long, s long, e long")
 
 
@@ -351,7 +351,8 @@ def removal(docs: DataFrame) -> DataFrame:
     parts = max(16, int(size // (16 << 20)))
     ranges = max(64, int(size // (1 << 20)))
     first = stored(anchor_numbers(rows, bits, parts), "anchors")
-    found = first.where("kind = 1").select("part", "blob").unionByName(shared_numbers(first.where("kind = 0").select("part", "blob"), parts).select("part", "blob"))
+    found = stored(first.where("kind = 1").select("part", "blob").unionByName(shared_numbers(first.where("kind = 0").select("part", "blob"), parts).select("part", "blob")), "reports")
+    drop_stored(first)
     spans = repeats(suffixes(rows, found, bits, parts, splitters(rows, total.n, ranges)))
     lists = spans.groupBy("doc_id", "__t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     joined = by_row(rows, lists, "left")
