@@ -360,15 +360,14 @@ def removal(docs: DataFrame) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            spans = b.column(2)
+            cells, count = b.column(2).flatten(), b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            begins, ends, upto = cells.field(0).to_numpy(), cells.field(1).to_numpy(), np.cumsum(count)
             for i, text in enumerate(b.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8)
                 edge = np.zeros(len(data) + 1, np.int32)
-                own = spans[i].as_py()
-                if own:
-                    se = np.array([(x["s"], x["e"]) for x in own], np.int64)
-                    np.add.at(edge, se[:, 0], 1)
-                    np.add.at(edge, se[:, 1], -1)
+                own = slice(upto[i] - count[i], upto[i])
+                np.add.at(edge, begins[own], 1)
+                np.add.at(edge, ends[own], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = data[~gone].tobytes()
                 runs = int(gone[:1].sum() + (np.diff(gone.astype(np.int8)) == 1).sum())
