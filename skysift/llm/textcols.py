@@ -111,11 +111,17 @@ def encoded(s: np.ndarray, e: np.ndarray, packed: np.ndarray) -> tuple[list[str]
     """The distinct words, and the index of each word among them. packed: the words' bytes, one after the other."""
     if not len(s):
         return [], np.zeros(0, np.int64)
+    words, idx = dictionary(s, e, packed)
+    return words.to_pylist(), idx
+
+
+def dictionary(s: np.ndarray, e: np.ndarray, packed: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """As encoded(), with the words as a column."""
     off = np.zeros(len(s) + 1, np.int64)
     np.cumsum(e - s, out=off[1:])
     arr = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(off), pa.py_buffer(packed))
     d = pc.dictionary_encode(arr)
-    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
 
 
 class Lexicon:
@@ -174,34 +180,50 @@ class Encoder:
     """
 
     WHOLE = r"<\||'(?:s|t|re|ve|m|ll|d)|İ"
+    #: Words that are encoded as one text, and words that are remembered; both only save time.
+    LINE, LIMIT = 500, 400_000
 
     def __init__(self, file: str = "word_bpe_49k.json"):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path_of(file))
-        self.index: dict[str, int] = {}
-        self.flat, self.off = np.zeros(1 << 18, np.uint32), [0]
-
-    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > 120_000:
-            self.index, self.off = {}, [0]
-        get = self.index.get
-        at = [get(w, -1) for w in words]
-        new = [w for w, i in zip(words, at, strict=True) if i < 0]
-        if new:
-            n, ids = len(self.index), [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((y for x in ids for y in x), np.uint32, int(size.sum()))
-            end = self.off[-1]
-            if end + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[:end], np.zeros(max(len(self.flat), len(flat)), np.uint32)])
-            self.flat[end : end + len(flat)] = flat
-            self.off += (end + np.cumsum(size)).tolist()
-            self.index.update(zip(new, range(n, n + len(new)), strict=True))
-            at = [self.index[w] for w in words]
-        off = np.asarray(self.off, np.int64)
-        at = np.asarray(at, np.int64)
-        return off[at], off[at + 1] - off[at]
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.off = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and the end of each word's. Words go to the library in lines; a line with other ends than its words have is encoded word by word."""
+        lines = [words[k : k + self.LINE] for k in range(0, len(words), self.LINE)]
+        ids, ends, at = [], [], 0
+        for line, got in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            own = np.asarray(got.ids, np.uint32)
+            end = np.flatnonzero(self.last[own]) + 1
+            if len(end) != len(line) or end[-1] != len(own):
+                each = [e.ids for e in self.tok.encode_batch_fast(line, add_special_tokens=False)]
+                own, end = np.asarray([y for x in each for y in x], np.uint32), np.cumsum([len(x) for x in each])
+            ids.append(own)
+            ends.append(end + at)
+            at += len(own)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.flat the ids of each of the distinct words begin, and how many they are."""
+        if len(self.words) > self.LIMIT:
+            self._forget()
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = words.take(pa.array(fresh))
+            ids, ends = self._encode(new.to_pylist())
+            at[fresh] = len(self.words) + np.arange(len(fresh))
+            self.words = pa.concat_arrays([self.words, new])
+            self.off = np.concatenate([self.off, self.off[-1] + ends])
+            self.flat = np.concatenate([self.flat, ids])
+        return self.off[at], self.off[at + 1] - self.off[at]
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For slices of rows: first row, end, all ids, and the offset of each row's ids."""
@@ -216,8 +238,8 @@ class Encoder:
                 low = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), low)
             data, off = raw(low)
             s, e, first, packed = runs(data, off, unicode_classes())
-            words, idx = encoded(s, e, packed)
-            if words:
+            if len(s):
+                words, idx = dictionary(s, e, packed)
                 start, size = self._word_ids(words)
                 start, size = start[idx], size[idx]
                 ids = self.flat[gather(start, size)]
