@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import os
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -181,9 +182,10 @@ class Encoder:
 
     WHOLE = r"<\||'(?:s|t|re|ve|m|ll|d)|İ"
     #: Words that are encoded as one text, and words that are remembered; both only save time.
-    LINE, LIMIT = 500, 400_000
+    LINE, LIMIT = 500, 200_000
 
     def __init__(self, file: str = "word_bpe_49k.json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread of the library memory of its own
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path_of(file))
@@ -199,8 +201,8 @@ class Encoder:
         """All ids of the words, and the end of each word's. Words go to the library in lines; a line with other ends than its words have is encoded word by word."""
         lines = [words[k : k + self.LINE] for k in range(0, len(words), self.LINE)]
         ids, ends, at = [], [], 0
-        for line, got in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            own = np.asarray(got.ids, np.uint32)
+        for line in lines:  # one at a time: what the library keeps of a text is many times its ids
+            own = np.asarray(self.tok.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.uint32)
             end = np.flatnonzero(self.last[own]) + 1
             if len(end) != len(line) or end[-1] != len(own):
                 each = [e.ids for e in self.tok.encode_batch_fast(line, add_special_tokens=False)]
@@ -228,7 +230,7 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For slices of rows: first row, end, all ids, and the offset of each row's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE // 2):
             part = texts.slice(i, j - i)
             low = pc.utf8_lower(pa.array([t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in part.to_pylist()], pa.large_string()))
             odd = np.flatnonzero((pc.match_substring_regex(low, self.WHOLE).to_numpy(zero_copy_only=False)) | (pc.match_substring(part, "İ").to_numpy(zero_copy_only=False)))
