@@ -48,6 +48,8 @@ FIRST = {
 }
 SYLLABLES = {"LATIN": "ba be bo da do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa po ra re ro sa se ta te to va ve vo".split(), "CYRILLIC": "ба бе бо да до га го ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то ва ве во".split()}
 
+NAMES = ("man", "woman", "surname")
+
 
 def luhn(digits: str) -> int:
     """0 if the last digit is the check digit of the others."""
@@ -135,13 +137,13 @@ def surrogate(key: bytes, kind: str, c: str, attempt: int) -> str:
         hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", c))
         return "".join(like(x, below, hexadecimal) for x in c)
     script = script_of(c[0])
+    syllables = lambda n: "".join(SYLLABLES[script][below(len(SYLLABLES[script]))] for _ in range(n)).capitalize()
     if kind in ("man", "woman") and (kind, script) in FIRST:
         names = FIRST[kind, script]
-        return names[below(len(names))] + ("" if not attempt else "-" + names[below(len(names))])
+        return names[below(len(names))] + ("" if not attempt else "-" + syllables(2 + below(2) + attempt // 4))
     if kind == "surname" and script in SYLLABLES:
-        parts = SYLLABLES[script]
-        return "".join(parts[below(len(parts))] for _ in range(3 + below(2) + attempt // 4)).capitalize()
-    return "".join(like(x, below) for x in c)
+        return syllables(3 + below(2) + attempt // 4)
+    return "".join(like(x, below) for x in (c + c[-1] * (attempt // 4) if kind in NAMES else c))
 
 
 def dress(value: str, bare: str) -> str:
@@ -220,14 +222,18 @@ def drawn(pairs: DataFrame, key: bytes) -> DataFrame:
 
 
 def redrawn(distinct: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """(kind, canonical, attempt) of the entities whose first surrogate met another's, or an entity of the corpus. First names are
-    not held apart: few serve many, and surnames tell people apart."""
-    distinct = distinct.where(~F.col("kind").isin("man", "woman"))
+    """(kind, canonical, attempt) of the entities whose first surrogate met another's, or an entity of the corpus. Given names are
+    held apart across genders, and no part of a name becomes a part of any name of the corpus."""
+    group = F.when(F.col("kind").isin("man", "woman"), "given").otherwise(F.col("kind"))  # within it no two surrogates may meet
+    realm = F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind"))  # within it no surrogate may be real
+    entity = F.struct("attempt", "canonical", "kind")
+    there = distinct.select(realm.alias("realm"), F.col("canonical").alias("surrogate")).distinct()
     state = stored(drawn(distinct.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(rounds):
-        lowest = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canonical")).alias("first")).where("n > 1")
-        twice = state.join(lowest, ["kind", "surrogate"]).where(F.struct("attempt", "canonical") != F.col("first")).select("kind", "canonical")
-        real = state.join(distinct.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canonical")
+        named = state.withColumns({"group": group, "realm": realm})
+        lowest = named.groupBy("group", "surrogate").agg(F.count("*").alias("n"), F.min(entity).alias("first")).where("n > 1")
+        twice = named.join(lowest, ["group", "surrogate"]).where(entity != F.col("first")).select("kind", "canonical")
+        real = named.join(there, ["realm", "surrogate"], "left_semi").select("kind", "canonical")
         bad = stored(twice.union(real).distinct(), "collisions")
         if bad.isEmpty():
             break

@@ -1,6 +1,7 @@
 """Edge cases, brute force and round trips on small fixtures."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -161,6 +162,18 @@ def test_surrogates(docs, spark):
     assert surrogates.pseudonymise(docs).count() == len(ROWS)
 
 
+def test_given_names_stay_distinct(spark):
+    given = ["".join(x).capitalize() for x in itertools.product(("an", "ber", "cor"), ("da", "fi", "lo"), ("n", "s", "t", "x"))] + surrogates.FIRST["man", "LATIN"]
+    russian = [x + y for x in surrogates.FIRST["woman", "CYRILLIC"] for y in ("", "на")]
+    rows = [(k, f"Mr. {g} Smith") for k, g in enumerate(given)] + [(100 + k, f"Mrs. {g} Smith") for k, g in enumerate(russian)] + [(200 + k, f"Frau {g} Smith") for k, g in enumerate(given[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = surrogates.pseudonymise(docs).collect()
+    names = [r.text.split(" ", 1)[1] for r in found]
+    assert len(set(names)) == len(rows)  # whole names
+    assert len({n.split(" ")[1] for n in names}) == 1  # one surname
+    assert not {w for n in names for w in n.split(" ")} & {*given, *russian, "Smith"}
+
+
 def test_language_and_quality(spark, docs, empty):
     words = {"en": "the and with this that from", "de": "der und mit dieser nicht auch"}
     rng = np.random.default_rng(2)
