@@ -3,8 +3,10 @@
 Detected entities are brought to a canonical form (letters' case and punctuation aside), so that all mentions of one
 entity, in any document and format, get one replacement. The replacement follows from a secret key: digits become
 digits, letters letters of their script and case, cards keep their check digit, addresses stay addresses, names keep
-their gender and script. Distinct entities must stay distinct: replacements that meet, or that are themselves entities of
-the corpus, are drawn again for all but one of them until none meet.
+their gender and script. Names are found after a title (see PATTERNS), as written; where a document has such a name, its
+other whole-word mentions of the name or of parts of it are replaced too. Distinct entities must stay distinct:
+replacements that meet, or that are themselves entities of the corpus, are drawn again for all but one of them until none
+meet.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ SYLLABLES = {"LATIN": "ba be bo da do fa fe ga go ha ka ke ko la le lo ma me mo
 
 NAMES = ("man", "woman", "surname")
 
+Mention = tuple[int, int, str, list[tuple[str, str]]]  # start, end, kind, entities (see canon)
+
 
 def luhn(digits: str) -> int:
     """0 if the last digit is the check digit of the others."""
@@ -152,8 +156,32 @@ def dress(value: str, bare: str) -> str:
     return "".join(next(chars, "") if x.isalnum() else x for x in value) + "".join(chars)
 
 
-def mentions(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what is found, in order and without overlaps."""
+def untitled(text: str, titled: list[tuple[int, int, str]], gaps: list[tuple[int, int]]) -> list[Mention]:
+    """Whole-word mentions within gaps, without a title, of the names that have one in titled, and of their parts."""
+    whole: dict[str, Mention] = {}
+    given: dict[str, tuple[str, str]] = {}
+    last: dict[str, tuple[str, str]] = {}
+    for s, e, kind in titled:
+        parts = canon(kind, text[s:e])
+        whole.setdefault(text[s:e], (0, 0, kind, parts))
+        last.setdefault(parts[-1][1], (kind, parts[-1][0]))
+        for k, p in parts[:-1]:
+            given.setdefault(p, (kind, k))
+    word = "|".join(map(re.escape, sorted({*given, *last}, key=lambda x: (-len(x), x))))
+    out = []
+    pattern = re.compile(rf"(?<!\w)(?:{word})(?!\w)(?: (?:{word})(?!\w))*")
+    for m in (m for s, e in gaps for m in pattern.finditer(text, s, e)):
+        if m[0] in whole:
+            out.append((*m.span(), *whole[m[0]][2:]))
+            continue
+        words = m[0].split(" ")
+        roles = [(last.get(w) if i == len(words) - 1 else None) or given.get(w) or last[w] for i, w in enumerate(words)]
+        out.append((*m.span(), roles[0][0], [(k, w) for (_, k), w in zip(roles, words, strict=True)]))
+    return out
+
+
+def mentions(text: str) -> list[Mention]:
+    """(start, end, kind, entities) of what is found, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
     near: list[list[int]] = []
     for m in DIGITS.finditer(text):
@@ -169,21 +197,26 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         elif any(x in (low if kind == "secret" else text) for x in hold):
             found += [(*m.span(group), kind) for m in pattern.finditer(text)]
     if not found:
-        return found
+        return []
+    found = [(s, e - 2 if kind in NAMES and text[e - 2 : e] in ("'s", "’s") else e, kind) for s, e, kind in found]
     rank = {k: i for i, (k, _, _) in reversed(list(enumerate(PATTERNS)))}
     taken: list[tuple[int, int, str]] = []
     for s, e, kind in sorted(found, key=lambda x: (rank[x[2]], x[0])):
         if all(e <= a or b <= s for a, b, _ in taken):
             taken.append((s, e, kind))
-    return sorted(taken)
+    out = [(s, e, kind, canon(kind, text[s:e])) for s, e, kind in taken]
+    if titled := sorted(x for x in taken if x[2] in NAMES):
+        taken.sort()
+        out += untitled(text, titled, list(zip([0, *(e for _, e, _ in taken)], [*(s for s, _, _ in taken), len(text)], strict=True)))
+    return sorted(out, key=lambda x: x[:2])
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[tuple[int, int, str]]]:
+def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[Mention]]:
     """The text with surrogates, and what was found in it. attempts: of the entities that were drawn again."""
     found, out, at = mentions(text), [], 0
-    for s, e, kind in found:
+    for s, e, kind, named in found:
         value = text[s:e]
-        parts = [(k, c, surrogate(key, k, c, attempts.get((k, c), 0))) for k, c in canon(kind, value)]
+        parts = [(k, c, surrogate(key, k, c, attempts.get((k, c), 0))) for k, c in named]
         if kind == "email":
             new = parts[0][2].rpartition("@")[0] + "@" + parts[1][2]
             new = "".join(y.upper() if x.isupper() else y for x, y in zip(value, new, strict=False)) if len(new) == len(value) else new
@@ -203,7 +236,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sorted({(i, *x) for i, t in enumerate(b.column(2).to_pylist()) for s, e, kind in mentions(t) for x in canon(kind, t[s:e])})
+            rows = sorted({(i, *x) for i, t in enumerate(b.column(2).to_pylist()) for *_, named in mentions(t) for x in named})
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "__t", "kind", "canonical"])
 
@@ -268,7 +301,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 new, got = replaced(t or "", key, {(x["kind"], x["canonical"]): x["attempt"] for x in a or []})
                 text.append(None if t is None else new)
                 count.append(len(got))
-                kinds.append(sorted({k for _, _, k in got}))
+                kinds.append(sorted({k for _, _, k, _ in got}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(count, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_entities", "kinds"])
 
     return ready.select("doc_id", "text", "__a").mapInArrow(apply, "doc_id long, text string, n_entities long, kinds array<string>")

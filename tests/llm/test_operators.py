@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -174,6 +175,19 @@ def test_given_names_stay_distinct(spark):
     assert not {w for n in names for w in n.split(" ")} & {*given, *russian, "Smith"}
 
 
+def test_names_without_title_in_the_same_document(spark):
+    text = "Smith came. Mrs. Anna Smith's car: Anna Smith (Smith, SMITHSON, Smithson) said Anna's e-mail is smith@a.org; Mr. Paul Smith and Ms. Smith. Paul, Smith-led"
+    docs = spark.createDataFrame([(1, text), (2, "Smith and Anna")], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    new = got[1].text
+    car, said, mail = (re.search(x, new) for x in (r"Mrs\. (\S+) (\w+)'s car", r"car: (\S+) (\w+) \((\w+), SMITHSON, Smithson\) said (\S+)'s e-mail", r"Mr\. (\S+) (\w+) and Ms\. (\w+)\. (\S+), (\w+)-led"))
+    assert car.groups() == said.groups()[:2] and said[3] == car[2] and said[4] == car[1]
+    assert {new.split(" ")[0], car[2], mail[2], mail[3], mail[5]} == {car[2]} and mail[1] == mail[4] != car[1]
+    assert not re.search(r"\b(?:Smith|Anna|Paul)\b", new)
+    assert got[1].n_entities == 10 and got[1].kinds == ["email", "man", "woman"]
+    assert got[2].text == "Smith and Anna"  # no title in this document
+
+
 def test_language_and_quality(spark, docs, empty):
     words = {"en": "the and with this that from", "de": "der und mit dieser nicht auch"}
     rng = np.random.default_rng(2)
