@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element begins a new line. A line weighs as many characters as it has outside
-links; lines in elements that never hold the article (navigation, footers, forms, asides, adverts, notices, comments)
-and, where a page marks its article, lines outside it weigh nothing. The block at line i sums the weights of lines i to
-i + WINDOW - 1. Text begins where the sums surge above a threshold and ends where they dive to nothing; lines without
-weight between a surge and its dive are left out. If several stretches surge, those of at least PART of the weightiest
-stay.
+Markup is stripped so that each block element begins a new line. Lines in elements that never hold the article
+(navigation, footers, forms, asides, adverts, notices, comments) are set aside. Where a page marks its article, every other
+line in it is text, whatever its length. On other pages a line weighs as many characters as it has outside links, and
+nothing if most of it is links; the block at line i sums the weights of lines i to i + WINDOW - 1. A stretch runs from a
+line with weight to where the sums dive to nothing. Text begins with the first stretch in which the sums surge above a
+threshold and ends with the last: short stretches between belong to it, lines that are mostly links where they stand within
+a stretch.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skysift.llm.shared import table
 
-WINDOW, SURGE, PART = 3, 40, 0.25
+WINDOW, SURGE = 3, 40
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("head noscript template svg math object iframe audio video canvas select button datalist".split())
 VERBATIM = frozenset("script style textarea title xmp noembed noframes".split())
@@ -119,28 +120,30 @@ def main_text(page: str | None) -> str:
     rows, marked = lines(page or "")
     if marked and not any(plain and not aside and inside for _, plain, aside, inside in rows):
         marked = False
-    # in a marked article links are part of the sentences
-    weight = [0 if aside or marked and not inside or not marked and LEGAL.match(text) else len(text) if marked else plain if 2 * plain >= len(text) else 0 for text, plain, aside, inside in rows]
+    if marked:
+        return " ".join(text for text, _, aside, inside in rows if inside and not aside)
+    left = [(text, plain) for text, plain, aside, _ in rows if not aside and not LEGAL.match(text)]
+    weight = [plain if 2 * plain >= len(text) else 0 for text, plain in left]
     n = len(weight)
     total = [0]
     for w in weight:
         total.append(total[-1] + w)
     block = [total[min(i + WINDOW, n)] - total[i] for i in range(n)]
     threshold = min(SURGE, max(block, default=0))
-    found, i = [], 0
+    found, i = [], 0  # stretches: first line, end, whether they surge
     while i < n:
-        if block[i] >= threshold > 0 and weight[i]:  # surge
-            j = i
-            while j < n and block[j]:  # until the dive
-                j += 1
-            found.append((i, j))
-            i = j
-        else:
+        if not weight[i]:
             i += 1
-    if not found:
+            continue
+        j = i
+        while j < n and block[j]:  # until the dive
+            j += 1
+        found.append((i, j, any(weight[k] and block[k] >= threshold for k in range(i, j))))
+        i = j
+    surges = [k for k, x in enumerate(found) if x[2]]
+    if not surges:
         return ""
-    most = max(total[j] - total[i] for i, j in found)
-    return " ".join(rows[k][0] for i, j in found if marked or total[j] - total[i] >= PART * most for k in range(i, j) if weight[k])
+    return " ".join(left[k][0] for i, j, _ in found[surges[0] : surges[-1] + 1] for k in range(i, j))
 
 
 def extract(pages: DataFrame) -> DataFrame:

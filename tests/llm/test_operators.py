@@ -153,6 +153,25 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<p>hi", "<<")] == ["", "", "hi", "<<"]
 
 
+def test_html_keeps_all_of_a_marked_article():
+    long = "A long paragraph about the storm that reached the coast in the night."
+    share, advert = "<ul class=share><li>Tweet<li>Mail<li>Post</ul>", "<div class=advert><p>Buy<p>this<p>now</div>"
+    page = f"<nav>Menu</nav><article><h1>Storm hits coast</h1>{share}<p>{long}</p>{advert}<p>The end.</p></article><footer>me</footer>"
+    assert html_text.main_text(page) == f"Storm hits coast {long} The end."
+    assert html_text.main_text("<main><p>Hi</p><p><a href=x>See all of it</a></p></main>") == "Hi See all of it"
+
+
+def test_html_keeps_short_stretches_on_unmarked_pages():
+    long = " ".join(f"Sentence {k} about the storm that reached the coast in the night." for k in range(10))
+    links = "".join(f"<p><a href=x>Link number {k}</a></p>" for k in range(3))
+    some = "A section that is short but long enough to surge."
+    page = f"<div>{links}</div><p>{long}</p>{links}<p>Short.</p>{links}<p>{some}</p><p><a href=x>The storm of 1999</a></p><p>Done.</p>{links}"
+    assert html_text.main_text(page) == f"{long} Short. {some} The storm of 1999 Done."
+    aside = "<aside><p>a<p>b<p>c</aside>"
+    assert html_text.main_text(f"<h1>Storm</h1><p><a href=x>one</a><p><a href=x>two</a><p>{long}") == f"Storm one two {long}"
+    assert html_text.main_text(f"<h1>Storm</h1>{aside}<p>{long}</p>{aside}<p>End.</p>") == f"Storm {long} End."
+
+
 def test_surrogates(docs, spark):
     text = "Mrs. Anna Smith, a.b@mail.example.com, card 4863730426282943; Mr. Smith again, +1 (656) 555-6510"
     rows = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()
