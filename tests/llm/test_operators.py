@@ -68,6 +68,23 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.join(empty).count() == 0
 
 
+def test_links_between_texts_agree_with_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [[f"{c}{w}" for w in rng.integers(0, 500, 60)] for c in "abc"]
+    texts = []
+    for words in base:
+        for k in range(4):  # near copies, each written in up to four ways
+            own = words[:-k] + [f"z{k}"] * k if k else words
+            texts += [" ".join(own), " ".join(own).upper(), ", ".join(own) + "!", "  ".join(own)][: k + 1]
+    texts += [texts[0], texts[0], None, None, "", "?!"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (re.findall(r"\w+", (x or "").lower()) for x in texts)]
+    alike = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+    expect = {k: len({texts[j] for j in range(len(texts)) if texts[j] != texts[k] and alike(sets[k], sets[j])}) for k in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_text_links for r in near_duplicates.join(docs).collect()}
+    assert got == expect and max(expect.values()) > 4
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     kept = 0
