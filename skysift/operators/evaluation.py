@@ -56,33 +56,55 @@ def best_rows(results: DataFrame, metric: str) -> DataFrame:
 
 
 def key_phrases(docs: DataFrame, top: int = 10, keep: int = 5, diversity: float = 0.7, sizes: tuple[int, ...] = (2, 3, 4), dim: int = 256) -> DataFrame:
-    """(doc_id, phrases): n-grams chosen by maximal marginal relevance to their document, of which the first `keep` stay."""
+    """(doc_id, phrases): n-grams chosen by maximal marginal relevance to their document, of which the first `keep` stay.
+
+    An n-gram and a text are counts of their words' hashed slots, compared by cosine. Only slots are held for each n-gram, not
+    its vector, so a text takes memory in proportion to its words; products are of whole numbers, so ties are exact and the first
+    n-gram wins them."""
     import re
     import zlib
 
     import numpy as np
     import pyarrow as pa
 
-    def vector(words: list[str]) -> np.ndarray:
-        v = np.bincount([zlib.crc32(w.encode()) % dim for w in words], minlength=dim).astype(float)
-        return v / max(np.linalg.norm(v), 1e-12)
-
     def choose(text: str) -> list[str]:
         words = re.findall(r"[^\W\d_]+", text.lower())
-        grams = list(dict.fromkeys(" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)))
-        if not grams:
+        first: dict[str, tuple[int, int]] = {}  # where each n-gram begins, and its words
+        for n in sizes:
+            for i in range(len(words) - n + 1):
+                first.setdefault(" ".join(words[i : i + n]), (i, n))
+        if not first:
             return []
-        rel = np.zeros(len(grams))
-        doc = vector(words)
-        mat = np.stack([vector(g.split(" ")) for g in grams])
-        rel = mat @ doc
+        grams = list(first)
+        slot = {w: zlib.crc32(w.encode()) % dim for w in set(words)}
+        own = np.fromiter((slot[w] for w in words), np.int64, len(words))
+        at, size = np.array(list(first.values()), np.int64).T
+        # the slots of each n-gram's words; the slot `dim` counts nothing
+        slots = np.stack([np.where(k < size, own[np.minimum(at + k, len(words) - 1)], dim) for k in range(max(sizes))], axis=1)
+        square = size.copy()
+        for j in range(slots.shape[1]):
+            for i in range(j):
+                square += 2 * ((slots[:, i] == slots[:, j]) & (j < size))
+        norm = np.sqrt(square)
+
+        def cosine(counts: np.ndarray) -> np.ndarray:
+            """Of all n-grams with the text of these counts."""
+            padded, total = np.append(counts, 0), np.zeros(len(grams), np.int64)
+            for i in range(slots.shape[1]):
+                total += padded[slots[:, i]]
+            return total / (norm * np.sqrt((counts**2).sum()))
+
+        def to(k: int) -> np.ndarray:
+            return cosine(np.bincount(slots[k], minlength=dim + 1)[:dim])
+
+        rel = cosine(np.bincount(own, minlength=dim))
         out = [int(rel.argmax())]
-        near = mat @ mat[out[0]]
+        near = to(out[0])
         while len(out) < min(top, len(grams)):
             score = (1 - diversity) * rel - diversity * near
             score[out] = -np.inf
             out.append(int(score.argmax()))
-            near = np.maximum(near, mat @ mat[out[-1]])
+            near = np.maximum(near, to(out[-1]))
         return [grams[k] for k in out[:keep]]
 
     def run(batches):

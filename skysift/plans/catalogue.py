@@ -554,7 +554,7 @@ def q36_union_all_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q37_mmr_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    return E.key_phrases(S.table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return E.key_phrases(S.table(spark, d, "documents"))
 
 
 def hashed(text: Column, dim: int = 16) -> Column:
