@@ -62,3 +62,13 @@ def by_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """left joined with right's other columns on doc_id (null equals null) and the row tag __t."""
     right = right.withColumnsRenamed({"doc_id": "__d2", "__t": "__t2"})
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("__d2")) & (F.col("__t") == F.col("__t2")), how).drop("__d2", "__t2")
+
+
+def without(docs: DataFrame, tag: Column, judged: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of docs that are kept by judged (doc_id, __t, kept), with all their columns whatever their names. tag says __t of a row;
+    of kept rows that repeat doc_id and tag one stays if once."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), tag.alias("__t"))
+    left = by_row(rows, judged.where(~F.col("kept")).select("doc_id", "__t").distinct(), "left_anti")
+    if once and not judged.where("kept").groupBy("doc_id", "__t").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__t"])
+    return left.select("__row.*")

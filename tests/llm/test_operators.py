@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 
 from skysift.llm import decontamination, exact_dedup, html_text, language, near_duplicates, packing, quality, suffix_dedup, surrogates, textcols, token_store
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __h string"
 LONG = " ".join(f"w{i % 997} x{i}" for i in range(4000))
 ROWS = [
@@ -63,26 +65,97 @@ def test_near_duplicates(docs, empty):
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(ROWS)
     assert got[5].class_id == 6 and got[5].n_links == 1 and not got[5].kept
-    assert got[3].class_id == 4 and got[3].n_links == 0  # one set of shingles
+    assert got[3].class_id == got[3].rep_id == 4 and got[3].n_links == 0  # one set of shingles
+    assert (got[5].links, got[6].links) in (([6], []), ([], [5])) and got[6].n_links == 1
     assert got[1].kept and got[7].kept
     assert near_duplicates.join(empty).count() == 0
 
 
-def test_links_between_texts_agree_with_brute_force(spark):
+def shingle_sets(texts):
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))) for w in (re.findall(r"\w+", (x or "").lower()) for x in texts)]
+
+
+def linked_pairs(sets):
+    """All pairs of rows whose sets have a Jaccard similarity of 0.8, by the shingles they share."""
+    holders = {}
+    for k, own in enumerate(sets):
+        for g in own:
+            holders.setdefault(g, []).append(k)
+    near = {(i, j) for rows in holders.values() if len(rows) < 400 for i, j in itertools.combinations(rows, 2)}
+    return {(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def classes(n, pairs):
+    forest = near_duplicates.Forest(n)
+    for i, j in pairs:
+        forest.needs(i, j)
+    groups = {}
+    for k in range(n):
+        groups.setdefault(forest.root(k), []).append(k)
+    return {k: max(g) for g in groups.values() for k in g}
+
+
+def agrees(rows, texts):
+    """Classes are those of all pairs, and the listed pairs are linked and connect the representatives."""
+    sets, got = shingle_sets(texts), {r.doc_id: r for r in rows}
+    true = linked_pairs(sets)
+    expect = classes(len(texts), true)
+    assert [f"{i}-{j}" for i, j in true if got[i].class_id != got[j].class_id] == []  # every lost link named
+    assert {k: r.class_id for k, r in got.items()} == expect
+    listed = [(r.rep_id, other) for r in rows for other in r.links]
+    assert len(set(map(frozenset, listed))) == len(listed) and all((min(x), max(x)) in true for x in listed)
+    same = [(r.doc_id, r.rep_id) for r in rows]
+    assert classes(len(texts), listed + same) == expect
+    assert sum(r.kept for r in rows) == len(set(expect.values()))
+    return len(listed)
+
+
+def near_copies(n, seed=5):
+    rng = np.random.default_rng(seed)
+    base = [f"a{w}" for w in rng.integers(0, 9999, 120)]
+    out = []
+    for _ in range(n):  # each with up to three words of its own: some pairs are linked, some are not
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 4)):
+            own[at] = f"z{rng.integers(0, 1 << 30)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_classes_agree_with_brute_force(spark):
     rng = np.random.default_rng(5)
-    base = [[f"{c}{w}" for w in rng.integers(0, 500, 60)] for c in "abc"]
     texts = []
-    for words in base:
+    for c in "abc":
+        words = [f"{c}{w}" for w in rng.integers(0, 500, 60)]
         for k in range(4):  # near copies, each written in up to four ways
             own = words[:-k] + [f"z{k}"] * k if k else words
             texts += [" ".join(own), " ".join(own).upper(), ", ".join(own) + "!", "  ".join(own)][: k + 1]
-    texts += [texts[0], texts[0], None, None, "", "?!"]
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (re.findall(r"\w+", (x or "").lower()) for x in texts)]
-    alike = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
-    expect = {k: len({texts[j] for j in range(len(texts)) if texts[j] != texts[k] and alike(sets[k], sets[j])}) for k in range(len(texts))}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.n_text_links for r in near_duplicates.join(docs).collect()}
-    assert got == expect and max(expect.values()) > 4
+    texts += [*near_copies(60), texts[0], texts[0], None, None, "", "?!"]
+    agrees(near_duplicates.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), texts)
+
+
+def test_links_grow_with_the_group(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 32)
+    found = []
+    for n in (200, 400):
+        texts = near_copies(n)
+        found.append(agrees(near_duplicates.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), texts))
+    assert found[1] <= 2 * found[0] + 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are needed")
+def test_classes_agree_with_all_pairs_of_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(docs)
+    table = spark.createDataFrame([(k, docs[i]) for k, i in enumerate(ids)], "doc_id long, text string")
+    agrees(near_duplicates.join(table).collect(), [docs[i] for i in ids])
+
+
+def test_repeated_ids_leave_one_near_copy(spark):
+    a = near_copies(1)[0]
+    b = a + " tail"
+    rows = near_duplicates.join(spark.createDataFrame([(1, a), (1, b), (1, b), (None, a)], "doc_id long, text string")).collect()
+    assert len({r["__t"] for r in rows if r.kept}) == 1 and all(r.doc_id == 1 for r in rows if r.kept) and {r.class_id for r in rows} == {1}
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
