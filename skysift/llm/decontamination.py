@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm.shared import ascii_lower, by_row, row_tag, small, stored, table
+from skysift.llm.shared import ascii_lower, by_row, row_tag, small, stored, table, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 LENGTH, K = 10, 5
 
 
@@ -21,20 +22,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def with_fingerprints(df: DataFrame, length: int, k: int, keep: list[str]) -> DataFrame:
-    """df's columns `keep` and __f: the fingerprint of the window that begins at each word of __words (empty if there are fewer words than length)."""
-    span = length - k + 1
+def with_fingerprints(df: DataFrame, sizes: list[int], k: int, keep: list[str]) -> DataFrame:
+    """df's columns `keep` and, for each n of sizes, __f<n>: the fingerprint of the window of n words that begins at each word of __words
+    (empty if there are fewer words)."""
     hashed = df.select(*keep, F.transform("__words", lambda x: F.xxhash64(x)).alias("__h"))
-    grams = hashed.select(
-        *keep,
-        F.when(F.size("__h") >= length, F.transform(F.sequence(F.lit(0), F.size("__h") - k), lambda i: F.xxhash64(*[F.get("__h", i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>")).alias("__g"),
-    )
-    if span == 1:
-        return grams.withColumnRenamed("__g", "__f")
-    return grams.select(
-        *keep,
-        F.when(F.size("__g") > 0, F.transform(F.sequence(F.lit(0), F.size("__g") - span), lambda i: F.least(*[F.get("__g", i + j) for j in range(span)]))).otherwise(F.array().cast("array<bigint>")).alias("__f"),
-    )
+    none = F.array().cast("array<bigint>")
+
+    def grams(of: int) -> Column:
+        at = F.sequence(F.lit(0), F.size("__h") - of)
+        return F.when(F.size("__h") >= of, F.transform(at, lambda i: F.xxhash64(*[F.get("__h", i + j) for j in range(of)]))).otherwise(none)
+
+    def least(n: int) -> Column:
+        of = min(k, n)
+        g, span = F.col(f"__g{of}"), n - of + 1
+        if span == 1:
+            return g
+        return F.when(F.size(g) >= span, F.transform(F.sequence(F.lit(0), F.size(g) - span), lambda i: F.least(*[F.get(g, i + j) for j in range(span)]))).otherwise(none)
+
+    held = hashed.select(*keep, *[grams(of).alias(f"__g{of}") for of in sorted({min(k, n) for n in sizes})])
+    return held.select(*keep, *[least(n).alias(f"__f{n}") for n in sizes])
 
 
 def windows(bench: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -44,44 +50,42 @@ def windows(bench: DataFrame, length: int = LENGTH) -> DataFrame:
     return items.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", F.slice("w", i + 1, F.least(F.size("w"), F.lit(length)))))).alias("gram")).distinct()
 
 
-def occurrences(docs: DataFrame, wins: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, __t, start, n, gram): where windows of n words occur. docs has doc_id, __t, text; wins has gram."""
-    prints = with_fingerprints(wins.select("gram").distinct().select(F.split("gram", " ").alias("__words")), n, k, []).select(F.explode("__f").alias("f")).distinct()
-    prints, grams = small(prints), small(wins.select("gram").distinct())
-    found = (
-        with_fingerprints(docs.select("doc_id", "__t", words(F.col("text")).alias("__words")), n, k, ["doc_id", "__t"])
-        .select("doc_id", "__t", F.explode(F.array_distinct("__f")).alias("f"))
-        .join(prints, "f")
-        .groupBy("doc_id", "__t")
-        .agg(F.collect_set("f").alias("__hits"))
-    )
-    suspects = by_row(docs, found).select("doc_id", "__t", "__hits", words(F.col("text")).alias("__words"))
-    starts = with_fingerprints(suspects, n, k, ["doc_id", "__t", "__hits", "__words"]).select(
-        "doc_id", "__t", "__words", F.filter(F.transform("__f", lambda f, i: F.when(F.array_contains("__hits", f), i)), lambda i: i.isNotNull()).alias("__s")
-    )
-    spans = starts.select("doc_id", "__t", F.explode(F.transform("__s", lambda i: F.struct(i.alias("start"), F.concat_ws(" ", F.slice("__words", i + 1, n)).alias("gram")))).alias("x"))
-    return spans.select("doc_id", "__t", "x.start", F.lit(n).alias("n"), "x.gram").distinct().join(grams, "gram")
+def occurrences(docs: DataFrame, wins: DataFrame, sizes: list[int], k: int) -> DataFrame:
+    """(doc_id, __t, start, n, gram): where windows occur. docs has doc_id, __t, text; wins has gram and n, one of sizes. The texts are read
+    once for all sizes, and those with a hit once more."""
+    distinct = wins.select("n", "gram").distinct()
+    own = with_fingerprints(distinct.select("n", F.split("gram", " ").alias("__words")), sizes, k, ["n"])
+    prints = small(own.select("n", F.explode(F.coalesce(*[F.when(F.col("n") == n, F.col(f"__f{n}")) for n in sizes])).alias("f")).distinct())
+
+    def keyed(n: int) -> Column:
+        return F.transform(F.array_distinct(f"__f{n}"), lambda f: F.struct(F.lit(n).alias("n"), f.alias("f")))
+
+    def spans(n: int) -> Column:
+        return F.transform(f"__f{n}", lambda f, i: F.struct(f.alias("f"), F.lit(n).alias("n"), i.alias("start"), F.concat_ws(" ", F.slice("__words", i + 1, n)).alias("gram")))
+
+    tokens = with_fingerprints(docs.select("doc_id", "__t", words(F.col("text")).alias("__words")), sizes, k, ["doc_id", "__t"])
+    found = tokens.select("doc_id", "__t", F.explode(F.concat(*map(keyed, sizes))).alias("x")).select("doc_id", "__t", "x.n", "x.f").join(prints, ["n", "f"]).select("doc_id", "__t").distinct()
+    suspects = by_row(docs, stored(found, "suspects"), "left_semi").select("doc_id", "__t", words(F.col("text")).alias("__words"))
+    marked = with_fingerprints(suspects, sizes, k, ["doc_id", "__t", "__words"])
+    rows = marked.select("doc_id", "__t", F.explode(F.concat(*map(spans, sizes))).alias("x")).select("doc_id", "__t", "x.*")
+    return rows.join(prints, ["n", "f"]).join(small(distinct), ["n", "gram"]).select("doc_id", "__t", "start", "n", "gram").distinct()
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, length: int = LENGTH, k: int = K, tagged: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted as strings).
 
     docs: doc_id, text; bench: item_id, text; other columns are ignored. Null or empty texts have no words and no hit.
     An item of fewer than length words is one window of its own length; an item without words or id has none.
-    Rows that repeat a doc_id are judged each by its own text. Empty tables give no rows, or rows without hits.
+    Rows that repeat a doc_id are judged each by its own text. Empty tables give no rows, or rows without hits. tagged adds __t, the row tag.
     """
     docs = docs.select("doc_id", "text", row_tag(F.col("text")).alias("__t"))
     wins = stored(windows(bench, length), "windows")
     sizes = sorted(r.n for r in wins.select("n").distinct().collect())  # at most `length` of them
-    hits = None
-    for n in sizes:
-        one = occurrences(docs, wins.where(F.col("n") == n), n, min(k, n))
-        hits = one if hits is None else hits.unionByName(one)
-    counted = docs.select("doc_id", "__t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if hits is None:
+    counted = docs.select("doc_id", "__t", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    if not sizes:
         found = docs.select("doc_id", "__t", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
     else:
-        hits = stored(hits, "hits")
+        hits = stored(occurrences(docs, wins, sizes, k), "hits")
         covered = hits.groupBy("doc_id", "__t").agg(F.collect_set(F.struct("start", "n")).alias("s"))
         covered = covered.select("doc_id", "__t", F.size(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
         named = hits.select("doc_id", "__t", "gram").distinct().join(small(wins.select("gram", F.col("item_id").cast("string").alias("item"))), "gram")
@@ -97,13 +101,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, length: int = LENGTH, k: in
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         items.alias("items"),
+        *["__t"] * tagged,
     )
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that share no window with the benchmark."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__bad")), "left_anti")
+    """Pipeline stage: the rows that share no window with the benchmark, with all their columns. Rows with null or empty text stay, and rows
+    that repeat or lack a doc_id are judged each by its own text. An empty table stays empty."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), tagged=True).select("doc_id", "__t", (~F.col("contaminated")).alias("kept"))
+    return without(docs, row_tag(F.col("text")), judged, once=False)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

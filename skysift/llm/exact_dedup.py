@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skysift.llm.shared import ascii_lower, by_row, row_tag, stored, table
+from skysift.llm.shared import ascii_lower, by_row, row_tag, stored, table, without
 
 BLOCK = 1024
 #: Names of a bucket follow one another from bucket << 32.
@@ -86,20 +86,19 @@ def dedup(docs: DataFrame, tagged: bool = False) -> DataFrame:
     """
     base = docs.select("doc_id", row_tag(normalised(F.col("text"))).alias("__t"), normalised(F.col("text")).alias("norm"))
     ids = identities(base)
-    rows = by_row(base.select("doc_id", "__t", F.sha2("norm", 256).alias("text_sha256")), ids)
+    rows = stored(by_row(base.select("doc_id", "__t", F.sha2("norm", 256).alias("text_sha256")), ids), "identities")
     # sizes first, then joined back: a group of copies may hold a third of all rows
-    groups = rows.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["n_bytes", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *["__t"] * tagged)
+    groups = rows.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    named = rows.join(stored(groups, "groups"), ["n_bytes", "name"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return named.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *["__t"] * tagged)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each set of equal texts. Rows that repeat doc_id and text leave one row."""
+    """Pipeline stage: one row of each set of equal texts, with all its columns; null counts as empty. Rows that repeat doc_id and text
+    leave one row. An empty table stays empty."""
     judged = stored(dedup(docs, tagged=True).select("doc_id", "__t", "kept"), "judged")
-    rows = docs.withColumn("__t", row_tag(normalised(F.col("text"))))
-    left = by_row(rows, judged.where(~F.col("kept")).select("doc_id", "__t").distinct(), "left_anti")
-    if not judged.where("kept").groupBy("doc_id", "__t").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "__t"])
-    return left.drop("__t")
+    return without(docs, row_tag(normalised(F.col("text"))), judged)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
