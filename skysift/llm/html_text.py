@@ -6,13 +6,14 @@ line in it is text, whatever its length. On other pages a line weighs as many ch
 nothing if most of it is links; the block at line i sums the weights of lines i to i + WINDOW - 1. A stretch runs from a
 line with weight to where the sums dive to nothing. Text begins with the first stretch in which the sums surge above a
 threshold and ends with the last: short stretches between belong to it, lines that are mostly links where they stand within
-a stretch.
+a stretch. Stretches before and after are text if a line of theirs is the page's heading or ends as sentences do.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,30 +27,51 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 HIDDEN = frozenset("head noscript template svg math object iframe audio video canvas select button datalist".split())
 VERBATIM = frozenset("script style textarea title xmp noembed noframes".split())
 ASIDE = frozenset("nav footer aside form menu dialog header".split())
+WALLS = {
+    "p": ("div", "article", "section", "td", "li", "blockquote", "main", "body"),
+    "li": ("ul", "ol", "menu"),
+    "tr": ("table",),
+    "td": ("tr", "table"),
+    "th": ("tr", "table"),
+    "dt": ("dl",),
+    "dd": ("dl",),
+    "option": ("select",),
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|related|recommended|pagination|pager|toolbar|skip|copyright)(?=$|[\s_-])",
-    re.I,
-)
+#: A class or id sets its element aside if all its words, parted by hyphens, underscores or capitals, are of these two lists, and one of the first.
+SIDE_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social comment comments commentlist disqus reply replies respond related recommended pagination pager toolbar skip copyright".split())
+PLAIN_WORDS = frozenset("area article articles bar block body bottom box button buttons col column container content desktop fixed form global google group holder inner item items layer left legal link links list main mobile more outer page panel policy post posts primary right row secondary section site slot sticky text thread title to top unit us user wrap wrapper".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 LEGAL = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 CLOSE = {n: re.compile(rf"</{n}\s*(?:>|$)", re.I) for n in VERBATIM}
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """(text, characters outside links, set aside, in the article) of each line, and whether the page marks an article."""
+def named_aside(said: str) -> bool:
+    """Whether one of the class names and ids in said sets its element aside."""
+    for token in said.split():
+        words = {w.lower() for w in PARTS.findall(token)}
+        if words & SIDE_WORDS and words <= SIDE_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
+def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]:
+    """(text, characters outside links, set aside, in the article, in the page's heading) of each line, and whether the page marks an article."""
     out, parts, plain, at = [], [], 0, 0
     stack: list[tuple[str, bool, bool]] = []  # element, set aside, in the article; of what is open
-    hidden = links = 0
+    there: Counter[str] = Counter()  # how often each element is open
+    hidden = links = asides = articles = 0
     marked = False
 
     def end() -> None:
         nonlocal parts, plain
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, plain, any(x[1] for x in stack), any(x[2] for x in stack)))
+            out.append((text, plain, asides > 0, articles > 0, there["h1"] > 0))
         parts, plain = [], 0
 
     def text(s: str) -> None:
@@ -61,14 +83,14 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
                 plain += sum(map(len, s.split()))
 
     def close(name: str) -> None:
-        nonlocal hidden, links
-        if not any(x[0] == name for x in stack):
-            return
-        while stack:
-            top = stack[-1][0]
+        nonlocal hidden, links, asides, articles
+        while there[name]:
+            top, aside, article = stack.pop()
+            there[top] -= 1
             hidden -= top in HIDDEN
             links -= top == "a"
-            stack.pop()
+            asides -= aside
+            articles -= article
             if top == name:
                 return
 
@@ -89,23 +111,25 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         if name in VOID:
             continue
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack:  # an open one of its kind ends here
-            inside = [x[0] for x in stack]
-            walls = {"p": ("div", "article", "section", "td", "li", "blockquote", "main", "body"), "li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}[name]
-            last = max((i for i, x in enumerate(inside) if x == name), default=-1)
-            if last >= 0 and not any(x in walls for x in inside[last + 1 :]):
-                close(name)
+        if name in WALLS and there[name]:  # an open one of its kind ends here
+            for x, _, _ in reversed(stack):
+                if x == name:
+                    close(name)
+                if x == name or x in WALLS[name]:
+                    break
         if name == "body":
-            while any(x[0] == "head" for x in stack):
+            while there["head"]:
                 close("head")
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}
         said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        inside = any(x[2] for x in stack)
-        aside = name in ASIDE and not (name == "header" and inside) or attributes.get("role", "").lower() in ROLES or name not in ("html", "body", "article", "main") and bool(NAMES.search(said)) or name == "article" and bool(re.search(r"comment|repl(?:y|ies)", said, re.I))
+        aside = name in ASIDE and not (name == "header" and articles) or attributes.get("role", "").lower() in ROLES or name not in ("html", "body", "article", "main") and named_aside(said) or name == "article" and bool(re.search(r"comment|repl(?:y|ies)", said, re.I))
         aside |= "hidden" in m[3].split() or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        article = name in ("article", "main") and not aside and not any(x[1] for x in stack)
+        article = name in ("article", "main") and not aside and not asides
         marked |= article
         stack.append((name, aside, article))
+        there[name] += 1
+        asides += aside
+        articles += article
         hidden += name in HIDDEN
         links += name == "a"
         if m[3].endswith("/") and name not in BLOCKS:
@@ -118,12 +142,12 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
 def main_text(page: str | None) -> str:
     """The article of one page; empty for null, and for pages without text."""
     rows, marked = lines(page or "")
-    if marked and not any(plain and not aside and inside for _, plain, aside, inside in rows):
+    if marked and not any(plain and not aside and inside for _, plain, aside, inside, _ in rows):
         marked = False
     if marked:
-        return " ".join(text for text, _, aside, inside in rows if inside and not aside)
-    left = [(text, plain) for text, plain, aside, _ in rows if not aside and not LEGAL.match(text)]
-    weight = [plain if 2 * plain >= len(text) else 0 for text, plain in left]
+        return " ".join(text for text, _, aside, inside, _ in rows if inside and not aside)
+    left = [(text, plain, head) for text, plain, aside, _, head in rows if not aside and not LEGAL.match(text)]
+    weight = [plain if 2 * plain >= len(text) else 0 for text, plain, _ in left]
     n = len(weight)
     total = [0]
     for w in weight:
@@ -143,7 +167,8 @@ def main_text(page: str | None) -> str:
     surges = [k for k, x in enumerate(found) if x[2]]
     if not surges:
         return ""
-    return " ".join(left[k][0] for i, j, _ in found[surges[0] : surges[-1] + 1] for k in range(i, j))
+    said = [any(weight[k] and (left[k][2] or SENTENCE.search(left[k][0])) for k in range(i, j)) for i, j, _ in found]
+    return " ".join(left[k][0] for n, (i, j, _) in enumerate(found) if surges[0] <= n <= surges[-1] or said[n] for k in range(i, j))
 
 
 def extract(pages: DataFrame) -> DataFrame:

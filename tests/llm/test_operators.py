@@ -1,6 +1,7 @@
 """Edge cases, brute force and round trips on small fixtures."""
 
 import hashlib
+import html
 import itertools
 import os
 import re
@@ -262,6 +263,37 @@ def test_html_keeps_short_stretches_on_unmarked_pages():
     assert html_text.main_text(f"<h1>Storm</h1>{aside}<p>{long}</p>{aside}<p>End.</p>") == f"Storm {long} End."
 
 
+def test_html_keeps_short_blocks_and_late_paragraphs():
+    long = "A long paragraph about the storm that reached the coast in the night."
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert html_text.main_text(f"<article><p>Short.</p>{nav * 3}<p>{long}</p></article>") == f"Short. {long}"
+    links = "<ul>" + "".join(f"<li><a href=x>Link {k}</a>" for k in range(5)) + "</ul>"
+    assert html_text.main_text(f"<div>{links}</div><h1>Storm</h1>{links}<p>{long}</p>{links}<p>That was all.</p>{links}<p>Menu</p>") == f"Storm {long} That was all."
+    page = f'<article><p class="share-price">12 euros</p><p class="notice-of-trial">On Monday</p><p class="site-footer">no</p><div class="relatedPosts">no</div><p>{long}</p></article>'
+    assert html_text.main_text(page) == f"12 euros On Monday {long}"
+
+
+def test_html_takes_time_in_proportion_to_nesting():
+    deep = "<div><b>" * 20_000 + "<p>Text" + "</b></div>" * 20_000
+    assert html_text.main_text(f"<article>{deep}</article>") == "Text"
+
+
+def article_element(page):
+    """A plain reading: what the article element holds, without its markup."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>|<div class=\"?ad\b.*?</div>", " ", inner[1] if inner else "", flags=re.S)
+    return " ".join(html.unescape(re.sub(r"</?(?:b|i|em|strong|a|span|u|code)\b[^>]*>", "", body)).split()) if inner else ""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are needed")
+def test_html_agrees_with_the_article_element(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    bare = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", x)).strip()
+    differ = [r.page_id for r in pages.collect() if got[r.page_id] != bare(article_element(r.html))]
+    assert differ == []
+
+
 def test_surrogates(docs, spark):
     text = "Mrs. Anna Smith, a.b@mail.example.com, card 4863730426282943; Mr. Smith again, +1 (656) 555-6510"
     rows = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()
