@@ -195,10 +195,40 @@ def test_packing_is_as_small_as_brute_force(lengths):
                 out = min(out, best(left[1:], [*bins[:i], room - x, *bins[i + 1 :]]))
         return min(out, best(left[1:], [*bins, 10 - x])) if len(bins) < 9 else out
 
-    found = packing.complete(np.bincount(lengths, minlength=11))
+    found, least = packing.complete(np.bincount(lengths, minlength=11))
     assert sorted(x for p, n in found for x, c in p for _ in range(c * n)) == sorted(lengths)
     if len(lengths) < 10:
-        assert sum(n for _, n in found) == best(sorted(lengths, reverse=True), [])
+        assert sum(n for _, n in found) == least == best(sorted(lengths, reverse=True), [])
+
+
+def fewest_sequences(lengths, cap):
+    """Brute force: subsets of pieces, each with the fewest sequences and the least room used in the last one."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(lengths)):
+        best[mask] = min((n, used + x) if used + x <= cap else (n + 1, x) for k, x in enumerate(lengths) if mask >> k & 1 for n, used in [best[mask ^ 1 << k]])
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_packing_is_as_small_as_brute_force_in_random_cases():
+    rng = np.random.default_rng(6)
+    cases = [(60, [7, 18, 20, 22, 23, 25, 25, 33]), (100, [17, 24, 27, 28, 36, 38, 41, 41, 43, 48, 49])]
+    cases += [(cap, rng.integers(cap // 8, cap // 2 + 2, rng.integers(5, 12)).tolist()) for cap in rng.choice([30, 60, 100], 400).tolist()]
+    for cap, lengths in cases:
+        found, least = packing.complete(np.bincount(lengths, minlength=cap + 1))
+        assert sorted(x for p, n in found for x, c in p for _ in range(c * n)) == sorted(lengths)
+        assert all(sum(x * c for x, c in p) <= cap for p, _ in found)
+        assert sum(n for _, n in found) == least == fewest_sequences(lengths, cap), (cap, lengths)
+
+
+def test_large_packings_say_their_gap():
+    rng = np.random.default_rng(7)
+    counts = np.bincount(np.minimum(rng.lognormal(5.5, 1, 100_000).astype(int) + 1, 2048), minlength=2049)
+    found, least = packing.complete(counts)
+    held = np.zeros(2049, np.int64)
+    for p, n in found:
+        for x, c in p:
+            held[x] += c * n
+    assert (held == counts).all() and 0 <= sum(n for _, n in found) - least <= 0.001 * least
 
 
 def test_encoder_agrees_with_the_library():
