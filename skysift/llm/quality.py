@@ -4,12 +4,16 @@ Grades are ordered: 0 toxic, 1 low quality, 2 good. One weight vector w over has
 ordered thresholds part them: P(grade <= j) = sigmoid(threshold_j - w.x). The model gives each text its expected grade
 and the tail probabilities P(grade >= 1) and P(grade >= 2).
 
-It is fitted in the driver on at most about SAMPLE labelled rows of each grade, chosen by a hash of doc_id; each row
-weighs as many rows as it stands for. Every document is then scored, whole.
+Features are distinct words, prefixes of words, and the levels that a few shares reach (capitals, signs, repeated words, ...). It
+is fitted on at most about SAMPLE labelled rows of each grade, chosen by a hash of doc_id; each row weighs as many rows as it
+stands for, times the root of how rare its grade is. Executors count in how many rows of each grade a feature occurs; features
+that go with the grade by LEAST_Z standard deviations are learned from, in the driver, and nothing else is sent there. Every
+document is then scored, whole.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm.shared import small, table
-from skysift.llm.textcols import DROP, LETTER, Lexicon, encoded, hashes, raw, runs, slices, unicode_classes
+from skysift.llm.shared import small, stored, table
+from skysift.llm.textcols import DIGIT, DROP, LETTER, Lexicon, encoded, gather, hashes, raw, runs, slices, unicode_classes
 
-SAMPLE, BITS, GRADES = 6000, 20, 3
-LEVELS = 12
+SAMPLE, BITS, GRADES = 6000, 18, 3
+LEVELS = 24
+PREFIXES = (4, 6)
+LEAST_Z, LEAST_ROWS = 2.6, 3
 
 
 @dataclass
@@ -36,38 +42,58 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
-def features(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, end, the row and the number of each feature. Distinct words and signs, and the levels of a few shares."""
+def features(texts: pa.Array, lexicon: Lexicon, alive: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of rows: first row, end, the row and the number of each feature, sorted, each once in a row. alive: which numbers matter."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     for i, j in slices(texts):
         part = texts.slice(i, j - i)
         data, off = raw(part)
         rows = j - i
+        count = lambda x, weights=None: np.bincount(x, weights, minlength=rows)  # noqa: B023, E731
         size = np.maximum(np.diff(off), 1)
         of = np.repeat(np.arange(rows), np.diff(off))
-        upper = np.bincount(of[(data >= 65) & (data <= 90)], minlength=rows) / size
-        signs = np.bincount(of[(data < 128) & (unicode_classes()[np.minimum(data, 127)] != LETTER) & (unicode_classes()[np.minimum(data, 127)] != DROP)], minlength=rows) / size
+        kind = unicode_classes()[np.minimum(data, 127)]
+        sign = (data < 128) & (kind != LETTER) & (kind != DROP)
+        other = sign & (kind != DIGIT)
+        doubled = other[1:] & (data[1:] == data[:-1])
+        shares = {"upper": count(of[(data >= 65) & (data <= 90)]) / size, "signs": count(of[sign]) / size, "doubled": count(of[1:][doubled]) / np.maximum(count(of[other]), 1)}
         data, off = raw(pc.utf8_lower(part))
         s, e, first, packed = runs(data, off, unicode_classes())
         words, idx = encoded(s, e, packed)
         row = np.repeat(np.arange(rows), np.diff(first))
         pair = np.unique(row.astype(np.int64) * max(len(words), 1) + idx) if len(words) else np.zeros(0, np.int64)
         prow, pword = (pair // len(words), pair % len(words)) if len(words) else (pair, pair)
-        number = lexicon(words)[pword] if len(words) else np.zeros(0, np.int64)
         n = np.maximum(np.diff(first), 1)
-        shares = {"upper": upper, "signs": signs, "distinct": np.bincount(prow, minlength=rows) / n, "length": np.minimum(np.bincount(row, e - s, rows) / n / 16, 1), "words": np.minimum(np.log2(n) / 16, 1)}
-        extra = [hashes([f"\x00{name}:{int(v * LEVELS)}" for v in share]) & np.uint64((1 << BITS) - 1) for name, share in shares.items()]
-        r = np.concatenate([prow, *[np.arange(rows)] * len(extra)])
-        f = np.concatenate([number, *[x.astype(np.int64) for x in extra]])
-        order = np.argsort(r, kind="stable")
-        yield i, j, r[order], f[order]
+        again = (idx[1:] == idx[:-1]) & (row[1:] == row[:-1])
+        shares |= {"again": count(row[1:][again]) / n, "distinct": count(prow) / n, "length": np.minimum(count(row, e - s) / n / 16, 1), "words": np.minimum(np.log2(n) / 16, 1)}
+        number = lexicon(words)[pword] if len(words) else np.zeros((0, 1), np.int64)
+        r, f = [np.repeat(prow, number.shape[1])], [number.ravel()]
+        for name, share in shares.items():
+            reached = np.minimum((share * LEVELS).astype(np.int64), LEVELS) + 1
+            r.append(np.repeat(np.arange(rows), reached))
+            f.append(level_numbers(name)[gather(np.zeros(rows, np.int64), reached)])
+        r, f = np.concatenate(r), np.concatenate(f)
+        if alive is not None:
+            r, f = r[alive[f]], f[alive[f]]
+        key = np.unique(r << BITS | f)
+        yield i, j, key >> BITS, key & ((1 << BITS) - 1)
+
+
+def numbered(names: list[str]) -> np.ndarray:
+    return (hashes(names) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+@functools.lru_cache(16)
+def level_numbers(share: str) -> np.ndarray:
+    return numbered([f"\x00{share}:{k}" for k in range(LEVELS + 1)])
 
 
 def new_lexicon() -> Lexicon:
-    return Lexicon(lambda words: (hashes(words) & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    """The word's number and those of its prefixes."""
+    return Lexicon(lambda words: np.stack([numbered(words), *(numbered([f"\x01{w[:n]}" for w in words]) for n in PREFIXES)], axis=1))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.15, l1: float = 2e-5, batch: int = 256) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, epochs: int = 20, rate: float = 0.15, l1: float = 1e-3, batch: int = 32) -> Model:
     """Stochastic gradients with a rate of its own for each weight, and soft thresholding, which leaves rare noise at zero."""
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     share = np.cumsum([weight[grades == k].sum() for k in range(GRADES - 1)]) / max(weight.sum(), 1e-9)
@@ -127,31 +153,57 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 off = np.searchsorted(r, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(off), pa.array(f.astype(np.int32)))], names=["doc_id", "grade", "f"])
 
-    got = joined.mapInArrow(rows_of, "doc_id long, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    if not got.num_rows:
+    seen = stored(joined.mapInArrow(rows_of, "doc_id long, grade int, f array<int>"), "features")
+    there = {r.grade: r["count"] for r in seen.groupBy("grade").count().collect()}  # one row a grade
+    if not there:
         return Model(np.zeros(1 << BITS), np.array([-30.0, -29.0]))
-    f = got.column("f").combine_chunks()
-    off, flat = f.offsets.to_numpy(), f.values.to_numpy()
-    y = got.column("grade").to_numpy().astype(np.int64)
-    there = np.bincount(y, minlength=GRADES)
-    stands = np.array([counts.get(g, 0) / max(there[g], 1) for g in range(GRADES)])[y]
-    return fit([flat[s:e] for s, e in zip(off[:-1], off[1:], strict=True)], y, stands)
+    rare = {g: (sum(counts.values()) / len(counts) / counts[g]) ** 0.5 for g in there}
+    stands = {g: counts[g] / there[g] * rare[g] for g in there}
+    level = sum(there[g] * stands[g] for g in there)
+    mean = sum(g * there[g] * stands[g] for g in there) / level
+    spread = sum((g - mean) ** 2 * there[g] * stands[g] for g in there) / level
+    # counts of at most 2**BITS features, by grade; what goes with the grade is kept
+    held = seen.select("grade", F.explode("f").alias("f")).groupBy("f").agg(*[F.count(F.when(F.col("grade") == g, 1)).alias(f"n{g}") for g in range(GRADES)])
+    pull = sum((F.col(f"n{g}") * ((g - mean) * stands[g]) for g in there), F.lit(0.0))
+    noise = F.sqrt(sum((F.col(f"n{g}") * stands[g] ** 2 for g in there), F.lit(0.0)) * max(spread, 1e-9))
+    chosen = held.where((F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_ROWS) & (F.abs(pull) >= LEAST_Z * noise)).select("f").collect()
+    alive = np.zeros(1 << BITS, bool)
+    alive[[r.f for r in chosen]] = True
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            ok = alive[flat]
+            off = np.searchsorted(of[ok], np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(flat[ok]))], names=["doc_id", "grade", "f"])
+
+    got = seen.mapInArrow(thinned, "doc_id long, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    rows = [np.asarray(x, np.int64) for x in got.column("f").to_pylist()]
+    order = sorted(range(len(rows)), key=lambda k: (got.column("doc_id")[k].as_py(), rows[k].tolist()))  # ids may repeat
+    y = got.column("grade").to_numpy().astype(np.int64)[order]
+    return fit([rows[k] for k in order], y, np.array([stands.get(g, 0.0) for g in range(GRADES)])[y])
+
+
+def tails_of(batches: Iterator[pa.RecordBatch], text: int, at: np.ndarray, values: np.ndarray, thresholds: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch, and the tail probabilities of its column `text`. at, values: the weights that aren't 0."""
+    w = np.zeros(1 << BITS)
+    w[at] = values
+    mine, lexicon = Model(w, thresholds), new_lexicon()
+    for b in batches:
+        s = np.zeros(b.num_rows)
+        for i, j, r, f in features(b.column(text), lexicon, w != 0):
+            s[i:j] = np.bincount(r, w[f], j - i)
+        yield b, mine.tails(s)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' columns `keep` with expected_grade, p_not_toxic and p_good. docs: also text."""
     at = np.flatnonzero(model.weights)
-    values, thresholds = model.weights[at], model.thresholds
+    values, thresholds, b_text = model.weights[at], model.thresholds, len(keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(1 << BITS)
-        w[at] = values
-        mine, lexicon = Model(w, thresholds), new_lexicon()
-        for b in batches:
-            s = np.zeros(b.num_rows)
-            for i, j, r, f in features(b.column(b.num_columns - 1), lexicon):
-                s[i:j] = np.bincount(r, w[f], j - i)
-            t = mine.tails(s)
+        for b, t in tails_of(batches, b_text, at, values, thresholds):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t.sum(1)), pa.array(t[:, 0]), pa.array(t[:, 1])], names=[*keep, "expected_grade", "p_not_toxic", "p_good"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -170,20 +222,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier doesn't reject."""
+    """Pipeline stage: the rows that the classifier doesn't reject, with all their columns. Rows that repeat or lack a doc_id are judged each by
+    its own text, null as an empty one. An empty table stays empty."""
     model = train(docs, table(spark, sf_dir, "labels"))
     at, values, thresholds = np.flatnonzero(model.weights), model.weights[model.weights != 0], model.thresholds
     where = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(1 << BITS)
-        w[at] = values
-        mine, lexicon = Model(w, thresholds), new_lexicon()
-        for b in batches:
-            s = np.zeros(b.num_rows)
-            for i, j, r, f in features(b.column(where), lexicon):
-                s[i:j] = np.bincount(r, w[f], j - i)
-            yield b.filter(pa.array(mine.tails(s)[:, 1] >= 0.5))
+        for b, t in tails_of(batches, where, at, values, thresholds):
+            yield b.filter(pa.array(t[:, 1] >= 0.5))
 
     return docs.mapInArrow(good, docs.schema)
 
