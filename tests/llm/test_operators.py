@@ -250,23 +250,51 @@ def test_token_store(spark, docs, tmp_path):
         at += r.n_tokens
 
 
-def test_suffixes_agree_with_brute_force(spark):
+def expected_removal(rows):
+    seen, expect = set(), []
+    for doc in sorted({k for k, _ in rows}, key=lambda k: (k is not None, k or 0)):
+        mine = []
+        for text in (t for k, t in rows if k == doc):
+            data = (text or "").encode()
+            own = [data[i : i + 50] for i in range(len(data) - 49)]
+            gone = bytearray(len(data))
+            for i, x in enumerate(own):
+                if x in seen:
+                    gone[i : i + 50] = b"\x01" * 50
+            mine += own
+            expect.append((doc, len(data), sum(gone), len(re.findall(b"\x01+", gone)), hashlib.sha256(bytes(x for x, g in zip(data, gone, strict=True) if not g)).hexdigest()))
+        seen.update(mine)
+    return sorted(expect, key=repr)
+
+
+def suffix_rows():
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abcdé "), 3000))
-    rows = [(k, base[int(s) : int(s) + int(n)] + "".join(rng.choice(list("xyz"), 30)) + base[int(n) : int(n) + 60]) for k, (s, n) in enumerate(rng.integers(0, 900, (40, 2)))] + [(50, None), (51, ""), (52, "a" * 300), (53, "a" * 120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    seen, expect = set(), {}
-    for k, text in rows:
-        data = (text or "").encode()
-        own = [data[i : i + 50] for i in range(len(data) - 49)]
-        gone = bytearray(len(data))
-        for i, x in enumerate(own):
-            if x in seen:
-                gone[i : i + 50] = b"\x01" * 50
-        seen.update(own)
-        expect[k] = (len(data), sum(gone), hashlib.sha256(bytes(x for x, g in zip(data, gone, strict=True) if not g)).hexdigest())
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removal(docs).collect()} == expect
-    assert suffix_dedup.removal(docs.limit(0)).count() == 0
+    rows = [(k, base[int(s) : int(s) + int(n)] + "".join(rng.choice(list("xyz"), 30)) + base[int(n) : int(n) + 60]) for k, (s, n) in enumerate(rng.integers(0, 900, (40, 2)))]
+    # repeated and missing ids, whole rows twice, strings that repeat within a document, and one passage in many with other text around it
+    rows += [(50, None), (51, ""), (52, "a" * 300), (53, "a" * 120), (7, base[:200]), (7, base[100:300]), (7, base[100:300]), (None, base[1000:1200]), (None, base[1100:1300])]
+    return rows + [(60 + k, "".join(rng.choice(list("uvw"), 40)) + base[2000:2090] + "".join(rng.choice(list("uvw"), 40))) for k in range(300)]
+
+
+@pytest.mark.parametrize(("heavy", "hot"), [(suffix_dedup.HEAVY, suffix_dedup.HOT), (50, suffix_dedup.HOT), (50, 60)])
+def test_suffixes_agree_with_brute_force(spark, heavy, hot):
+    rows = suffix_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.removal(docs, heavy, hot).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == expected_removal(rows)
+
+
+def test_suffixes_of_an_empty_table(spark):
+    assert suffix_dedup.removal(spark.createDataFrame([], "doc_id long, text string, part long, blob int")).count() == 0
+
+
+def test_anchors_depend_on_their_string_alone():
+    rng = np.random.default_rng(4)
+    text = rng.choice(np.frombuffer(b"ab", np.uint8), 400)
+    alone = {(text[p : p + 24].tobytes(), p) for p in suffix_dedup.anchors(text, np.array([0, 400]))[0].tolist()}
+    padded = np.concatenate([rng.integers(0, 255, 5 << 20).astype(np.uint8), text])
+    place, _, _ = suffix_dedup.anchors(padded, np.array([0, 5 << 20, len(padded)]))
+    assert {(text[p : p + 24].tobytes(), p) for p in (place[place >= 5 << 20] - (5 << 20)).tolist()} == alone
 
 
 def test_html():
