@@ -3,18 +3,21 @@
 Detected entities are brought to a canonical form (letters' case and punctuation aside), so that all mentions of one
 entity, in any document and format, get one replacement. The replacement follows from a secret key: digits become
 digits, letters letters of their script and case, cards keep their check digit, addresses stay addresses, names keep
-their gender and script. Names are found after a title (see PATTERNS), as written; where a document has such a name, its
-other whole-word mentions of the name or of parts of it are replaced too. Distinct entities must stay distinct:
-replacements that meet, or that are themselves entities of the corpus, are drawn again for all but one of them until none
-meet.
+their gender and script. Names are found after a title (see PATTERNS), or where a given name of GIVEN stands before another
+capitalised word, as written; where a document has such a name, its other whole-word mentions of the name or of parts of it are
+replaced too. Distinct entities must stay distinct: replacements that meet, or that are themselves entities of the corpus, are
+drawn again for all but one of them until none meet; from the fourth draw on they grow longer, so that no space is ever full.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
+import os
 import re
 import unicodedata
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from skysift.llm.shared import by_row, row_tag, stored, table
 
-KEY = b"skysift"
+#: The setting that holds the key of the query's surrogates; where it is unset, a key is drawn for the run.
+KEY_SETTING = "spark.skysift.surrogates.key"
 NAME = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]?[^\W\d_]+)*(?!\w)"
 DIGITS, NEAR = re.compile("[0-9]+"), 64
 #: kind, of which strings the text must hold one (None: a digit within NEAR characters), pattern; earlier ones win where they overlap. Group 1, if there is one, is the entity.
@@ -34,6 +38,7 @@ PATTERNS = [
     ("secret", ("password", "passwd", "pwd", "secret", "token", "api", "access", "auth"), r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth))[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.~-]{6,}={0,2})"),
     ("iban", None, r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     ("ipv4", None, r"(?<![\w.])((?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?!\.?\w)"),
+    ("ipv6", None, r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"),
     ("ssn", None, r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
     ("card", None, r"(?<![\w-])([0-9](?:[ -]?[0-9]){12,18})(?![\w-])"),
     ("phone", None, r"(?<![\w.+-])(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])"),
@@ -48,6 +53,16 @@ FIRST = {
     ("man", "CYRILLIC"): "Алексей Андрей Борис Виктор Денис Иван Игорь Максим Николай Олег Павел Сергей".split(),
     ("woman", "CYRILLIC"): "Алина Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Полина Татьяна".split(),
 }
+#: Given names that show a name without a title: those above and other common ones.
+GIVEN = {
+    n: kind
+    for kind, names in {
+        "man": "Alexander Andrew Anton Antonio Arthur Ben Benjamin Carlos Charles Christian Christopher Edward Eric Francisco François Frank Fritz Georg George Hans Harry Heinrich Henry Jack Jacob Jakob James Jean Joe John José Joseph Juan Karl Klaus Louis Luis Manuel Matthew Michael Miguel Otto Patrick Pedro Peter Philip Pierre Richard Stefan Steven Tom Walter William",
+        "woman": "Alexandra Amelia Amy Angela Ann Anne Barbara Camille Carla Caroline Catherine Charlotte Christine Claire Claudia Elizabeth Elisabeth Emily Eleanor Esther Eve Grace Greta Hannah Heidi Helen Ingrid Isabel Jane Jennifer Jessica Joan Karen Katharina Linda Lisa Lucy Margaret Marie Mary Monika Pilar Rachel Ruth Sandra Sarah Sofia Sophie Susan Teresa Ursula Victoria",
+    }.items()
+    for n in names.split()
+} | {n: kind for (kind, _), names in FIRST.items() for n in names}
+UNTITLED = re.compile(rf"(?<![\w-])({NAME})(?= ({NAME}(?: {NAME})?))")
 SYLLABLES = {"LATIN": "ba be bo da do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa po ra re ro sa se ta te to va ve vo".split(), "CYRILLIC": "ба бе бо да до га го ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то ва ве во".split()}
 
 NAMES = ("man", "woman", "surname")
@@ -107,6 +122,11 @@ def canon(kind: str, value: str) -> list[tuple[str, str]]:
         return [(kind, re.sub(r"[^0-9]", "", value))]
     if kind == "iban":
         return [(kind, value.replace(" ", ""))]
+    if kind == "ipv6":
+        try:
+            return [(kind, ipaddress.IPv6Address(value).compressed)]
+        except ValueError:
+            return [(kind, value.lower())]
     if kind in ("man", "woman"):
         parts = value.split(" ")
         return [(kind, p) for p in parts[:-1]] + [("surname", parts[-1])]
@@ -116,30 +136,38 @@ def canon(kind: str, value: str) -> list[tuple[str, str]]:
 def surrogate(key: bytes, kind: str, c: str, attempt: int) -> str:
     """The replacement of a canonical form, itself canonical."""
     below = draw(key, kind, c, attempt)
+    longer = attempt // 4  # of forms that may have any length
+    digits = lambda n: "".join(str(below(10)) for _ in range(n))
+    letters = lambda n: "".join(like("a", below) for _ in range(n))
+    fixed = max(attempt // 4 - 15, 0)  # of forms of a fixed length, where no draw is free
     if kind == "email":
         local, _, domain = c.rpartition("@")
-        return "".join(like(x, below) for x in local) + "@" + domain
+        return "".join(like(x, below) for x in local) + letters(longer) + "@" + domain
     if kind == "domain":
         labels = c.split(".")
-        return ".".join([*("".join(like(x, below) for x in y) for y in labels[:-1]), labels[-1]])
+        return ".".join([*("".join(like(x, below) for x in y) + letters(longer if not i else 0) for i, y in enumerate(labels[:-1])), labels[-1]])
     if kind == "ipv4":
-        return ".".join(str(1 + below(254)) for _ in range(4))
+        return ".".join(str(1 + below(254)) for _ in range(4 + fixed))
+    if kind == "ipv6":
+        return "".join("0123456789abcdef"[1 + below(15)] if x.isalnum() else x for x in c) + letters(fixed)
     if kind == "card":
-        body = c[0] + "".join(like(x, below) for x in c[1:-1])
+        body = c[0] + "".join(like(x, below) for x in c[1:-1]) + digits(fixed)
         if luhn(c):
             return body + like(c[-1], below)
         return next(body + str(d) for d in range(10) if not luhn(body + str(d)))
     if kind == "phone":
         keep = 1 if len(c) > 10 else 0
-        return c[:keep] + "".join(like(x, below) for x in c[keep:])
+        return c[:keep] + "".join(like(x, below) for x in c[keep:]) + digits(fixed)
+    if kind == "ssn":
+        return "".join(like(x, below) for x in c) + digits(fixed)
     if kind == "iban":
-        return c[:2] + "".join(like(x, below) for x in c[2:])
+        return c[:2] + "".join(like(x, below) for x in c[2:]) + digits(fixed)
     if kind == "key":
         keep = 4 if c.startswith("AKIA") else c.find("_") + 1
-        return c[:keep] + "".join(like(x, below) for x in c[keep:])
+        return c[:keep] + "".join(like(x, below) for x in c[keep:]) + "".join(like("A", below) for _ in range(longer))
     if kind == "secret":
         hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", c))
-        return "".join(like(x, below, hexadecimal) for x in c)
+        return "".join(like(x, below, hexadecimal) for x in c) + digits(longer)
     script = script_of(c[0])
     syllables = lambda n: "".join(SYLLABLES[script][below(len(SYLLABLES[script]))] for _ in range(n)).capitalize()
     if kind in ("man", "woman") and (kind, script) in FIRST:
@@ -196,17 +224,19 @@ def mentions(text: str) -> list[Mention]:
             found += [(*m.span(group), kind) for s, e in near for m in pattern.finditer(text, s, e)]
         elif any(x in (low if kind == "secret" else text) for x in hold):
             found += [(*m.span(group), kind) for m in pattern.finditer(text)]
-    if not found:
-        return []
-    found = [(s, e - 2 if kind in NAMES and text[e - 2 : e] in ("'s", "’s") else e, kind) for s, e, kind in found]
     rank = {k: i for i, (k, _, _) in reversed(list(enumerate(PATTERNS)))}
+    ranked = [(rank[kind], s, e, kind) for s, e, kind in found]
+    ranked += [(len(PATTERNS), m.start(1), m.end(2), GIVEN[m[1]]) for m in UNTITLED.finditer(text) if m[1] in GIVEN]
+    if not ranked:
+        return []
     taken: list[tuple[int, int, str]] = []
-    for s, e, kind in sorted(found, key=lambda x: (rank[x[2]], x[0])):
-        if all(e <= a or b <= s for a, b, _ in taken):
-            taken.append((s, e, kind))
+    for _, s, e, kind in sorted(ranked):
+        e -= 2 if kind in NAMES and text[e - 2 : e] in ("'s", "’s") else 0
+        at = bisect(taken, (s, e, kind))
+        if (not at or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+            insort(taken, (s, e, kind))
     out = [(s, e, kind, canon(kind, text[s:e])) for s, e, kind in taken]
     if titled := sorted(x for x in taken if x[2] in NAMES):
-        taken.sort()
         out += untitled(text, titled, list(zip([0, *(e for _, e, _ in taken)], [*(s for s, _, _ in taken), len(text)], strict=True)))
     return sorted(out, key=lambda x: x[:2])
 
@@ -254,7 +284,7 @@ def drawn(pairs: DataFrame, key: bytes) -> DataFrame:
     return pairs.select("kind", "canonical", "attempt").mapInArrow(make, "kind string, canonical string, attempt int, surrogate string")
 
 
-def redrawn(distinct: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
+def redrawn(distinct: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate met another's, or an entity of the corpus. Given names are
     held apart across genders, and no part of a name becomes a part of any name of the corpus."""
     group = F.when(F.col("kind").isin("man", "woman"), "given").otherwise(F.col("kind"))  # within it no two surrogates may meet
@@ -262,26 +292,24 @@ def redrawn(distinct: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     entity = F.struct("attempt", "canonical", "kind")
     there = distinct.select(realm.alias("realm"), F.col("canonical").alias("surrogate")).distinct()
     state = stored(drawn(distinct.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(rounds):
+    while True:  # each round leaves fewer, as surrogates grow longer
         named = state.withColumns({"group": group, "realm": realm})
         lowest = named.groupBy("group", "surrogate").agg(F.count("*").alias("n"), F.min(entity).alias("first")).where("n > 1")
         twice = named.join(lowest, ["group", "surrogate"]).where(entity != F.col("first")).select("kind", "canonical")
         real = named.join(there, ["realm", "surrogate"], "left_semi").select("kind", "canonical")
         bad = stored(twice.union(real).distinct(), "collisions")
         if bad.isEmpty():
-            break
+            return state.where("attempt > 0").select("kind", "canonical", "attempt")
         again = state.join(bad, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         state = stored(state.join(bad, ["kind", "canonical"], "left_anti").select("kind", "canonical", "attempt", "surrogate").unionByName(drawn(again, key)), "surrogates")
-    else:
-        raise ValueError(f"surrogates still meet after {rounds} draws")
-    return state.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per row of docs: doc_id, text (with surrogates; null stays null), n_entities, kinds (sorted, each once).
 
     The same entity gets the same surrogate everywhere, distinct ones distinct surrogates. Rows that repeat a doc_id are
-    treated each by its text; an empty table gives no rows; other columns are ignored.
+    treated each by its text; an empty table gives no rows; other columns are ignored. key is a secret: who has it can tell which surrogate
+    an entity gets.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(F.col("text")).alias("__t"), "text")
     found = stored(entities(rows), "entities")
@@ -308,4 +336,5 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    given = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(table(spark, sf_dir, "documents"), given.encode() if given else os.urandom(32))

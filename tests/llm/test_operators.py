@@ -13,6 +13,7 @@ import pytest
 
 from skysift.llm import decontamination, exact_dedup, html_text, language, near_duplicates, packing, quality, suffix_dedup, surrogates, textcols, token_store
 
+KEY = b"of these tests"
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __h string"
 LONG = " ".join(f"w{i % 997} x{i}" for i in range(4000))
@@ -354,12 +355,12 @@ def test_html_agrees_with_the_article_element(spark):
 
 def test_surrogates(docs, spark):
     text = "Mrs. Anna Smith, a.b@mail.example.com, card 4863730426282943; Mr. Smith again, +1 (656) 555-6510"
-    rows = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()
+    rows = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string"), KEY).collect()
     new = {r.doc_id: r.text for r in rows}
     assert new[1] == new[2] and new[3] is None
     for secret in ("Smith", "Anna", "a.b@", "4863730426282943", "656"):
         assert secret not in new[1]
-    assert surrogates.pseudonymise(docs).count() == len(ROWS)
+    assert surrogates.pseudonymise(docs, KEY).count() == len(ROWS)
 
 
 def test_given_names_stay_distinct(spark):
@@ -367,7 +368,7 @@ def test_given_names_stay_distinct(spark):
     russian = [x + y for x in surrogates.FIRST["woman", "CYRILLIC"] for y in ("", "на")]
     rows = [(k, f"Mr. {g} Smith") for k, g in enumerate(given)] + [(100 + k, f"Mrs. {g} Smith") for k, g in enumerate(russian)] + [(200 + k, f"Frau {g} Smith") for k, g in enumerate(given[:5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = surrogates.pseudonymise(docs).collect()
+    found = surrogates.pseudonymise(docs, KEY).collect()
     names = [r.text.split(" ", 1)[1] for r in found]
     assert len(set(names)) == len(rows)  # whole names
     assert len({n.split(" ")[1] for n in names}) == 1  # one surname
@@ -377,7 +378,7 @@ def test_given_names_stay_distinct(spark):
 def test_names_without_title_in_the_same_document(spark):
     text = "Smith came. Mrs. Anna Smith's car: Anna Smith (Smith, SMITHSON, Smithson) said Anna's e-mail is smith@a.org; Mr. Paul Smith and Ms. Smith. Paul, Smith-led"
     docs = spark.createDataFrame([(1, text), (2, "Smith and Anna")], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, KEY).collect()}
     new = got[1].text
     car, said, mail = (re.search(x, new) for x in (r"Mrs\. (\S+) (\w+)'s car", r"car: (\S+) (\w+) \((\w+), SMITHSON, Smithson\) said (\S+)'s e-mail", r"Mr\. (\S+) (\w+) and Ms\. (\w+)\. (\S+), (\w+)-led"))
     assert car.groups() == said.groups()[:2] and said[3] == car[2] and said[4] == car[1]
@@ -387,6 +388,29 @@ def test_names_without_title_in_the_same_document(spark):
     assert got[2].text == "Smith and Anna"  # no title in this document
 
 
+def test_surrogates_stay_distinct_where_their_space_is_full(spark):
+    texts = [f"{c}@mail.example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"Mr. {a}{b} Smith" for a in ("Ab", "Ce", "Di", "Fo", "Gu", "Ha", "Je", "Ki", "Lo", "Mu") for b in itertools.islice(map("".join, itertools.product("abcdefghij", repeat=2)), 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in surrogates.pseudonymise(docs, KEY).collect()}
+    assert len(set(new.values())) == len(texts) and not set(new.values()) & set(texts)
+    assert len({x.split(" ")[2] for x in new.values() if " " in x}) == 1
+
+
+def test_untitled_names_and_ipv6(spark):
+    text = "Then Anna Berg wrote to fe80::1ff:fe23:4567:890a; call Jane Roe (2001:0DB8:0:0:0:0:0:1, 2001:db8::1). At 12:30 Berg left std::vector, Jane's and The End."
+    rows = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), KEY).collect()
+    new, kinds = rows[0].text, rows[0].kinds
+    assert not re.search(r"Anna|Berg|Jane|Roe|fe80|2001", new) and kinds == ["ipv6", "woman"]
+    assert new.startswith("Then ") and " At 12:30 " in new and "std::vector" in new and new.endswith("and The End.")
+    one, two = re.search(r"\((\S+), (\S+)\)", new).groups()
+    assert one == two and re.search(r"Then \S+ (\w+) wrote", new)[1] == re.search(r"12:30 (\w+) left", new)[1]
+    assert surrogates.pseudonymise(spark.createDataFrame([], "doc_id long, text string, kind int, __a string"), KEY).count() == 0
+
+
+def test_mentions_take_time_in_proportion_to_their_number():
+    assert len(surrogates.mentions("a.b@mail.example.com and " * 20_000)) == 20_000
+
+
 def test_language_and_quality(spark, docs, empty):
     words = {"en": "the and with this that from", "de": "der und mit dieser nicht auch"}
     rng = np.random.default_rng(2)
