@@ -5,9 +5,9 @@ prefixes, suffixes, letter n-grams, and the language that the lexicon favours; l
 words together, so code-switched text is labelled in stretches. Forward-backward gives each word its posterior; a
 document's language is the one with the largest mean posterior.
 
-The field is fitted in the driver on stretches of words from at most about SAMPLE documents of each language, chosen and
-placed by hashes; stretches of several languages are put together, from which the transitions are learned. Only texts
-and languages of the rows marked as learnable are used; every document is then labelled, whole.
+The field is fitted in the driver on the whole texts of at most about SAMPLE documents of each language, chosen by a hash;
+stretches of several languages are put together, from which the transitions are learned. Only texts and languages of the
+rows marked as learnable are used; every document is then labelled, whole.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skysift.llm.shared import table
 from skysift.llm.textcols import Lexicon, encoded, gather, letter_classes, mix, raw, runs, slices
 
-SAMPLE, STRETCH = 400, 700
+SAMPLE = 120
 BITS = 16
 UNKNOWN = "und"
 
@@ -113,7 +113,7 @@ class Field:
 
 
 def learn(stretches: list[tuple[int, list[str]]], languages: list[str], epochs: int = 4, rate: float = 0.2, batch: int = 48, least: int = 3) -> Field:
-    """Adaptive gradients of the conditional likelihood. stretches: (language, words)."""
+    """Adaptive gradients of the conditional likelihood. stretches: (language, words of a text)."""
     field, n = Field(languages), len(languages)
     seen: dict[str, Counter] = {}
     for k, words in stretches:
@@ -178,17 +178,16 @@ def words_of(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray,
         yield i, j, words, idx, first
 
 
-def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE, stretch: int = STRETCH) -> Field:
-    """From docs' text and lang where learnable holds. A stretch is so many characters from a place set by a hash of the text."""
+def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Field:
+    """From docs' text and lang where learnable holds; sample bounds the rows of a language."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Field([UNKNOWN])
     pick = F.xxhash64("text", F.lit(3))
     share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, sample / c))])
-    room = F.greatest(F.char_length("text") - stretch, F.lit(0)) + 1
-    some = rows.where(F.pmod(pick, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", F.substring("text", F.pmod(F.xxhash64("text", F.lit(4)), room).cast("int") + 1, F.lit(stretch)).alias("text"))
-    got = sorted({(r.lang, r.text) for r in some.collect()})  # copies count once
+    some = rows.where(F.pmod(pick, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()  # copies count once
+    got = sorted({(r.lang, r.text) for r in some.collect()})
     languages, out = sorted(counts), []
     for _, _, words, idx, first in words_of(pa.array([t for _, t in got], pa.large_string())):
         out += [[words[k] for k in idx[s:e]] for s, e in zip(first[:-1], first[1:], strict=True)]
