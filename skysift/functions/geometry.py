@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The nine regions of an image, row by row; earlier ones win ties.
@@ -95,3 +98,44 @@ def tile_grid(width: Column, height: Column, tile: int = 448) -> Column:
         return F.struct(F.when(better, d).otherwise(best["d"]).alias("d"), F.when(better, g["i"]).otherwise(best["i"]).alias("i"), F.when(better, g["j"]).otherwise(best["j"]).alias("j"))
 
     return F.aggregate(grids, start, step, lambda b: F.struct(b["i"].alias("i"), b["j"].alias("j")))
+
+
+def random_subpatch(images: DataFrame, seed: int = 2024) -> DataFrame:
+    """images (width, height, ...) with sub_x1, sub_y1, sub_x2, sub_y2: a box that depends on the image's size and the seed alone. Its width and height are drawn first,
+    each from 1 on, then its corner from what is left; images without pixels have none."""
+    sides = ("sub_x1", "sub_y1", "sub_x2", "sub_y2")
+    w, h = images.columns.index("width"), images.columns.index("height")
+
+    def draw(size: tuple[int | None, int | None]) -> tuple[int | None, ...]:
+        import random
+
+        if not size[0] or not size[1]:
+            return (None,) * 4
+        r = random.Random(seed)
+        side = [r.randint(1, n) for n in size]
+        at = [r.randint(0, n - k) for n, k in zip(size, side, strict=True)]
+        return (*at, *(a + k for a, k in zip(at, side, strict=True)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            boxes = [draw(x) for x in zip(b.column(w).to_pylist(), b.column(h).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in boxes], pa.int64()) for k in range(4))], names=[*b.schema.names, *sides])
+
+    schema = images.withColumns({n: F.lit(None).cast("long") for n in sides}).schema
+    return images.mapInArrow(add, schema)
+
+
+def sides_of_ranges(w_range: Column, h_range: Column) -> Box:
+    """Corner, width and height of the box with these ranges (arrays of begin and end)."""
+    return w_range[0], h_range[0], w_range[1] - w_range[0], h_range[1] - h_range[0]
+
+
+def whole(boxes: Column) -> Column:
+    """Boxes (array<array<number>>) in whole numbers."""
+    return F.transform(boxes, lambda b: b.cast("array<int>"))
+
+
+def cue_boxes(cx: Column, cy: Column, w: Column, h: Column, scale: float, low: Column, high: Column, width: Column, height: Column) -> tuple[Box, Box]:
+    """A cue given by centre and sides, scaled and clamped to [low, high]; and the same in pixels of an image, high standing for its whole side."""
+    box = scaled(corners(cx, cy, w, h), scale, low, high)
+    return box, tuple((v / high * size).cast("int") for v, size in zip(box, (width, height) * 2, strict=True))

@@ -11,6 +11,91 @@ CHOICES_HEAD, ANSWER_TAIL = " The choices are listed below: \n", "\nThe best ans
 TARGET_QUESTION = "What is the target of interest in this question? Answer in short phrases only."
 BOX_REQUEST = "<image>\nPlease provide the bounding box coordinate of the region this sentence describes: <ref>{}</ref>."
 
+LOOK = "Look at the image and answer the question based on the provided additional information (location of sub-patches). \nQuestion: "
+# The texts that a phrase is put in before it is encoded.
+TEMPLATES = [
+    "a bad photo of a {}.",
+    "a photo of many {}.",
+    "a sculpture of a {}.",
+    "a photo of the hard to see {}.",
+    "a low resolution photo of the {}.",
+    "a rendering of a {}.",
+    "graffiti of a {}.",
+    "a bad photo of the {}.",
+    "a cropped photo of the {}.",
+    "a tattoo of a {}.",
+    "the embroidered {}.",
+    "a photo of a hard to see {}.",
+    "a bright photo of a {}.",
+    "a photo of a clean {}.",
+    "a photo of a dirty {}.",
+    "a dark photo of the {}.",
+    "a drawing of a {}.",
+    "a photo of my {}.",
+    "the plastic {}.",
+    "a photo of the cool {}.",
+    "a close-up photo of a {}.",
+    "a black and white photo of the {}.",
+    "a painting of the {}.",
+    "a painting of a {}.",
+    "a pixelated photo of the {}.",
+    "a sculpture of the {}.",
+    "a bright photo of the {}.",
+    "a cropped photo of a {}.",
+    "a plastic {}.",
+    "a photo of the dirty {}.",
+    "a jpeg corrupted photo of a {}.",
+    "a blurry photo of the {}.",
+    "a photo of the {}.",
+    "a good photo of the {}.",
+    "a rendering of the {}.",
+    "a {} in a video game.",
+    "a photo of one {}.",
+    "a doodle of a {}.",
+    "a close-up photo of the {}.",
+    "a photo of a {}.",
+    "the origami {}.",
+    "the {} in a video game.",
+    "a sketch of a {}.",
+    "a doodle of the {}.",
+    "a origami {}.",
+    "a low resolution photo of a {}.",
+    "the toy {}.",
+    "a rendition of the {}.",
+    "a photo of the clean {}.",
+    "a photo of a large {}.",
+    "a rendition of a {}.",
+    "a photo of a nice {}.",
+    "a photo of a weird {}.",
+    "a blurry photo of a {}.",
+    "a cartoon {}.",
+    "art of a {}.",
+    "a sketch of the {}.",
+    "a embroidered {}.",
+    "a pixelated photo of a {}.",
+    "itap of the {}.",
+    "a jpeg corrupted photo of the {}.",
+    "a good photo of a {}.",
+    "a plushie {}.",
+    "a photo of the nice {}.",
+    "a photo of the small {}.",
+    "a photo of the weird {}.",
+    "the cartoon {}.",
+    "art of the {}.",
+    "a drawing of the {}.",
+    "a photo of the large {}.",
+    "a black and white photo of a {}.",
+    "the plushie {}.",
+    "a dark photo of a {}.",
+    "itap of a {}.",
+    "graffiti of the {}.",
+    "a toy {}.",
+    "itap of my {}.",
+    "a photo of a cool {}.",
+    "a photo of a small {}.",
+    "a tattoo of the {}.",
+]
+
 
 def stripped(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
@@ -59,6 +144,37 @@ def evidence_prompt(boxes: Column) -> Column:
     return F.concat(F.lit("<image>\nAdditional information:\n"), F.concat_ws("", F.transform(boxes, line)))
 
 
+def evidence_question(boxes: Column, prompt: Column) -> Column:
+    """The question after its evidence."""
+    return F.concat(evidence_prompt(boxes), F.lit(LOOK), prompt)
+
+
+def target_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Question: "), text, F.lit("\n" + TARGET_QUESTION))
+
+
+def box_prompt(target: Column) -> Column:
+    return F.replace(F.lit(BOX_REQUEST), F.lit("{}"), target)
+
+
+def templated(phrase: Column, templates: list[str]) -> Column:
+    """The phrase in each template."""
+    return F.array(*[F.replace(F.lit(t), F.lit("{}"), phrase) for t in templates])
+
+
+def chosen_phrases(phrases: Column, keywords: Column, keep: int = 5) -> Column:
+    """Phrases that are keywords with the same score, then the other keywords; without any such, the keywords. Both: array<struct<phrase, score>>."""
+    both = F.array_intersect(phrases, keywords)
+    return F.transform(F.slice(F.concat(both, F.array_except(keywords, both)), 1, keep), lambda x: x["phrase"])
+
+
+def region_text(left: Column, top: Column, right: Column, bottom: Column, angle: Column) -> Column:
+    """A box and its angle as <left><top><right><bottom>|<angle>, in whole numbers, left and top not below 0."""
+    whole = lambda v: v.cast("int").cast("string")
+    least = lambda v: F.greatest(v, F.lit(0.0))
+    return F.concat(F.lit("<"), F.concat_ws("><", whole(least(left)), whole(least(top)), whole(right), whole(bottom)), F.lit(">|<"), whole(angle), F.lit(">"))
+
+
 def summary_phrase(phrases: Column) -> Column:
     """'a and b', or 'a, b, and c'; null for fewer than two."""
     n = F.size(phrases)
@@ -84,8 +200,8 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
 
 
-def result_name(dataset: Column, method: Column, encoder: Column, path_t: Column, lrsd_t: Column, crsd_t: Column, reducer: Column) -> Column:
-    return F.concat(F.concat_ws("_", dataset, F.lit("zoom4kvqa10k"), F.lit("imagerag"), method, encoder, path_t, lrsd_t, crsd_t, reducer), F.lit(".jsonl"))
+def result_name(dataset: Column, run: Column, mode: Column, method: Column, encoder: Column, path_t: Column, lrsd_t: Column, crsd_t: Column, reducer: Column) -> Column:
+    return F.concat(F.concat_ws("_", dataset, run, mode, method, encoder, path_t, lrsd_t, crsd_t, reducer), F.lit(".jsonl"))
 
 
 def result_parts(name: Column) -> dict[str, Column]:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +55,65 @@ def png_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", number(17).alias("width"), number(21).alias("height"))
 
 
+def open_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, width, height, pixels) of all images that Java can read in the folders below: three bytes a pixel, red, green, blue, row by row. Grey images are spread to three
+    channels and transparency is dropped; files that are no images are left out."""
+    found = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder)
+
+    def rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for data, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                channels = np.frombuffer(data, np.uint8).reshape(-1, n)
+                out.append(np.repeat(channels, 3, 1).tobytes() if n == 1 else np.ascontiguousarray(channels[:, 2::-1]).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=["path", "width", "height", "pixels"])
+
+    rows = found.select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.data", "image.nChannels")
+    return rows.mapInArrow(rgb, "path string, width int, height int, pixels binary")
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of an array (height, width, 3) of bytes."""
+    h, w, _ = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def cropped(images: DataFrame, patches: DataFrame) -> DataFrame:
+    """(image, patch_idx, x1, y1, x2, y2, name, png): each patch cut from its image, with its file name. images: path, width, height, pixels, and image, the key of patches. What lies
+    outside the image is black."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w, h, data, *box in zip(*(c.to_pylist() for c in b.columns[7:10]), *(c.to_pylist() for c in b.columns[2:6]), strict=True):
+                x1, y1, x2, y2 = box
+                whole, own = np.frombuffer(data, np.uint8).reshape(h, w, 3), np.zeros((y2 - y1, x2 - x1, 3), np.uint8)
+                left, top, right, low = max(x1, 0), max(y1, 0), min(x2, w), min(y2, h)
+                if left < right and top < low:
+                    own[top - y1 : low - y1, left - x1 : right - x1] = whole[top:low, left:right]
+                out.append(png(own))
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(out, pa.binary())], names=["image", "patch_idx", "x1", "y1", "x2", "y2", "name", "png"])
+
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    name = F.concat(stem, F.lit("_"), F.concat_ws("-", "x1", "y1", "x2", "y2"), F.lit(".png"))
+    both = patches.select("image", "patch_idx", "x1", "y1", "x2", "y2").join(images.select("image", "path", "width", "height", "pixels"), "image")
+    rows = both.select("image", "patch_idx", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], name.alias("name"), "width", "height", "pixels")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(cut, f"image {kinds['image']}, patch_idx {kinds['patch_idx']}, x1 int, y1 int, x2 int, y2 int, name string, png binary")
+
+
+def list_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder): those below that hold images."""
+    return list_images(spark, folder).select("folder").distinct()
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(img_name, feat) shards of a folder, names without their folders."""
+    return spark.read.parquet(path).withColumn("img_name", F.element_at(F.split("img_name", "/"), -1))
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(img_name, label, feat) shards of a folder."""
     return spark.read.parquet(path)
