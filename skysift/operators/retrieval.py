@@ -13,12 +13,16 @@ from skysift.functions import vectors as V
 from skysift.session import checkpointed
 
 SCALE = 100.0
-#: The side that is sent to all executors has at most so many rows; a larger one is left to the planner.
-SMALL_ROWS = 100_000
+#: The side that is sent to all executors has at most so many bytes in its vectors; a larger one is left to the planner.
+SMALL_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """df marked for broadcast if its vectors are proven to be small enough."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    room = F.lit(64) + sum((F.size(c) * 8 for c in wide), F.lit(0))
+    held = df.limit(most // 64 + 1).agg(F.coalesce(F.sum(room), F.lit(0)).alias("b")).first().b
+    return F.broadcast(df) if held <= most else df
 
 
 def similarity(texts: DataFrame, patches: DataFrame, scale: float = SCALE, normalise_texts: bool = True) -> DataFrame:
@@ -75,17 +79,17 @@ def reverse_map(near: DataFrame) -> DataFrame:
     return near.groupBy("question_id", "label_id").agg(F.max("pos").alias("pos"))
 
 
-def mean(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """(by, vec): mean vector of each group."""
-    parts = candidates.select(*by, F.posexplode(V.doubles(F.col("vec"))).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))
+def mean(candidates: DataFrame, by: list[str], normalise: bool = True) -> DataFrame:
+    """(by, vec): mean vector of each group, of unit vectors if normalise."""
+    parts = candidates.select(*by, F.posexplode(V.unit(F.col("vec")) if normalise else V.doubles(F.col("vec"))).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))
     lists = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     return lists.select(*by, F.transform("v", lambda c: c["x"]).alias("vec"))
 
 
 def rerank(candidates: DataFrame, by: list[str], n: int = 3) -> DataFrame:
-    """Mean of the n candidates most similar to the phrase. candidates: by, img_name, vec, phrase_vec."""
+    """Mean of the n candidates most similar to the phrase, as they are: only their similarity is that of unit vectors. candidates: by, img_name, vec, phrase_vec."""
     order = Window.partitionBy(*by).orderBy(F.desc(V.cosine(F.col("vec"), F.col("phrase_vec"))), "img_name")
-    return mean(candidates.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n), by)
+    return mean(candidates.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n), by, normalise=False)
 
 
 def clusters(points: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
@@ -106,32 +110,32 @@ def clusters(points: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
     return state.withColumn("size", F.count("*").over(Window.partitionBy(*by, "cluster")))
 
 
-def cluster_mean(candidates: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
-    """Mean of each group's largest cluster, of equal ones the one with the lowest member; of groups without clusters, of all. candidates: by, id, vec."""
+def cluster_mean(candidates: DataFrame, by: list[str], eps: float = 0.3, normalise: bool = True) -> DataFrame:
+    """Mean, of unit vectors if normalise, of each group's largest cluster, of equal ones the one with the lowest member; of groups without clusters, of all. candidates: by, id, vec."""
     found = clusters(candidates, by, eps)
     best = found.groupBy(*by).agg(F.max(F.struct("size", (-F.col("cluster")).alias("c"))).alias("b"))
     members = found.join(best, by).where((F.col("size") == F.col("b.size")) & (F.col("cluster") == -F.col("b.c"))).select(*by, "id")
     inside = candidates.join(members, [*by, "id"], "left_semi")
-    return mean(inside.unionByName(candidates.join(best.select(*by), by, "left_anti")), by)
+    return mean(inside.unionByName(candidates.join(best.select(*by), by, "left_anti")), by, normalise)
 
 
-def reduced(candidates: DataFrame, by: list[str], how: str, eps: float = 0.3) -> DataFrame:
+def reduced(candidates: DataFrame, by: list[str], how: str, eps: float = 0.3, normalise: bool = True) -> DataFrame:
     if how == "mean":
-        return mean(candidates, by)
+        return mean(candidates, by, normalise)
     if how == "cluster":
-        return cluster_mean(candidates, by, eps)
+        return cluster_mean(candidates, by, eps, normalise)
     if how == "rerank":
         return rerank(candidates, by)
     raise ValueError(f"reduction {how!r}: mean, cluster or rerank is needed")
 
 
 def routed(questions: DataFrame, fast: DataFrame, lrsd: DataFrame, crsd: DataFrame) -> DataFrame:
-    """(question_id, path): the first tier that has something for a question; what is left goes on without evidence."""
-    q = questions.select("question_id").distinct()
-    out = None
-    for name, tier in (("Fast", fast), ("Slow-LRSD", lrsd), ("Slow-CRSD", crsd)):
-        ids = tier.select("question_id").distinct()
-        part = q.join(ids, "question_id", "left_semi").select("question_id", F.lit(name).alias("path"))
-        q = q.join(ids, "question_id", "left_anti")
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(q.select("question_id", F.lit("Zero-shot").alias("path")))
+    """(question_id, path): the first tier that has something for a question; what is left goes on without evidence. Each tier is read once."""
+    names = ["Fast", "Slow-LRSD", "Slow-CRSD"]
+    ranks = None
+    for rank, tier in enumerate((fast, lrsd, crsd)):
+        part = tier.select("question_id", F.lit(rank).alias("rank")).distinct()
+        ranks = part if ranks is None else ranks.unionByName(part)
+    first = ranks.groupBy("question_id").agg(F.min("rank").alias("rank"))
+    path = F.coalesce(F.get(F.array(*map(F.lit, names)), F.col("rank")), F.lit("Zero-shot"))
+    return questions.select("question_id").distinct().join(first, "question_id", "left").select("question_id", path.alias("path"))

@@ -15,6 +15,7 @@ from skysift.functions import geometry as G
 from skysift.functions import text as X
 from skysift.functions import vectors as V
 from skysift.operators import evaluation as E
+from skysift.operators import modes as O
 from skysift.operators import patches as P
 from skysift.operators import retrieval as R
 from skysift.sources import tables as S
@@ -120,9 +121,12 @@ def spread(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"WITH {VEC} SELECT label, i - 1 AS i, round(avg(v[i]), 6) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM p) GROUP BY ALL")
+UNIT = "list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))"
+
+
+@query(f"WITH {VEC} SELECT label, i - 1 AS i, round(avg(v[i]), 6) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT label, {UNIT} AS v FROM e)) GROUP BY ALL")
 def q05_reduce_mean(spark: SparkSession, d: str) -> DataFrame:
-    return spread(R.mean(patches(spark, d), ["label"]), ["label"])
+    return spread(R.mean(vectors(spark, d), ["label"]), ["label"])
 
 
 @query(f"""
@@ -133,27 +137,31 @@ c AS (SELECT label, id AS root, id FROM g UNION SELECT c.label, c.root, g.id2 FR
 m AS (SELECT label, id, min(root) AS cluster FROM c GROUP BY ALL),
 z AS (SELECT label, cluster, count(*) AS size FROM m GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, cluster) AS r FROM z),
-w AS (SELECT u.label, e.v FROM u JOIN e ON e.vec_id = u.id LEFT JOIN b ON b.label = u.label AND r = 1 LEFT JOIN m ON m.id = u.id WHERE b.label IS NULL OR m.cluster = b.cluster)
+w AS (SELECT u.label, u.v FROM u LEFT JOIN b ON b.label = u.label AND r = 1 LEFT JOIN m ON m.id = u.id WHERE b.label IS NULL OR m.cluster = b.cluster)
 SELECT label, i - 1 AS i, round(avg(v[i]), 6) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM w) GROUP BY ALL""")
 def q06_reduce_cluster(spark: SparkSession, d: str) -> DataFrame:
     return spread(R.cluster_mean(vectors(spark, d).withColumnRenamed("vec_id", "id"), ["label"], 1.2), ["label"])
 
 
 @query(f"""
-WITH {VEC}, a AS (SELECT patch_idx % 5 AS pos, label, patch_idx, v FROM p),
-r AS (SELECT a.label, a.v, row_number() OVER (PARTITION BY a.label, a.pos ORDER BY list_inner_product(a.v, t.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(t.v, t.v)) DESC, patch_idx) AS k, a.pos
-      FROM a JOIN t ON t.pos = a.pos AND t.question_id = 0)
-SELECT label, pos, i - 1 AS i, round(avg(v[i]), 6) AS x FROM (SELECT label, pos, v, unnest(range(1, len(v) + 1)) AS i FROM r WHERE k <= 3) GROUP BY ALL""")
+WITH {VEC}, {NEAR}, lm AS (SELECT question_id, label, max(pos) AS pos FROM k WHERE rank <= 3 AND dist <= {CRSD_T} GROUP BY ALL),
+r AS (SELECT lm.question_id, lm.label, p.v, row_number() OVER (PARTITION BY lm.question_id, lm.label ORDER BY list_inner_product(p.v, t.v) / sqrt(list_inner_product(p.v, p.v)) / sqrt(list_inner_product(t.v, t.v)) DESC, patch_idx) AS k
+      FROM lm JOIN p ON p.label = lm.label JOIN t ON t.question_id = lm.question_id AND t.pos = lm.pos)
+SELECT question_id, label, i - 1 AS i, round(avg(v[i]), 6) AS x FROM (SELECT question_id, label, v, unnest(range(1, len(v) + 1)) AS i FROM r WHERE k <= 3) GROUP BY ALL""")
 def q07_reduce_rerank(spark: SparkSession, d: str) -> DataFrame:
-    first = phrases(spark, d).where("question_id = 0").select("pos", F.col("vec").alias("phrase_vec"))
-    own = patches(spark, d).withColumn("pos", F.col("patch_idx") % 5).withColumnRenamed("patch_idx", "img_name").join(R.small(first), "pos")
-    return spread(R.rerank(own, ["label", "pos"]), ["label", "pos"])
+    """The labels near each question's phrases, each reduced to its three images most like the last phrase that found it."""
+    images = patches(spark, d)
+    near = near_labels(spark, d, CRSD_T).join(images.select(F.col("patch_idx").alias("label_id"), "label"), "label_id")
+    found = R.reverse_map(near.select("question_id", F.col("label").alias("label_id"), "pos")).withColumnRenamed("label_id", "label")
+    phrase = phrases(spark, d).select("question_id", "pos", F.col("vec").alias("phrase_vec"))
+    own = images.withColumnRenamed("patch_idx", "img_name").join(found.join(phrase, ["question_id", "pos"]), "label")
+    return spread(R.rerank(own, ["question_id", "label"]), ["question_id", "label"])
 
 
 CUES = """
 k3 AS (SELECT * FROM k WHERE rank <= 3 AND dist <= {t}),
 lm AS (SELECT question_id, label, max(pos) AS pos FROM k3 GROUP BY ALL),
-we AS (SELECT question_id, lm.label, v, unnest(range(1, len(v) + 1)) AS i FROM lm JOIN p ON p.label = lm.label),
+we AS (SELECT question_id, label, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT question_id, lm.label, {unit} AS v FROM lm JOIN p ON p.label = lm.label)),
 wa AS (SELECT question_id, label, i, avg(v[i]) AS x FROM we GROUP BY ALL),
 wv AS (SELECT question_id, label AS pos, list(x ORDER BY i) AS v FROM wa GROUP BY ALL)"""
 
@@ -167,7 +175,7 @@ def slow_cues(spark: SparkSession, d: str, threshold: float, how: str = "mean")
     return R.vote(R.similarity(found.withColumnRenamed("label", "pos"), images, normalise_texts=False))
 
 
-@query(f"WITH {VEC}, {NEAR}, {CUES.format(t=LRSD_T)}, {softmax_sql('wv', False)}, {vote_sql()} SELECT question_id, cue_pos, patch_idx, {SIX}, votes FROM c")
+@query(f"WITH {VEC}, {NEAR}, {CUES.format(t=LRSD_T, unit=UNIT)}, {softmax_sql('wv', False)}, {vote_sql()} SELECT question_id, cue_pos, patch_idx, {SIX}, votes FROM c")
 def q08_select_visual_cue(spark: SparkSession, d: str) -> DataFrame:
     return slow_cues(spark, d, LRSD_T).select("question_id", "cue_pos", "patch_idx", F.round("confidence", 6).alias("confidence"), "votes")
 
@@ -197,16 +205,18 @@ def q09_waterfall_paths(spark: SparkSession, d: str) -> DataFrame:
     return tiers(spark, d, 0.9, LRSD_T, CRSD_T)
 
 
-@query(f"WITH {VEC}, {NEAR} SELECT question_id, label AS label_id, max(pos) AS pos FROM k WHERE rank <= 3 AND dist <= {CRSD_T} GROUP BY ALL")
+@query(f"WITH {VEC}, {NEAR} SELECT question_id, label, max(pos) AS pos FROM k WHERE rank <= 3 AND dist <= {CRSD_T} GROUP BY ALL")
 def q10_reverse_map_last_wins(spark: SparkSession, d: str) -> DataFrame:
     images = patches(spark, d).select(F.col("patch_idx").alias("label_id"), "label")
     near = near_labels(spark, d, CRSD_T).join(images, "label_id").select("question_id", F.col("label").alias("label_id"), "pos")
-    return R.reverse_map(near)
+    return R.reverse_map(near).withColumnRenamed("label_id", "label")
 
 
-@query(f"WITH {VEC} SELECT label, count(*) AS n, min(patch_idx) AS first, max(patch_idx) AS last, sum(patch_idx) AS total FROM p GROUP BY label")
+@query("SELECT label, count(*) AS n, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM embeddings GROUP BY label")
 def q28_label_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return patches(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min("patch_idx").alias("first"), F.max("patch_idx").alias("last"), F.sum("patch_idx").alias("total"))
+    """Each label's images; the list is the result, as in the index itself."""
+    lists = vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("l"))
+    return lists.select("label", F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 NOT IN (0, 3)")
@@ -360,20 +370,8 @@ def q19_bbox_normalise_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q41_random_subpatch(spark: SparkSession, d: str) -> DataFrame:
     """A box that depends on the image's size alone."""
-    import random
-
-    import pyarrow as pa
-
-    def pick(batches):
-        for b in batches:
-            out = []
-            for w, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                r = random.Random(2024)
-                x1, y1 = r.randint(0, w - 1), r.randint(0, h - 1)
-                out.append((x1, y1, r.randint(x1 + 1, w), r.randint(y1 + 1, h)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(4))], names=["image", "x1", "y1", "x2", "y2"])
-
-    return images(spark, d).mapInArrow(pick, "image long, x1 long, y1 long, x2 long, y2 long")
+    made = G.random_subpatch(images(spark, d))
+    return made.select("image", *[F.col(f"sub_{n}").alias(n) for n in ("x1", "y1", "x2", "y2")])
 
 
 # ---------------------------------------------------------------- answers, prompts, sweeps
@@ -456,13 +454,13 @@ def q24_sweep_best_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {RUNS}, c AS (SELECT encoder_name, patch_method, reduce_fn, path_T, lrsd_T, crsd_T, count(*) AS n, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM r GROUP BY ALL)
-SELECT concat_ws('_', 'mmerealworld', 'zoom4kvqa10k', 'imagerag', patch_method, encoder_name, CAST(path_T AS VARCHAR), CAST(lrsd_T AS VARCHAR), CAST(crsd_T AS VARCHAR), reduce_fn) || '.jsonl' AS name, n, click, view FROM c WHERE n >= 2""")
+SELECT concat_ws('_', 'questions', 'store', 'retrieval', patch_method, encoder_name, CAST(path_T AS VARCHAR), CAST(lrsd_T AS VARCHAR), CAST(crsd_T AS VARCHAR), reduce_fn) || '.jsonl' AS name, n, click, view FROM c WHERE n >= 2""")
 def q25_result_pivot_complete(spark: SparkSession, d: str) -> DataFrame:
     key = ["encoder_name", "patch_method", "reduce_fn", "path_T", "lrsd_T", "crsd_T"]
     mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 6).alias(kind)
     runs = sweep(spark, d).groupBy(*key).agg(F.count("*").alias("n"), mean("click"), mean("view")).where("n >= 2")
     text = lambda c: F.col(c).cast("string")
-    name = X.result_name(F.lit("mmerealworld"), F.col("patch_method"), F.col("encoder_name"), text("path_T"), text("lrsd_T"), text("crsd_T"), F.col("reduce_fn"))
+    name = X.result_name(F.lit("questions"), F.lit("store"), F.lit("retrieval"), F.col("patch_method"), F.col("encoder_name"), text("path_T"), text("lrsd_T"), text("crsd_T"), F.col("reduce_fn"))
     return runs.select(name.alias("name"), "n", "click", "view")
 
 
@@ -563,19 +561,15 @@ def hashed(text: Column, dim: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
 
 
-# The first of the templates that a phrase is put in before it is encoded.
-TEMPLATES = ["a bad photo of a {}.", "a photo of many {}.", "a sculpture of a {}.", "a photo of the hard to see {}.", "a low resolution photo of the {}.", "a rendering of a {}.", "graffiti of a {}.", "a bad photo of the {}."]
-
-
 @query(f"""
-WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest([{", ".join(f"'{t}'" for t in TEMPLATES)}]) AS t),
+WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest([{", ".join(f"'{t}'" for t in X.TEMPLATES)}]) AS t),
 w AS (SELECT p_name, t, unnest(list_filter(string_split_regex(lower(replace(t, '{{}}', p_name)), '\\W+'), lambda x: x <> '')) AS w FROM n, t),
 h AS (SELECT p_name, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 16 AS i FROM w)
-SELECT p_name, CAST(i AS INT) AS i, round(count(*) / {len(TEMPLATES)}, 6) AS x FROM h GROUP BY ALL""")
+SELECT p_name, CAST(i AS INT) AS i, round(count(*) / {len(X.TEMPLATES)}, 6) AS x FROM h GROUP BY ALL""")
 def q38_hash_encode_template_mean(spark: SparkSession, d: str) -> DataFrame:
     names = S.table(spark, d, "part").select("p_name").distinct()
-    texts = names.select("p_name", F.explode(F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("p_name")) for t in TEMPLATES])).alias("t"))
-    return spread(R.mean(texts.select("p_name", hashed(F.col("t")).alias("vec")), ["p_name"]), ["p_name"]).where("x > 0")
+    texts = names.select("p_name", F.explode(X.templated(F.col("p_name"), X.TEMPLATES)).alias("t"))
+    return spread(R.mean(texts.select("p_name", hashed(F.col("t")).alias("vec")), ["p_name"], normalise=False), ["p_name"]).where("x > 0")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS again FROM events")
@@ -594,6 +588,92 @@ def q45_cue_assembly(spark: SparkSession, d: str) -> DataFrame:
     return union.select("*", G.permille(F.col("x1"), F.lit(900)).alias("nx1"), G.permille(F.col("y2"), F.lit(700)).alias("ny2"))
 
 
+# ---------------------------------------------------------------- modes
+
+INSTRUCTION = "Select one."
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about part rows: the true box follows from the row, every fourth one counts."""
+    p = images(spark, d).join(S.table(spark, d, "part").select(F.col("p_partkey").alias("image"), "p_name", "p_brand", "p_type", "p_size"), "image")
+    x, y, n = F.col("image") % 19, F.col("image") % 7, F.col("p_size")
+    return p.select(
+        F.col("image").alias("question_id"), F.concat(F.lit("What is "), "p_name", F.lit("?")).alias("text"), F.array(F.concat(F.lit("(A) "), "p_brand"), F.concat(F.lit("(B) "), "p_type")).alias("choices"),
+        F.when(F.col("image") % 4 == 0, "count").otherwise("color").alias("category"), "width", "height", F.array(*[v.cast("double") for v in (x, y, x + n / 7, y + n)]).alias("gt_toi"),
+    )
+
+
+ASKED = f"""{IMG.replace("i AS (", "i0 AS (")},
+q AS (SELECT p_partkey AS question_id, i0.width, i0.height, CASE WHEN p_partkey % 4 = 0 THEN 'count' ELSE 'color' END AS category, CAST(p_partkey % 19 AS DOUBLE) AS x1, CAST(p_partkey % 7 AS DOUBLE) AS y1, p_partkey % 19 + p_size / 7 AS x2, CAST(p_partkey % 7 + p_size AS DOUBLE) AS y2,
+  'What is ' || p_name || '? The choices are listed below: ' || chr(10) || '(A) ' || p_brand || chr(10) || '(B) ' || p_type || chr(10) || 'Select one.' || chr(10) || 'The best answer is:' AS plain FROM part JOIN i0 ON image = p_partkey)"""
+HEAD, LOOKING = "'<image>' || chr(10) || 'Additional information:' || chr(10)", "'" + X.LOOK.replace("\n", "' || chr(10) || '") + "'"
+
+
+def patch_sql(n: str, box: str) -> str:
+    return f"'Sub-patch ' || {n} || ' at location <box>[[' || " + " || ', ' || ".join(f"printf('%.2f', {box.format(c)}::DOUBLE)" for c in ("x1", "y1", "x2", "y2")) + " || ']]</box>: <image>' || chr(10)"
+
+
+@query(f"WITH {ASKED} SELECT question_id, plain AS prompt, 'baseline' AS path FROM q")
+def q46_mode_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return O.prompts("baseline", asked(spark, d), INSTRUCTION).select("question_id", "prompt", "path")
+
+
+@query(f"""
+WITH {ASKED}, g AS (SELECT *, trunc(greatest(0, (x1 + x2) / 2 - (x2 - x1) * 1.5 / 2)) / width * 1000 AS bx1, trunc(greatest(0, (y1 + y2) / 2 - (y2 - y1) * 1.5 / 2)) / height * 1000 AS by1,
+  trunc(least(width, (x1 + x2) / 2 + (x2 - x1) * 1.5 / 2)) / width * 1000 AS bx2, trunc(least(height, (y1 + y2) / 2 + (y2 - y1) * 1.5 / 2)) / height * 1000 AS by2 FROM q)
+SELECT question_id, {HEAD} || {patch_sql("1", "b{}")} || {LOOKING} || plain AS prompt, CAST(trunc(bx1 / 1000 * width) AS INT) AS crop_x1, CAST(trunc(by2 / 1000 * height) AS INT) AS crop_y2 FROM g""")
+def q47_mode_detection_gt(spark: SparkSession, d: str) -> DataFrame:
+    """The true box, half as large again."""
+    made = O.prompts("detection_gt", asked(spark, d), INSTRUCTION, factor=1.5)
+    return made.select("question_id", "prompt", F.col("crops")[0]["x1"].alias("crop_x1"), F.col("crops")[0]["y2"].alias("crop_y2"))
+
+
+def cue_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Two or three cues of two questions in three."""
+    some = images(spark, d).where("image % 3 != 0").select(F.col("image").alias("question_id"), F.explode(F.sequence(F.lit(0), (F.col("image") % 3).cast("int"))).alias("cue_pos"), "width", "height")
+    x, y = F.col("cue_pos") * 3 + F.col("question_id") % 11, (2 - F.col("cue_pos")) * 2 + F.col("question_id") % 5
+    return some.select("question_id", F.lit("Fast").alias("path"), "cue_pos", ((F.col("cue_pos") * 7 + F.col("question_id")) % 10 / 10.0).alias("confidence"), x.alias("x1"), y.alias("y1"), (x + 9).alias("x2"), (y + 8).alias("y2"))
+
+
+@query(f"""
+WITH {ASKED}, c0 AS (SELECT question_id, width, height, category, plain, unnest(range(0, question_id % 3 + 1)) AS pos FROM q WHERE question_id % 3 <> 0),
+c AS (SELECT *, (pos * 7 + question_id) % 10 / 10.0::DOUBLE AS conf, pos * 3 + question_id % 11 AS x1, (2 - pos) * 2 + question_id % 5 AS y1, pos * 3 + question_id % 11 + 9 AS x2, (2 - pos) * 2 + question_id % 5 + 8 AS y2 FROM c0),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY conf DESC, pos) AS n, count(*) OVER (PARTITION BY question_id) AS m FROM c WHERE conf > 0),
+u AS (SELECT question_id, any_value(width) AS width, any_value(height) AS height, any_value(category) AS category, count(*) AS m, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, avg(conf) AS conf FROM k GROUP BY question_id),
+b AS (
+  SELECT question_id, width, height, n, x1, y1, x2, y2, conf FROM k WHERE m = 1 OR category <> 'count'
+  UNION ALL SELECT question_id, width, height, CASE WHEN category = 'count' THEN 1 ELSE m + 1 END, x1, y1, x2, y2, conf FROM u WHERE m > 1),
+s AS (SELECT question_id, n, conf, trunc(x1 / width * 1000) AS x1, trunc(y1 / height * 1000) AS y1, trunc(x2 / width * 1000) AS x2, trunc(y2 / height * 1000) AS y2 FROM b),
+a AS (SELECT question_id, string_agg({patch_sql("n", "{}")}, '' ORDER BY n) AS said, array_to_string(list(round(conf, 6) ORDER BY n), ',') AS confidence FROM s GROUP BY question_id)
+SELECT q.question_id, CASE WHEN said IS NULL THEN plain ELSE {HEAD} || said || {LOOKING} || plain END AS prompt, coalesce(confidence, '') AS confidence, CASE WHEN said IS NULL THEN 'Zero-shot' ELSE 'Fast' END AS path FROM q LEFT JOIN a USING (question_id)""")
+def q48_mode_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    made = O.prompts("retrieval", asked(spark, d), INSTRUCTION, cues=cue_boxes(spark, d))
+    return made.select("question_id", "prompt", F.array_join(F.transform("confidence", lambda x: F.round(x, 6).cast("string")), ",").alias("confidence"), "path")
+
+
+@query(f"""
+WITH {VEC_SOLO}, {softmax_sql('t')}, {vote_sql()}, {NEAR},
+f AS (SELECT question_id, 0 AS tier, 'Fast' AS path, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, cue_pos) - 1 AS cue_pos, patch_idx, confidence FROM c WHERE confidence > 0.9),
+l AS (SELECT question_id, 1 AS tier, 'Slow-LRSD' AS path, rank - 1 AS cue_pos, label_id AS patch_idx, 1 - dist / 2 AS confidence FROM k WHERE rank <= 3 AND dist <= {LRSD_T}),
+r AS (SELECT question_id, 2 AS tier, 'Slow-CRSD' AS path, rank - 1 AS cue_pos, label_id AS patch_idx, 1 - dist / 2 AS confidence FROM k WHERE rank <= 3 AND dist <= {CRSD_T}),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM l UNION ALL SELECT * FROM r)
+SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM (SELECT *, min(tier) OVER (PARTITION BY question_id) AS first FROM a) WHERE tier = first""")
+def q49_tier_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What the first tier with evidence has for each question: cues, or the nearest labels' images."""
+    q = solo(spark, d)
+    fast = R.above(R.vote(R.similarity(q, patches(spark, d))), 0.9)
+    near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3).select("question_id", (F.col("rank") - 1).alias("cue_pos"), F.col("label_id").alias("patch_idx"), (1 - F.col("dist") / 2).alias("confidence"), "dist")
+    tiers = [("Fast", fast), ("Slow-LRSD", near.where(F.col("dist") <= LRSD_T)), ("Slow-CRSD", near.where(F.col("dist") <= CRSD_T))]
+    return O.evidence(q, tiers).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {BOX}, o AS (SELECT *, row_number() OVER () AS r, (x1 + x2) / 2 - 300 AS cx, (y1 + y2) / 2 - 200 AS cy, x2 - x1 AS w, y2 - y1 AS h, radians(l_discount * 900) AS a FROM x), z AS (SELECT *, abs(w / 2 * cos(a)) + abs(h / 2 * sin(a)) AS dx, abs(w / 2 * sin(a)) + abs(h / 2 * cos(a)) AS dy FROM o) SELECT l_orderkey, l_linenumber, round(greatest(0, cx - dx), 4) AS l, round(greatest(0, cy - dy), 4) AS t FROM z")
+def q50_region_bounds(spark: SparkSession, d: str) -> DataFrame:
+    cx, cy = (F.col("x1") + F.col("x2")) / 2 - 300, (F.col("y1") + F.col("y2")) / 2 - 200
+    box = G.corners(*G.enclosing(cx, cy, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("l_discount") * 900))
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", F.round(F.greatest(box[0], F.lit(0.0)), 4).alias("l"), F.round(F.greatest(box[1], F.lit(0.0)), 4).alias("t"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def q42_streaming_answers(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, answered into JSON lines, and read again."""

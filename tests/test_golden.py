@@ -53,7 +53,10 @@ def test_votes(spark):
 def test_cluster_mean(spark):
     pts = spark.createDataFrame([("l", 0, [1.0, 0.0]), ("l", 1, [0.99, 0.1]), ("l", 2, [0.0, 1.0]), ("m", 3, [0.5, 0.5])], "label string, id int, vec array<double>")
     got = {r.label: r.vec for r in R.cluster_mean(pts, ["label"]).collect()}
-    assert got["l"] == pytest.approx([0.995, 0.05]) and got["m"] == pytest.approx([0.5, 0.5])
+    n = (0.99**2 + 0.1**2) ** 0.5
+    assert got["l"] == pytest.approx([(1 + 0.99 / n) / 2, 0.1 / n / 2]) and got["m"] == pytest.approx([0.5**0.5] * 2)
+    raw = {r.label: r.vec for r in R.cluster_mean(pts, ["label"], normalise=False).collect()}
+    assert raw["l"] == pytest.approx([0.995, 0.05]) and raw["m"] == pytest.approx([0.5, 0.5])
 
 
 def test_slices(spark):
@@ -72,5 +75,5 @@ def test_sources(spark, tmp_path):
     assert S.read_metadata(spark, [str(tmp_path / "a.csv")] * 2).count() == 2
     labels = spark.createDataFrame([("a", [1.0])], "label string, vec array<double>")
     assert S.create_labels(labels, str(tmp_path / "l")) and not S.create_labels(labels, str(tmp_path / "l"))
-    (tmp_path / "s.yaml").write_text("path_T: 0.3\nmode: imagerag\n")
-    assert S.load_settings(str(tmp_path / "s.yaml"), path_T=0.5) == {"path_T": 0.5, "mode": "imagerag"}
+    (tmp_path / "s.yaml").write_text("path_T: 0.3\nmode: retrieval\n")
+    assert S.load_settings(str(tmp_path / "s.yaml"), path_T=0.5) == {"path_T": 0.5, "mode": "retrieval"}
