@@ -2,82 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import geometry as G
 
 
-def up(v: Column, n: Column | int) -> Column:
-    """v rounded up to a multiple of n."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return (F.ceil(v / n) * n).cast("long")
+COLUMNS = ("level", "row", "col", "x1", "y1", "x2", "y2")
+
 
+def numbered(images: DataFrame, boxes: Callable[[int, int], np.ndarray]) -> DataFrame:
+    """(image, patch_idx, level, row, col, x1, y1, x2, y2) of each image: boxes(width, height) has the columns of COLUMNS, in order; of equal boxes the first stays. An image's
+    patches are made where its row is, without a shuffle; images without pixels have none."""
 
-def back(v: Column, size: Column, rounded: Column) -> Column:
-    """A coordinate of the resized image in the original, cut to a whole number."""
-    return F.floor((v * size).cast("double") / rounded).cast("int")
+    def one(width: int | None, height: int | None) -> np.ndarray:
+        if not width or not height:
+            return np.zeros((0, len(COLUMNS)), np.int32)
+        rows = boxes(width, height).astype(np.int32)
+        sides = rows[:, 3:]
+        if 0 <= sides.min() and sides.max() < 1 << 16:
+            key = np.ascontiguousarray(sides.astype(np.uint16)).view(np.uint64).ravel()
+        else:
+            key = np.ascontiguousarray(sides).view("V16").ravel()
+        _, first = np.unique(key, return_index=True)
+        return rows[np.sort(first)]
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                made = [one(w, h) for w, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                size = np.array([len(x) for x in made])
+                rows, of = np.concatenate(made), np.repeat(np.arange(len(made)), size)
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(place.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=["image", "patch_idx", *COLUMNS])
 
-def numbered(df: DataFrame) -> DataFrame:
-    """patch_idx: the place among the image's patches by level, row, column; of equal boxes the first stays."""
-    key = ["image", "x1", "y1", "x2", "y2"]
-    once = df.groupBy(*key).agg(F.min(F.struct("level", "row", "col")).alias("p"))
-    order = Window.partitionBy("image").orderBy("p")
-    return once.withColumn("patch_idx", F.row_number().over(order) - 1).select("image", "patch_idx", "p.level", "p.row", "p.col", "x1", "y1", "x2", "y2")
+    kind = images.schema["image"].dataType.simpleString()
+    tasks = images.sparkSession.sparkContext.defaultParallelism
+    if images.rdd.getNumPartitions() < tasks:  # rows are few and small, what they become is not
+        images = images.repartition(tasks)
+    return images.select("image", F.col("width").cast("long"), F.col("height").cast("long")).mapInArrow(make, f"image {kind}, patch_idx int, " + ", ".join(f"{c} int" for c in COLUMNS))
+
+
+def up(v: int, n: int) -> int:
+    """v rounded up to a multiple of n."""
+    return -(-v // n) * n
 
 
-def cells(df: DataFrame, w: Column, h: Column, side_w: Column, side_h: Column) -> DataFrame:
-    """Cells of side_w x side_h of the image resized to w x h, row by row, in original coordinates. df: image, width, height, level."""
-    base = df.withColumns({"w": w, "h": h, "sw": side_w, "sh": side_h})
-    grid = base.withColumn("row", F.explode(F.sequence(F.lit(0), (F.col("h") / F.col("sh")).cast("int") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), (F.col("w") / F.col("sw")).cast("int") - 1)))
-    return grid.select(
-        "image", "width", "height", "level", "row", "col",
-        back(F.col("col") * F.col("sw"), F.col("width"), F.col("w")).alias("x1"),
-        back(F.col("row") * F.col("sh"), F.col("height"), F.col("h")).alias("y1"),
-        back((F.col("col") + 1) * F.col("sw"), F.col("width"), F.col("w")).alias("x2"),
-        back((F.col("row") + 1) * F.col("sh"), F.col("height"), F.col("h")).alias("y2"),
-    )
+def placed(level: int, xs: np.ndarray, ys: np.ndarray, kw: float, kh: float, width: int, height: int, w: int, h: int) -> np.ndarray:
+    """The boxes of kw x kh that begin at xs and ys of the image resized to w x h, row by row, in original coordinates cut to whole numbers."""
+    back = lambda v, size, rounded: np.floor((v * size).astype(np.float64) / rounded).astype(np.int64)
+    col, row = np.tile(np.arange(len(xs)), len(ys)), np.repeat(np.arange(len(ys)), len(xs))
+    x1, x2, y1, y2 = back(xs, width, w), back(xs + kw, width, w), back(ys, height, h), back(ys + kh, height, h)
+    return np.stack([np.full(len(col), level), row, col, x1[col], y1[row], x2[col], y2[row]], axis=1)
 
 
 def vit(images: DataFrame, size: int = 448) -> DataFrame:
     """Squares of `size` of the image rounded up to whole squares."""
-    side = F.lit(size).cast("long")
-    return numbered(cells(images.withColumn("level", F.lit(0)), up(F.col("width"), size), up(F.col("height"), size), side, side))
+
+    def boxes(width: int, height: int) -> np.ndarray:
+        w, h = up(width, size), up(height, size)
+        return placed(0, np.arange(0, w, size), np.arange(0, h, size), size, size, width, height, w, h)
+
+    return numbered(images, boxes)
 
 
 def grid(images: DataFrame, most: int = 10, enlarge: float = 1.0) -> DataFrame:
     """n x n cells for n from 1 to `most`; enlarged cells may leave the image."""
-    levels = images.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    w, h = up(F.col("width"), F.col("level")), up(F.col("height"), F.col("level"))
-    rows = cells(levels, w, h, F.col("w") / F.col("level"), F.col("h") / F.col("level"))
-    if enlarge != 1:
-        cx, cy, dx, dy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) * enlarge / 2, (F.col("y2") - F.col("y1")) * enlarge / 2
-        rows = rows.withColumns({"x1": (cx - dx).cast("int"), "y1": (cy - dy).cast("int"), "x2": (cx + dx).cast("int"), "y2": (cy + dy).cast("int")})
-    return numbered(rows)
 
+    def boxes(width: int, height: int) -> np.ndarray:
+        out = []
+        for n in range(1, most + 1):
+            w, h = up(width, n), up(height, n)
+            out.append(placed(n, np.arange(n) * (w // n), np.arange(n) * (h // n), w // n, h // n, width, height, w, h))
+        rows = np.concatenate(out)
+        if enlarge != 1:
+            centre, half = (rows[:, 3:5] + rows[:, 5:7]) / 2, (rows[:, 5:7] - rows[:, 3:5]) * enlarge / 2
+            rows[:, 3:5], rows[:, 5:7] = np.trunc(centre - half), np.trunc(centre + half)
+        return rows
+
+    return numbered(images, boxes)
 
-def windows(length: Column, kernel: Column, stride: Column) -> Column:
+
+def windows(length: int, kernel: int, stride: int) -> np.ndarray:
     """Begins of sliding windows; the last one touches the border."""
-    n = F.ceil((length - kernel) / stride).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.least(i * stride, length - kernel))
+    return np.minimum(np.arange(-(-(length - kernel) // stride) + 1) * stride, length - kernel)
 
 
 def cc(images: DataFrame, parts: int = 20) -> DataFrame:
     """Sliding windows of k / parts of each side, k from `parts` down to 1; of levels with as many windows the smallest k stays."""
-    sized = images.withColumns({"w": up(F.col("width"), parts), "h": up(F.col("height"), parts)})
-    levels = sized.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(parts))))
-
-    def begins(side: str) -> Column:
-        unit = (F.col(side) / parts).cast("long")
-        return F.when(F.col("k") == parts, F.array(F.lit(0).cast("long"))).otherwise(windows(F.col(side), F.col("k") * unit, F.col("k") * (unit - 1) + 1))
-
-    at = levels.withColumns({"xs": begins("w"), "ys": begins("h")})
-    least = F.row_number().over(Window.partitionBy("image", F.size("xs") * F.size("ys")).orderBy("k"))
-    kept = at.withColumn("__r", least).where("__r = 1").withColumn("level", F.lit(parts) - F.col("k"))
-    rows = kept.select("*", F.posexplode("ys").alias("row", "y")).select("*", F.posexplode("xs").alias("col", "x"))
-    kw, kh = F.col("k") * (F.col("w") / parts).cast("long"), F.col("k") * (F.col("h") / parts).cast("long")
-    return numbered(rows.select("image", "level", "row", "col", back(F.col("x"), F.col("width"), F.col("w")).alias("x1"), back(F.col("y"), F.col("height"), F.col("h")).alias("y1"), back(F.col("x") + kw, F.col("width"), F.col("w")).alias("x2"), back(F.col("y") + kh, F.col("height"), F.col("h")).alias("y2")))
+
+    def boxes(width: int, height: int) -> np.ndarray:
+        w, h = up(width, parts), up(height, parts)
+        levels: dict[int, np.ndarray] = {}  # by number of windows
+        for k in range(1, parts + 1):
+            begins = [np.zeros(1, np.int64) if k == parts else windows(side, k * (side // parts), k * (side // parts - 1) + 1) for side in (w, h)]
+            levels.setdefault(len(begins[0]) * len(begins[1]), placed(parts - k, *begins, k * (w // parts), k * (h // parts), width, height, w, h))
+        return np.concatenate(list(levels.values())[::-1])
+
+    return numbered(images, boxes)
 
 
 SCHEMES = {"vit": vit, "grid": grid, "cc": cc}
