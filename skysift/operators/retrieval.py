@@ -6,6 +6,10 @@ store: img_name, pos, label, vec. Ties go to the lower position.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,71 @@ def similarity(texts: DataFrame, patches: DataFrame, scale: float = SCALE, norma
     return mass.join(total, by).select(*by, "patch_idx", (F.col("e") / F.col("t")).alias("prob"))
 
 
+#: Vectors in a block, and texts in a block: a product of two blocks takes some 10 MB.
+PATCH_BLOCK, TEXT_BLOCK = 2048, 256
+
+
+def packed(df: DataFrame, ids: dict[str, str], size: int, unit: bool, prefix: str) -> DataFrame:
+    """df's rows in blocks of at most `size`, packed where they are: (prefix + name: the ids as an array, prefix + vec: all vectors one after the other). ids: name of each column that names a row, and its type."""
+    names = [f"{prefix}{n}" for n in ids] + [f"{prefix}vec"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                flat = np.asarray(part.column(len(ids)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
+                if unit:
+                    n = np.sqrt((flat * flat).sum(1, keepdims=True))
+                    flat = np.where(n > 0, flat / np.where(n > 0, n, 1), flat)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([flat.ravel()], pa.list_(pa.float64()))], names=names)
+
+    kinds = [f"`{prefix}{n}` array<{kind}>" for n, kind in ids.items()]
+    return df.where(F.col("vec").isNotNull()).select(*ids, V.doubles(F.col("vec"))).mapInArrow(pack, ", ".join([*kinds, f"{prefix}vec array<double>"]))
+
+
+def first_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, equal ones by id."""
+    there = np.arange(len(score)) if len(score) <= k else np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return there[np.lexsort((ids[there], -score[there]))[:k]]
+
+
+def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int, normalise: tuple[bool, bool], score: Callable[[np.ndarray, np.ndarray], np.ndarray], mass: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(question_id, pos, name, score, mass): of each text (question_id, pos, vec) and each block of patches (name, vec) the k best, and in one of their rows the block's mass. Blocks of texts meet blocks
+    of patches, so a pair of vectors is never a row. Texts are sent to all executors if they are small enough."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*texts.schema.fields, *patches.schema.fields]}
+    tids = {n: kinds[n] for n in ("question_id", "pos")}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                own, pv, question, pos, tv = (b.column(c)[row].values for c in range(5))
+                n, m = len(own), len(question)
+                found = score(tv.to_numpy().reshape(m, -1), pv.to_numpy().reshape(n, -1))
+                ids, total = own.to_numpy(zero_copy_only=False), mass(found)
+                at = [first_of(found[t], ids, k) for t in range(m)]
+                of = np.repeat(np.arange(m), [len(x) for x in at])
+                first = np.concatenate([[True], of[1:] != of[:-1]])
+                flat = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([question.take(pa.array(of)), pos.take(pa.array(of)), own.take(pa.array(flat)), pa.array(found[of, flat]), pa.array(np.where(first, total[of], 0.0))], names=["question_id", "pos", name, "score", "mass"])
+
+    left, right = packed(patches, {name: kinds[name]}, PATCH_BLOCK, normalise[1], "p_"), packed(texts, tids, TEXT_BLOCK, normalise[0], "t_")
+    pairs = left.crossJoin(small(right)).select(f"p_{name}", "p_vec", "t_question_id", "t_pos", "t_vec")
+    return pairs.mapInArrow(best, f"question_id {tids['question_id']}, pos {tids['pos']}, `{name}` {kinds[name]}, score double, mass double")
+
+
+def best(texts: DataFrame, patches: DataFrame, k: int, scale: float = SCALE, normalise_texts: bool = True) -> DataFrame:
+    """(question_id, pos, patch_idx, prob, rank): top_k() of similarity(), in one pass over the patches."""
+    if "question_id" in patches.columns:
+        return top_k(similarity(texts, patches, scale, normalise_texts), k)
+    # no logit is above scale x |text|, so that bound serves for the largest one
+    logits = lambda t, p: np.exp(scale * (t @ p.T) - scale * np.sqrt((t * t).sum(1, keepdims=True)))
+    found = blockwise(texts, patches, "patch_idx", k, (normalise_texts, True), logits, lambda e: e.sum(1))
+    by = Window.partitionBy("question_id", "pos")
+    ranked = found.withColumns({"__total": F.sum("mass").over(by), "rank": F.row_number().over(by.orderBy(F.desc("score"), "patch_idx"))})
+    return ranked.where(F.col("rank") <= k).select("question_id", "pos", "patch_idx", (F.col("score") / F.col("__total")).alias("prob"), "rank")
+
+
 def top_k(sims: DataFrame, k: int) -> DataFrame:
     """sims with rank, the best k patches of each phrase; fewer if there are fewer."""
     order = Window.partitionBy("question_id", "pos").orderBy(F.desc("prob"), "patch_idx")
@@ -45,9 +114,9 @@ def top_k(sims: DataFrame, k: int) -> DataFrame:
 
 
 def vote(sims: DataFrame, k: int = 2, distinct: bool = False) -> DataFrame:
-    """(question_id, cue_pos, patch_idx, confidence, votes, is_extra): the k patches in most phrases' best k, ties by first place
+    """(question_id, cue_pos, patch_idx, confidence, votes, is_extra) of similarities, or of what best() has found with the same k: the k patches in most phrases' best k, ties by first place
     in phrase and rank; then each phrase's best patch that isn't among them, as often as phrases have it unless distinct."""
-    entries = top_k(sims, k).withColumn("at", F.col("pos") * k + F.col("rank") - 1)
+    entries = (sims if "rank" in sims.columns else top_k(sims, k)).withColumn("at", F.col("pos") * k + F.col("rank") - 1)
     counted = entries.groupBy("question_id", "patch_idx").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("prob").alias("confidence"))
     order = Window.partitionBy("question_id").orderBy(F.desc("votes"), "first")
     chosen = counted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("question_id", "patch_idx", "confidence", "votes", F.lit(False).alias("is_extra"), (F.col("n") - 1).cast("long").alias("place"))
@@ -67,10 +136,10 @@ def above(cues: DataFrame, threshold: float) -> DataFrame:
 
 def nearest(phrases: DataFrame, labels: DataFrame, k: int = 3, threshold: float | None = None) -> DataFrame:
     """(question_id, pos, label_id, dist, rank): the k nearest labels by squared distance, then those with dist <= threshold. labels: label_id, vec."""
-    pairs = labels.select("label_id", F.col("vec").alias("lv")).crossJoin(small(phrases.select("question_id", "pos", "vec")))
-    dist = pairs.select("question_id", "pos", "label_id", V.l2sq(F.col("vec"), F.col("lv")).alias("dist"))
-    order = Window.partitionBy("question_id", "pos").orderBy("dist", "label_id")
-    near = dist.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    minus = lambda t, p: -np.stack([((p - x) ** 2).sum(1) for x in t])
+    found = blockwise(phrases, labels, "label_id", k, (False, False), minus, lambda d: np.zeros(len(d)))
+    order = Window.partitionBy("question_id", "pos").orderBy(F.desc("score"), "label_id")
+    near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "pos", "label_id", (-F.col("score")).alias("dist"), "rank")
     return near if threshold is None else near.where(F.col("dist") <= threshold)
 
 

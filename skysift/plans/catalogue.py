@@ -85,11 +85,11 @@ SIX = "round(confidence, 6) AS confidence"
 
 @query(f"WITH {VEC}, {softmax_sql('t')} SELECT question_id, pos, patch_idx, round(prob, 6) AS prob, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pos ORDER BY prob DESC, patch_idx) AS rank FROM s) WHERE rank <= 2")
 def q01_cosine_softmax_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(R.similarity(phrases(spark, d), patches(spark, d)), 2).withColumn("prob", F.round("prob", 6))
+    return R.best(phrases(spark, d), patches(spark, d), 2).withColumn("prob", F.round("prob", 6))
 
 
 def fast_cues(spark: SparkSession, d: str) -> DataFrame:
-    return R.vote(R.similarity(phrases(spark, d), patches(spark, d)))
+    return R.vote(R.best(phrases(spark, d), patches(spark, d), 2))
 
 
 @query(f"WITH {VEC}, {softmax_sql('t')}, {vote_sql()} SELECT question_id, cue_pos, patch_idx, {SIX}, votes, is_extra FROM c")
@@ -172,7 +172,7 @@ def slow_cues(spark: SparkSession, d: str, threshold: float, how: str = "mean")
     near = near_labels(spark, d, threshold).join(images.select(F.col("patch_idx").alias("label_id"), "label"), "label_id")
     labels = near.select("question_id", "label").distinct()
     found = R.reduced(images.join(labels, "label").select("question_id", "label", F.col("patch_idx").alias("id"), "vec"), ["question_id", "label"], how)
-    return R.vote(R.similarity(found.withColumnRenamed("label", "pos"), images, normalise_texts=False))
+    return R.vote(R.best(found.withColumnRenamed("label", "pos"), images, 2, normalise_texts=False))
 
 
 @query(f"WITH {VEC}, {NEAR}, {CUES.format(t=LRSD_T, unit=UNIT)}, {softmax_sql('wv', False)}, {vote_sql()} SELECT question_id, cue_pos, patch_idx, {SIX}, votes FROM c")
@@ -191,7 +191,7 @@ def solo(spark: SparkSession, d: str) -> DataFrame:
 
 def tiers(spark: SparkSession, d: str, path_t: float, lrsd_t: float, crsd_t: float) -> DataFrame:
     q = solo(spark, d)
-    fast = R.above(R.vote(R.similarity(q, patches(spark, d))), path_t)
+    fast = R.above(R.vote(R.best(q, patches(spark, d), 2)), path_t)
     near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3)
     return R.routed(q, fast, near.where(F.col("dist") <= lrsd_t), near.where(F.col("dist") <= crsd_t))
 
@@ -234,7 +234,7 @@ FROM t JOIN b USING (question_id) JOIN n1 USING (question_id), w GROUP BY ALL"""
 def q40_sweep_all_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """All 27 points of a sweep from one table of similarities."""
     q = solo(spark, d)
-    best = R.vote(R.similarity(q, patches(spark, d))).groupBy("question_id").agg(F.max("confidence").alias("conf"))
+    best = R.vote(R.best(q, patches(spark, d), 2)).groupBy("question_id").agg(F.max("confidence").alias("conf"))
     near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3).groupBy("question_id").agg(F.min("dist").alias("dist"))
     levels = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} double")
     points = levels("path_t", (0.3, 0.5, 0.7)).crossJoin(levels("lrsd_t", (1.1, 1.15, 1.2))).crossJoin(levels("crsd_t", (1.2, 1.25, 1.3)))
@@ -661,7 +661,7 @@ SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM
 def q49_tier_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What the first tier with evidence has for each question: cues, or the nearest labels' images."""
     q = solo(spark, d)
-    fast = R.above(R.vote(R.similarity(q, patches(spark, d))), 0.9)
+    fast = R.above(R.vote(R.best(q, patches(spark, d), 2)), 0.9)
     near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3).select("question_id", (F.col("rank") - 1).alias("cue_pos"), F.col("label_id").alias("patch_idx"), (1 - F.col("dist") / 2).alias("confidence"), "dist")
     tiers = [("Fast", fast), ("Slow-LRSD", near.where(F.col("dist") <= LRSD_T)), ("Slow-CRSD", near.where(F.col("dist") <= CRSD_T))]
     return O.evidence(q, tiers).withColumn("confidence", F.round("confidence", 6))
