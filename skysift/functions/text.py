@@ -138,9 +138,21 @@ def question_prompt(text: Column, choices: Column, instruction: str) -> Column:
     return F.concat(text, F.lit(CHOICES_HEAD), F.concat_ws("", F.transform(choices, lambda c: F.concat(c, F.lit("\n")))), F.lit(instruction + ANSWER_TAIL))
 
 
+def two_places(x: Column) -> Column:
+    """A number with two decimal places, as exact rounding of the binary number gives it, halves to even; Java's format() rounds the shortest decimal form, halves up."""
+    size = F.abs(x)
+    rest = F.floor((size - F.floor(size)) * float(1 << 52)) * 100  # below 2**59
+    cut, over = F.shiftright(rest, 52), rest.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (over > F.lit(1 << 51)) | ((over == F.lit(1 << 51)) & (cut % 2 == 1))
+    n = F.floor(size) * 100 + cut + F.when(up, 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def evidence_prompt(boxes: Column) -> Column:
     """boxes: array of structs x1, y1, x2, y2 in thousandths."""
-    line = lambda b, i: F.format_string("Sub-patch %d at location <box>[[%.2f, %.2f, %.2f, %.2f]]</box>: <image>\n", i + 1, *[b[k].cast("double") for k in ("x1", "y1", "x2", "y2")])
+    def line(b: Column, i: Column) -> Column:
+        return F.concat(F.lit("Sub-patch "), (i + 1).cast("string"), F.lit(" at location <box>[["), F.concat_ws(", ", *[two_places(b[k].cast("double")) for k in ("x1", "y1", "x2", "y2")]), F.lit("]]</box>: <image>\n"))
+
     return F.concat(F.lit("<image>\nAdditional information:\n"), F.concat_ws("", F.transform(boxes, line)))
 
 

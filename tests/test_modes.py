@@ -131,6 +131,13 @@ def test_chosen_phrases_and_small_functions(spark):
     assert len(set(X.TEMPLATES)) == 80
 
 
+def test_two_places_agree_with_python(spark):
+    rng = random.Random(3)
+    values = [0.0, 0.125, 0.375, 2.675, 1.005, 999.995, 3.125, -0.001, -2.5, 12345678.905] + [rng.randint(0, 9_999_999) / 1000 for _ in range(500)] + [rng.random() * 1000 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(X.two_places(F.col("x"))).collect()] == [f"{v:.2f}" for v in values]
+
+
 def test_images_are_read_cut_and_written(spark, tmp_path):
     pixels = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
     (tmp_path / "sub").mkdir()
