@@ -27,17 +27,18 @@ from pyspark.sql import functions as F
 
 from skysift.llm.near_duplicates import groups
 from skysift.llm.shared import drop_stored, row_tag, stored, table
-from skysift.llm.textcols import gather, mix, raw, slices
+from skysift.llm.textcols import gather, mix, raw, slices, trim
 
 SPAN, LEAD = 50, 24
 REACH = SPAN - LEAD  # a string's anchor is at most so far from its begin
-SLICE = 2 << 20
+SLICE = 512 << 10  # bytes of text that are hashed at a time; some hundred bytes of arrays for each
 MANY = 128
 SAMPLE_DOCS = 2000
 #: Suffixes of a range beyond which it is parted, and of one leading string beyond which they are compared by digest (or a ten-thousandth of all, if that is more).
 HEAVY, HOT = 500_000, 250_000
 #: Suffixes, and bytes of text, that a task holds before it sends them.
-HOLD, TEXT = 200_000, 8 << 20
+HOLD, TEXT = 100_000, 4 << 20
+NUMBERS = 750_000  # anchors that a task reduces to distinct ones at a time
 NOBODY = -(1 << 62)  # a null doc_id, smaller than all
 _T = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in range(LEAD + 1)]
@@ -49,12 +50,11 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h1 = _T[data]
-        h2 = h1[:-1] * _M[1] + h1[1:]
-        h4 = h2[:-2] * _M[2] + h2[2:]
-        h8 = h4[:-4] * _M[4] + h4[4:]
-        h16 = h8[:-8] * _M[8] + h8[8:]
-        h = h16[: n - LEAD + 1] * _M[8] + h8[16 : 16 + n - LEAD + 1]
+        h8 = _T[data]
+        for step in (1, 2, 4):
+            h8 = h8[:-step] * _M[step] + h8[step:]
+        h = (h8[:-8] * _M[8] + h8[8:])[: n - LEAD + 1] * _M[8] + h8[16 : 16 + n - LEAD + 1]
+        del h8
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -117,6 +117,7 @@ def anchor_numbers(docs: DataFrame, bits: int, parts: int) -> DataFrame:
             held.clear()
             order = np.lexsort((doc, num))
             doc, num = doc[order], num[order]
+            del order
             first = np.concatenate([[0], np.flatnonzero(np.diff(num)) + 1])
             size = np.diff(np.append(first, len(num)))
             several = doc[first] != doc[first + size - 1]
@@ -136,10 +137,11 @@ def anchor_numbers(docs: DataFrame, bits: int, parts: int) -> DataFrame:
                 if len(row):
                     num = (h >> np.uint64(32 - bits)).astype(np.int64)
                     held.append((ids[i:j][row], num))
-                if sum(len(x) for x, _ in held) > 2_000_000:
+                if sum(len(x) for x, _ in held) > NUMBERS:
                     yield from flush()
         if held:
             yield from flush()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(numbers, "kind int, part long, blob binary")
 
@@ -156,6 +158,7 @@ def shared_numbers(buckets: DataFrame, parts: int) -> DataFrame:
             size = np.diff(np.append(first, len(num)))
             several = np.repeat(doc[first] != doc[first + size - 1], size)
             yield from reports(doc[several], num[several] | bucket << 32, parts)
+        trim()
 
     return buckets.repartition("part").sortWithinPartitions("part").mapInArrow(shared, "kind int, part long, blob binary")
 
@@ -473,6 +476,7 @@ def repeats(suffix: DataFrame, heavy: int = HEAVY, hot: int = HOT) -> DataFrame:
                 held.append(blob)
         if held:
             yield compared(held)
+        trim()
 
     def compared(held: list[bytes]) -> pa.RecordBatch:
         rows, group = Suffixes.joined([Suffixes.of(x) for x in held]).ordered()
