@@ -1,7 +1,7 @@
 """Queries on the driver's tables, each beside the SQL that it must agree with.
 
-Bindings: embeddings are the vectors; those whose id is divisible by 50 are phrases (five to a question), the rest patches or
-labelled images. part rows are images, lineitem rows boxes, documents answers, events runs of a sweep.
+Bindings: embeddings are the vectors; those whose id is divisible by 50 are phrases (five to a question), and all of them are
+the patches or labelled images searched, so a phrase finds its own row first. part rows are images, lineitem rows boxes, documents answers, events runs of a sweep.
 """
 
 from __future__ import annotations
@@ -50,13 +50,13 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where("vec_id % 50 != 0").select(F.col("vec_id").alias("patch_idx"), "label", "vec")
+    return vectors(spark, d).select(F.col("vec_id").alias("patch_idx"), "label", "vec")
 
 
 VEC = """
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 t AS (SELECT vec_id // 250 AS question_id, (vec_id // 50) % 5 AS pos, v FROM e WHERE vec_id % 50 = 0),
-p AS (SELECT vec_id AS patch_idx, label, v FROM e WHERE vec_id % 50 <> 0)"""
+p AS (SELECT vec_id AS patch_idx, label, v FROM e)"""
 
 
 def softmax_sql(texts: str, unit: bool = True, name: str = "s") -> str:
@@ -180,13 +180,13 @@ def q08_select_visual_cue(spark: SparkSession, d: str) -> DataFrame:
     return slow_cues(spark, d, LRSD_T).select("question_id", "cue_pos", "patch_idx", F.round("confidence", 6).alias("confidence"), "votes")
 
 
-# each phrase asks by itself here, so that all tiers are met
-SOLO = "t AS (SELECT * REPLACE (question_id * 5 + pos AS question_id) FROM t0)"
+# each phrase asks by itself here, with its vector read backwards, so that no phrase is its own row and several tiers are met
+SOLO = "t AS (SELECT * REPLACE (question_id * 5 + pos AS question_id, list_reverse(v) AS v) FROM t0)"
 VEC_SOLO = VEC.replace("\nt AS", "\nt0 AS") + ", " + SOLO
 
 
 def solo(spark: SparkSession, d: str) -> DataFrame:
-    return phrases(spark, d).withColumn("question_id", F.col("question_id") * 5 + F.col("pos"))
+    return phrases(spark, d).withColumns({"question_id": F.col("question_id") * 5 + F.col("pos"), "vec": F.reverse("vec")})
 
 
 def tiers(spark: SparkSession, d: str, path_t: float, lrsd_t: float, crsd_t: float) -> DataFrame:
