@@ -236,8 +236,8 @@ def q40_sweep_all_thresholds(spark: SparkSession, d: str) -> DataFrame:
     q = solo(spark, d)
     best = R.vote(R.best(q, patches(spark, d), 2)).groupBy("question_id").agg(F.max("confidence").alias("conf"))
     near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3).groupBy("question_id").agg(F.min("dist").alias("dist"))
-    levels = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} double")
-    points = levels("path_t", (0.3, 0.5, 0.7)).crossJoin(levels("lrsd_t", (1.1, 1.15, 1.2))).crossJoin(levels("crsd_t", (1.2, 1.25, 1.3)))
+    levels = [(p, l, c) for p in (0.3, 0.5, 0.7) for l in (1.1, 1.15, 1.2) for c in (1.2, 1.25, 1.3)]  # noqa: E741
+    points = spark.createDataFrame(levels, "path_t double, lrsd_t double, crsd_t double").coalesce(1)
     path = F.when(F.col("conf") > F.col("path_t"), "Fast").when(F.col("dist") <= F.col("lrsd_t"), "Slow-LRSD").when(F.col("dist") <= F.col("crsd_t"), "Slow-CRSD").otherwise("Zero-shot")
     return best.join(near, "question_id").crossJoin(F.broadcast(points)).groupBy("path_t", "lrsd_t", "crsd_t", path.alias("path")).agg(F.count("*").alias("n"))
 
