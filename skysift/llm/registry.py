@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import conversations, decontamination, exact_dedup, html_text, language, near_duplicates, packing, quality, suffix_dedup, surrogates, token_store
+from skysift.llm import conversations, decontamination, exact_dedup, html_text, language, near_duplicates, online_packing, packing, quality, suffix_dedup, surrogates, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_store.op8_token_store,
         quality.op9_quality_classifier,
         suffix_dedup.op10_suffix_dedup,
+        online_packing.op12_online_packing,
         conversations.op13_conversation_repair,
     )
 }

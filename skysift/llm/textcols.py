@@ -74,6 +74,23 @@ def slices(arr: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     trim()
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character begins in UTF-8 bytes, and its code point."""
+    if data.max() < 128:
+        return np.arange(len(data)), data.astype(np.int32)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int32)
+    wide = np.append(data, np.zeros(3, np.uint8))
+    cp = lead.copy()
+    for size, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        k = np.flatnonzero((lead >= low) & ((lead < low + (0xFF - low + 1) // 2) if size < 4 else True))
+        v = lead[k] & mask
+        for i in range(1, size):
+            v = v << 6 | (wide[at[k] + i] & 0x3F)
+        cp[k] = v
+    return at, np.minimum(cp, 0x10FFFF)
+
+
 def runs(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begins and ends (in bytes) of the words in data, each row's first word, and the words' bytes. A character of class DIGIT is a word of its own."""
     if not len(data):
@@ -81,17 +98,8 @@ def runs(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.nda
     if data.max() < 128:
         at, cls = None, classes[data]
     else:
-        at = np.flatnonzero((data & 0xC0) != 0x80)
-        lead = data[at].astype(np.int32)
-        wide = np.append(data, np.zeros(3, np.uint8))
-        cp = lead.copy()
-        for size, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
-            k = np.flatnonzero((lead >= low) & ((lead < low + (0xFF - low + 1) // 2) if size < 4 else True))
-            v = lead[k] & mask
-            for i in range(1, size):
-                v = v << 6 | (wide[at[k] + i] & 0x3F)
-            cp[k] = v
-        cls = classes[np.minimum(cp, 0x10FFFF)]
+        at, cp = code_points(data)
+        cls = classes[cp]
     first = np.zeros(len(cls), bool)
     rows = off[:-1][off[:-1] < len(data)]
     first[rows if at is None else np.searchsorted(at, rows)] = True
@@ -256,10 +264,121 @@ class Encoder:
             yield i, j, ids, ends
 
 
+class ByteEncoder(Encoder):
+    """Ids of the tokenizers library for whole columns, for byte-level files.
+
+    The library parts a text into words before it merges: letters, numbers or signs, each with a space before it, or white space,
+    or an English ending after an apostrophe. Words are found here for whole columns by the classes that the library itself gives
+    their characters; each distinct word is encoded by the library once. Texts that hold one of its added tokens go to it whole.
+    """
+
+    UNKNOWN, ENDINGS = 255, ("s", "t", "re", "ve", "m", "ll", "d")
+
+    def __init__(self, file: str = "byte_bpe_50k.json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path_of(file))
+        vocab = self.tok.get_vocab()
+        self.heads = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.heads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.classes = np.full(0x110000, self.UNKNOWN, np.uint8)
+        self._forget()
+
+    def _class(self, c: str) -> int:
+        alone = lambda before: len(self.tok.pre_tokenizer.pre_tokenize_str(before + c)) == 1
+        return LETTER if alone("a") else DIGIT if alone("1") else OTHER if alone("!") else DROP
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and the end of each word's. Words that begin with a space go to the library in lines, in which their first ids show."""
+        spaced = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words), bool, len(words))
+        own: list = [None] * len(words)
+        rest = np.flatnonzero(~spaced).tolist()
+        lines = np.flatnonzero(spaced).tolist()
+        for k in range(0, len(lines), self.LINE):
+            at = lines[k : k + self.LINE]
+            ids = np.asarray(self.tok.encode_batch_fast(["".join(words[i] for i in at)], add_special_tokens=False)[0].ids, np.uint32)
+            begin = np.flatnonzero(self.heads[ids])
+            if len(begin) != len(at) or begin[0]:
+                rest += at
+                continue
+            for i, x in zip(at, np.split(ids, begin[1:]), strict=True):
+                own[i] = x
+        for k in range(0, len(rest), self.LINE):
+            at = rest[k : k + self.LINE]
+            for i, x in zip(at, self.tok.encode_batch_fast([words[i] for i in at], add_special_tokens=False), strict=True):
+                own[i] = np.asarray(x.ids, np.uint32)
+        return np.concatenate(own), np.cumsum([len(x) for x in own])
+
+    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin in data, and each row's first word."""
+        at, cp = code_points(data)
+        cls = self.classes[cp]
+        if (cls == self.UNKNOWN).any():
+            for c in np.unique(cp[cls == self.UNKNOWN]).tolist():
+                self.classes[c] = self._class(chr(c))
+            cls = self.classes[cp]
+        n = len(cp)
+        first = np.zeros(n + 1, bool)
+        first[np.searchsorted(at, off[:-1][off[:-1] < len(data)])] = True
+        first[n] = True
+        run = first.copy()
+        run[1:n] |= cls[1:] != cls[:-1]
+        begins, ends = np.flatnonzero(run)[:-1], np.flatnonzero(run)[1:]
+        starts = run.copy()
+        # the last character of white space is a word of its own before other characters, or if it is a space part of theirs
+        last = ends[(cls[begins] == DROP) & ~first[ends]] - 1
+        starts[last] = True
+        starts[last[cp[last] == 32] + 1] = False
+        quote = begins[(ends - begins == 1) & (cp[begins] == 39)]
+        quote = quote[starts[quote] & ~first[quote + 1]]
+        quote = quote[cls[quote + 1] == LETTER]
+        if len(quote):
+            stop = ends[np.searchsorted(begins, quote + 1)]  # of the letters
+            wide = np.append(cp, [0, 0])
+            size = np.zeros(len(quote), np.int64)
+            for e in self.ENDINGS:
+                there = stop - quote > len(e)
+                for k, c in enumerate(e):
+                    there &= wide[quote + 1 + k] == ord(c)
+                size[there & (size == 0)] = len(e)
+            quote, size = quote[size > 0], size[size > 0]
+            starts[quote + 1] = False
+            starts[quote + 1 + size] = True
+        s = np.flatnonzero(starts[:n])
+        return at[s], np.searchsorted(at[s], off)
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For slices of rows: first row, end, all ids, and the offset of each row's ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for i, j in slices(texts, SLICE // 2):
+            part = texts.slice(i, j - i)
+            odd = np.zeros(j - i, bool)
+            for token in self.added:
+                odd |= pc.match_substring(part, token).to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), part) if odd.any() else part
+            data, off = raw(plain)
+            ids, ends = np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
+            if len(data):
+                s, first = self._words(data, off)
+                words, idx = dictionary(s, np.append(s[1:], len(data)), data)
+                start, size = self._word_ids(words)
+                start, size = start[idx], size[idx]
+                ids = self.flat[gather(start, size)]
+                ends = np.concatenate([[0], np.cumsum(size)])[first]
+            if odd.any():
+                own = {int(k): np.asarray(self.tok.encode(part[int(k)].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(odd)}
+                rows = [own[k] if k in own else ids[ends[k] : ends[k + 1]] for k in range(j - i)]
+                ids = np.concatenate(rows)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+            yield i, j, ids, ends
+
+
 @functools.lru_cache(2)
 def encoder(file: str = "word_bpe_49k.json") -> Encoder:
-    """One for each Python worker."""
-    return Encoder(file)
+    """One for each Python worker; byte-level files are named so."""
+    return ByteEncoder(file) if file.startswith("byte_") else Encoder(file)
 
 
 if sys.byteorder != "little":  # ids are handed on as little-endian bytes
