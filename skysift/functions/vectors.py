@@ -19,9 +19,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a / |a|; the null vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(doubles(a), lambda x: x / n)).otherwise(doubles(a))
+    """a / |a|; the null vector stays. The norm is bound as a variable: named in the inner lambda it would be worked out for each element."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(doubles(a), lambda x: x / n)).otherwise(doubles(a)))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

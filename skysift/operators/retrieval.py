@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,52 +30,59 @@ def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     return F.broadcast(df) if held <= most else df
 
 
-def similarity(texts: DataFrame, patches: DataFrame, scale: float = SCALE, normalise_texts: bool = True) -> DataFrame:
-    """(question_id, pos, patch_idx, prob): softmax over the patches of scale x cosine. texts: question_id, pos, vec."""
-    t = texts.select("question_id", "pos", (V.unit(F.col("vec")) if normalise_texts else V.doubles(F.col("vec"))).alias("tv"))
-    p = patches.select(*[c for c in ("question_id", "patch_idx") if c in patches.columns], V.unit(F.col("vec")).alias("pv"))
-    pairs = p.join(small(t), "question_id") if "question_id" in p.columns else p.crossJoin(small(t))
-    # no logit is above scale x |text|, so this bound serves for the largest one: one pass less
-    logit = V.dot(F.col("tv"), F.col("pv")) * scale - V.norm(F.col("tv")) * scale
-    by = ["question_id", "pos"]
-    mass = pairs.select(*by, "patch_idx", F.exp(logit).alias("e"))
-    total = mass.groupBy(*by).agg(F.sum("e").alias("t"))
-    return mass.join(total, by).select(*by, "patch_idx", (F.col("e") / F.col("t")).alias("prob"))
-
-
 #: Vectors in a block, and texts in a block: a product of two blocks takes some 10 MB.
 PATCH_BLOCK, TEXT_BLOCK = 2048, 256
 
 
-def packed(df: DataFrame, ids: dict[str, str], size: int, unit: bool, prefix: str) -> DataFrame:
-    """df's rows in blocks of at most `size`, packed where they are: (prefix + name: the ids as an array, prefix + vec: all vectors one after the other). ids: name of each column that names a row, and its type."""
-    names = [f"{prefix}{n}" for n in ids] + [f"{prefix}vec"]
+def packed(df: DataFrame, ids: dict[str, str], size: int, unit: bool, prefix: str, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """df's rows in blocks of at most `size`: (prefix + name: the ids as an array, prefix + vec: all vectors one after the other). ids: name of each column that names a row, and its type. Without a key rows
+    are packed where they are. With one they are sorted into ranges first (by key, order and ids), a block holds rows of one key alone, and prefix + key_name says which; a key
+    of many rows lies in many blocks and ranges. Rows without vector or key are left out."""
+    keys = {f"{prefix}key_{c}": c for c in key or []}
+    names = [*keys, *(f"{prefix}{n}" for n in ids), f"{prefix}vec"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(keys)
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                flat = np.asarray(part.column(len(ids)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
-                if unit:
-                    n = np.sqrt((flat * flat).sum(1, keepdims=True))
-                    flat = np.where(n > 0, flat / np.where(n > 0, n, 1), flat)
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([flat.ravel()], pa.list_(pa.float64()))], names=names)
-
-    kinds = [f"`{prefix}{n}` array<{kind}>" for n, kind in ids.items()]
-    return df.where(F.col("vec").isNotNull()).select(*ids, V.doubles(F.col("vec"))).mapInArrow(pack, ", ".join([*kinds, f"{prefix}vec array<double>"]))
-
-
-def first_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+            n = b.num_rows
+            new = np.zeros(max(n - 1, 0), bool)
+            for k in range(at):
+                new |= pc.not_equal(b.column(k)[1:], b.column(k)[:-1]).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(new) + 1
+            for begin, end in zip([0, *cuts], [*cuts, n], strict=True):
+                for begun in range(begin, end, size):
+                    part = b.slice(begun, min(size, end - begun))
+                    flat = np.asarray(part.column(at + len(ids)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(at + k)) for k in range(len(ids))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k)[:1] for k in range(at)), *lists, pa.array([(units(flat) if unit else flat).ravel()], pa.list_(pa.float64()))], names=names)
+
+    kinds = [*(f"`{n}` {df.schema[c].dataType.simpleString()}" for n, c in keys.items()), *(f"`{prefix}{n}` array<{kind}>" for n, kind in ids.items())]
+    rows = df.where(F.col("vec").isNotNull())
+    if keys:
+        rows = rows.dropna(subset=list(keys.values())).repartitionByRange(*keys.values(), *(order or []), *ids).sortWithinPartitions(*keys.values(), *(order or []), *ids)
+    return rows.select(*(F.col(c).alias(n) for n, c in keys.items()), *ids, V.doubles(F.col("vec"))).mapInArrow(pack, ", ".join([*kinds, f"{prefix}vec array<double>"]))
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Each row / its norm; null vectors stay."""
+    n = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.where(n > 0, rows / np.where(n > 0, n, 1), rows)
+
+
+def first_of(score: np.ndarray, ids: np.ndarray, k: int | None) -> np.ndarray:
     """Places of the k largest scores, equal ones by id."""
+    if k is None:
+        return np.arange(len(score))
     there = np.arange(len(score)) if len(score) <= k else np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
     return there[np.lexsort((ids[there], -score[there]))[:k]]
 
 
-def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int, normalise: tuple[bool, bool], score: Callable[[np.ndarray, np.ndarray], np.ndarray], mass: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(question_id, pos, name, score, mass): of each text (question_id, pos, vec) and each block of patches (name, vec) the k best, and in one of their rows the block's mass. Blocks of texts meet blocks
-    of patches, so a pair of vectors is never a row. Texts are sent to all executors if they are small enough."""
-    kinds = {f.name: f.dataType.simpleString() for f in [*texts.schema.fields, *patches.schema.fields]}
+def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int | None, normalise: tuple[bool, bool], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(question_id, pos, name, score, top, mass): of each text (question_id, pos, vec) and each block of patches (name, vec) the k best (all, without k), and in one of their rows the block's best score and
+    the sum of exp(score - best). Patches with a question_id meet their own question's texts, others all. Blocks of texts meet blocks of patches, so a pair of
+    vectors is never a row. Texts are written once and sent to all executors if they are small enough."""
+    key = ["question_id"] if "question_id" in patches.columns else None
+    kinds = {f.name: f.dataType.simpleString() for f in [*patches.schema.fields, *texts.schema.fields]}
     tids = {n: kinds[n] for n in ("question_id", "pos")}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,28 +91,44 @@ def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int, normalise
                 own, pv, question, pos, tv = (b.column(c)[row].values for c in range(5))
                 n, m = len(own), len(question)
                 found = score(tv.to_numpy().reshape(m, -1), pv.to_numpy().reshape(n, -1))
-                ids, total = own.to_numpy(zero_copy_only=False), mass(found)
+                ids, top = own.to_numpy(zero_copy_only=False), found.max(1)
+                mass = np.exp(found - top[:, None]).sum(1)
                 at = [first_of(found[t], ids, k) for t in range(m)]
                 of = np.repeat(np.arange(m), [len(x) for x in at])
                 first = np.concatenate([[True], of[1:] != of[:-1]])
                 flat = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([question.take(pa.array(of)), pos.take(pa.array(of)), own.take(pa.array(flat)), pa.array(found[of, flat]), pa.array(np.where(first, total[of], 0.0))], names=["question_id", "pos", name, "score", "mass"])
+                yield pa.RecordBatch.from_arrays([question.take(pa.array(of)), pos.take(pa.array(of)), own.take(pa.array(flat)), pa.array(found[of, flat]), pa.array(top[of]), pa.array(np.where(first, mass[of], 0.0))], names=["question_id", "pos", name, "score", "top", "mass"])
+
+    left, right = packed(patches, {name: kinds[name]}, PATCH_BLOCK, normalise[1], "p_", key), small(checkpointed(packed(texts, tids, TEXT_BLOCK, normalise[0], "t_", key)))
+    both = left.join(right, F.col("p_key_question_id") == F.col("t_key_question_id")) if key else left.crossJoin(right)
+    return both.select(f"p_{name}", "p_vec", "t_question_id", "t_pos", "t_vec").mapInArrow(best, f"question_id {tids['question_id']}, pos {tids['pos']}, `{name}` {kinds[name]}, score double, top double, mass double")
+
+
+def cosines(scale: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda t, p: scale * (t @ p.T)
+
+
+BY = ("question_id", "pos")
+
+
+def softmax(found: DataFrame) -> DataFrame:
+    """blockwise() rows with prob: blocks' masses are brought to the largest best score, so nothing overflows and the largest term never vanishes."""
+    by = Window.partitionBy(*BY)
+    high = found.withColumn("__high", F.max("top").over(by))
+    total = high.withColumn("__total", F.sum(F.col("mass") * F.exp(F.col("top") - F.col("__high"))).over(by))
+    return total.withColumn("prob", F.exp(F.col("score") - F.col("__high")) / F.col("__total"))
+
 
-    left, right = packed(patches, {name: kinds[name]}, PATCH_BLOCK, normalise[1], "p_"), packed(texts, tids, TEXT_BLOCK, normalise[0], "t_")
-    pairs = left.crossJoin(small(right)).select(f"p_{name}", "p_vec", "t_question_id", "t_pos", "t_vec")
-    return pairs.mapInArrow(best, f"question_id {tids['question_id']}, pos {tids['pos']}, `{name}` {kinds[name]}, score double, mass double")
+def similarity(texts: DataFrame, patches: DataFrame, scale: float = SCALE, normalise_texts: bool = True) -> DataFrame:
+    """(question_id, pos, patch_idx, prob): softmax over the patches of scale x cosine, the whole matrix. texts: question_id, pos, vec."""
+    return softmax(blockwise(texts, patches, "patch_idx", None, (normalise_texts, True), cosines(scale))).select(*BY, "patch_idx", "prob")
 
 
 def best(texts: DataFrame, patches: DataFrame, k: int, scale: float = SCALE, normalise_texts: bool = True) -> DataFrame:
-    """(question_id, pos, patch_idx, prob, rank): top_k() of similarity(), in one pass over the patches."""
-    if "question_id" in patches.columns:
-        return top_k(similarity(texts, patches, scale, normalise_texts), k)
-    # no logit is above scale x |text|, so that bound serves for the largest one
-    logits = lambda t, p: np.exp(scale * (t @ p.T) - scale * np.sqrt((t * t).sum(1, keepdims=True)))
-    found = blockwise(texts, patches, "patch_idx", k, (normalise_texts, True), logits, lambda e: e.sum(1))
-    by = Window.partitionBy("question_id", "pos")
-    ranked = found.withColumns({"__total": F.sum("mass").over(by), "rank": F.row_number().over(by.orderBy(F.desc("score"), "patch_idx"))})
-    return ranked.where(F.col("rank") <= k).select("question_id", "pos", "patch_idx", (F.col("score") / F.col("__total")).alias("prob"), "rank")
+    """(question_id, pos, patch_idx, prob, rank): top_k() of similarity(), in one pass over the patches; only each block's k best are rows."""
+    found = blockwise(texts, patches, "patch_idx", k, (normalise_texts, True), cosines(scale))
+    ranked = softmax(found).withColumn("rank", F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("score"), "patch_idx")))
+    return ranked.where(F.col("rank") <= k).select(*BY, "patch_idx", "prob", "rank")
 
 
 def top_k(sims: DataFrame, k: int) -> DataFrame:
@@ -137,7 +161,7 @@ def above(cues: DataFrame, threshold: float) -> DataFrame:
 def nearest(phrases: DataFrame, labels: DataFrame, k: int = 3, threshold: float | None = None) -> DataFrame:
     """(question_id, pos, label_id, dist, rank): the k nearest labels by squared distance, then those with dist <= threshold. labels: label_id, vec."""
     minus = lambda t, p: -np.stack([((p - x) ** 2).sum(1) for x in t])
-    found = blockwise(phrases, labels, "label_id", k, (False, False), minus, lambda d: np.zeros(len(d)))
+    found = blockwise(phrases, labels, "label_id", k, (False, False), minus)
     order = Window.partitionBy("question_id", "pos").orderBy(F.desc("score"), "label_id")
     near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "pos", "label_id", (-F.col("score")).alias("dist"), "rank")
     return near if threshold is None else near.where(F.col("dist") <= threshold)
@@ -149,9 +173,24 @@ def reverse_map(near: DataFrame) -> DataFrame:
 
 
 def mean(candidates: DataFrame, by: list[str], normalise: bool = True) -> DataFrame:
-    """(by, vec): mean vector of each group, of unit vectors if normalise."""
-    parts = candidates.select(*by, F.posexplode(V.unit(F.col("vec")) if normalise else V.doubles(F.col("vec"))).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))
-    lists = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    """(by, vec): mean vector of each group, of unit vectors if normalise. Each batch of rows is summed by group where it is; only the sums are spread and shuffled."""
+    keys = candidates.where(F.col("vec").isNotNull()).select(*by, V.doubles(F.col("vec")).alias("vec"))
+    names = [*by, "sums", "n"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            vec, rows = b.column(len(by)), pa.table({"k": pa.array(np.arange(b.num_rows)), "d": pc.list_value_length(b.column(len(by))), **{f"b{i}": b.column(i) for i in range(len(by))}})
+            for group in rows.group_by([*(f"b{i}" for i in range(len(by))), "d"], use_threads=False).aggregate([("k", "list"), ("k", "min")]).to_pylist():
+                own = np.asarray(vec.take(pa.array(group["k_list"])).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(group["k_list"]), -1)
+                at = group["k_min"]
+                yield pa.RecordBatch.from_arrays([*(b.column(i)[at : at + 1] for i in range(len(by))), pa.array([(units(own) if normalise else own).sum(0)], pa.list_(pa.float64())), pa.array([len(own)], pa.int64())], names=names)
+
+    kinds = ", ".join(f"`{c}` {keys.schema[c].dataType.simpleString()}" for c in by)
+    parts = keys.mapInArrow(partial, f"{kinds}, sums array<double>, n long").select(*by, "n", F.posexplode("sums").alias("i", "x"))
+    means = parts.groupBy(*by, "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    lists = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     return lists.select(*by, F.transform("v", lambda c: c["x"]).alias("vec"))
 
 
@@ -161,12 +200,87 @@ def rerank(candidates: DataFrame, by: list[str], n: int = 3) -> DataFrame:
     return mean(candidates.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n), by, normalise=False)
 
 
+#: Vectors of a block of neighbours, and vectors that they are ordered by.
+NEAR_BLOCK, PIVOTS = 1024, 64
+
+
+def neighbour_blocks(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, block, id, vec, centre, radius): the unit vectors of each group in blocks of such as are near each other: rows are ordered by the nearest of at most PIVOTS of them. The centre
+    and radius of a block bound where its vectors lie."""
+    kinds = {c: points.schema[c].dataType.simpleString() for c in [*by, "id"]}
+    rows = points.where(F.col("vec").isNotNull()).select(*by, "id", V.doubles(F.col("vec")).alias("vec"))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()
+    pivots = units(np.array([r.vec for r in some if len(r.vec) == len(some[0].vec)], np.float64)) if some else np.zeros((1, 1))
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = units(np.asarray(b.column(len(by) + 1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+            spot = (flat @ pivots.T).argmax(1) if b.num_rows else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(b.column(len(by) + 1).offsets, pa.array(flat.ravel())), pa.array(spot.astype(np.int32))], names=[*by, "id", "vec", "spot"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            centre, radius = [], []
+            for row in range(b.num_rows):
+                v = b.column(len(by) + 1)[row].values.to_numpy().reshape(len(b.column(len(by))[row]), -1)
+                centre.append(v.mean(0))
+                radius.append(float(np.sqrt(((v - centre[-1]) ** 2).sum(1)).max()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(centre, pa.list_(pa.float64())), pa.array(radius, pa.float64())], names=[*by, "id", "vec", "centre", "radius"])
+
+    cells = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    near = rows.mapInArrow(ordered, f"{cells}, vec array<double>, spot int")
+    blocks = packed(near, {"id": kinds["id"]}, NEAR_BLOCK, False, "", by, ["spot"])
+    heads = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    return checkpointed(blocks.mapInArrow(bounded, f"{heads}, id array<{kinds['id']}>, vec array<double>, centre array<double>, radius double").withColumn("block", F.monotonically_increasing_id()))
+
+
+def links(points: DataFrame, by: list[str], eps: float) -> DataFrame:
+    """(by, id, id2): neighbours within eps of unit vectors, as far as they are needed to connect what is connected. Two blocks of a group meet if their centres and radii let any of their vectors be
+    neighbours (triangle inequality); of what a pair of blocks connects each vector is linked to the lowest id, so a meeting gives at most as many rows as it has vectors."""
+    blocks = neighbour_blocks(points, by)
+    id_kind = points.schema["id"].dataType.simpleString()
+    heads = blocks.select(*by, "block", "centre", "radius")
+    others = heads.withColumnsRenamed({"block": "block2", "centre": "centre2", "radius": "radius2"})
+    reach = F.col("radius") + F.col("radius2") + eps + 1e-9
+    meet = heads.join(others, by).where((F.col("block") == F.col("block2")) | (F.col("block") < F.col("block2")) & (V.l2sq(F.col("centre"), F.col("centre2")) <= reach * reach)).select("block", "block2")
+    own = blocks.select("block", *by, "id", "vec")
+    pairs = meet.join(own, "block").join(blocks.select(F.col("block").alias("block2"), F.col("id").alias("id2"), F.col("vec").alias("vec2")), "block2")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(by)
+        for b in batches:
+            for row in range(b.num_rows):
+                same = b.column(at + 4)[row].as_py()
+                ids, ids2 = b.column(at)[row].values, b.column(at + 2)[row].values
+                v, w = (b.column(at + k)[row].values.to_numpy().reshape(n, -1) for k, n in ((1, len(ids)), (3, len(ids2))))
+                near = (v * v).sum(1)[:, None] + (w * w).sum(1) - 2 * v @ w.T <= eps * eps
+                if same:
+                    np.fill_diagonal(near, False)
+                names = ids if same else pa.concat_arrays([ids, ids2])
+                order = pc.sort_indices(names).to_numpy()
+                label = np.empty(len(names), np.int64)
+                label[order] = np.arange(len(names))
+                first, then = label[: len(ids)], label if same else label[len(ids) :]
+                while True:
+                    a, c = np.where(near, then, len(names)).min(1, initial=len(names)), np.where(near.T, first, len(names)).min(1, initial=len(names))
+                    a, c = np.minimum(first, a), np.minimum(then, c)
+                    if (a == first).all() and (c == then).all():
+                        break
+                    first, then = (np.minimum(a, c),) * 2 if same else (a, c)
+                lowest = first if same else np.concatenate([first, then])
+                far = np.flatnonzero(lowest != label)
+                keys = [pa.array([b.column(k)[row].as_py()] * len(far), b.column(k).type) for k in range(at)]
+                yield pa.RecordBatch.from_arrays([*keys, names.take(pa.array(far)), names.take(pa.array(order[lowest[far]]))], names=[*by, "id", "id2"])
+
+    cells = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+    return pairs.select(*by, "id", "vec", "id2", "vec2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(linked, f"{cells}, id {id_kind}, id2 {id_kind}")
+
+
 def clusters(points: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
-    """(by, id, cluster, size): density clusters of at least two points, by neighbours within eps of unit vectors; noise is left out.
+    """(by, id, cluster, size): density clusters of at least two points, by neighbours within eps of unit vectors; noise is left out, and so are points without vector or group.
     With two points to a cluster these are the connected components of the neighbour graph, named by their lowest id."""
-    unit = points.select(*by, "id", V.unit(F.col("vec")).alias("v"))
-    other = unit.withColumnsRenamed({"id": "id2", "v": "v2"})
-    near = unit.join(other, by).where((F.col("id") != F.col("id2")) & (V.l2sq(F.col("v"), F.col("v2")) <= eps * eps)).select(*by, "id", "id2").persist()
+    one = links(points, by, eps)
+    near = checkpointed(one.unionByName(one.select(*by, F.col("id2").alias("id"), F.col("id").alias("id2"))))
     state = near.groupBy(*by, "id").agg(F.min("id2").alias("m")).select(*by, "id", F.least("id", "m").alias("cluster"))
     while True:
         heard = near.join(state.withColumnsRenamed({"id": "id2", "cluster": "m"}), [*by, "id2"]).groupBy(*by, "id").agg(F.min("m").alias("m"))
@@ -175,8 +289,7 @@ def clusters(points: DataFrame, by: list[str], eps: float = 0.3) -> DataFrame:
         state = after.drop("old")
         if after.where("old != cluster").isEmpty():
             break
-    near.unpersist()
-    return state.withColumn("size", F.count("*").over(Window.partitionBy(*by, "cluster")))
+    return state.join(state.groupBy(*by, "cluster").agg(F.count("*").alias("size")), [*by, "cluster"]).select(*by, "id", "cluster", "size")
 
 
 def cluster_mean(candidates: DataFrame, by: list[str], eps: float = 0.3, normalise: bool = True) -> DataFrame:
