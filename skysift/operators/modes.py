@@ -52,10 +52,11 @@ def detection_gt(questions: DataFrame, instruction: str, factor: float = 1.0) ->
     return result(questions, instruction, F.when(F.size("gt_toi") == 4, F.array(boxed(share))), F.lit(None), F.lit("detection_gt"))
 
 
-def detection_gt_fake(questions: DataFrame, instruction: str) -> DataFrame:
-    """A box that depends on the image's size alone. Its pixels are taken for thousandths, as the results to match have it."""
+def detection_gt_fake(questions: DataFrame, instruction: str, compat: bool = False) -> DataFrame:
+    """A box that depends on the image's size alone; images without pixels have none. compat reproduces a known slip of earlier results: the box's pixels are taken for thousandths."""
     made = G.random_subpatch(questions)
-    return result(made, instruction, F.array(boxed([F.col(f"sub_{n}") for n in SIDES])), F.lit(None), F.lit("detection_gt_fake"))
+    sides = [F.col(f"sub_{n}") if compat else F.col(f"sub_{n}") / F.col(size) * 1000 for n, size in zip(SIDES, ("width", "height") * 2, strict=True)]
+    return result(made, instruction, F.when(F.col("sub_x1").isNotNull(), F.array(boxed(sides))), F.lit(None), F.lit("detection_gt_fake"))
 
 
 def baseline_detection(questions: DataFrame, instruction: str, language: Callable[[], M.Ask], vision: Callable[[], M.Ask], batch: int = 16) -> DataFrame:

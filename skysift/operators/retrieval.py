@@ -23,11 +23,10 @@ SMALL_BYTES = 64 << 20
 
 
 def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
-    """df marked for broadcast if its vectors are proven to be small enough."""
+    """df, a written or checkpointed table, marked for broadcast if its vectors are proven to be small enough."""
     wide = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
     room = F.lit(64) + sum((F.size(c) * 8 for c in wide), F.lit(0))
-    held = df.limit(most // 64 + 1).agg(F.coalesce(F.sum(room), F.lit(0)).alias("b")).first().b
-    return F.broadcast(df) if held <= most else df
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(room), F.lit(0)).alias("b")).first().b <= most else df
 
 
 #: Vectors in a block, and texts in a block: a product of two blocks takes some 10 MB.
@@ -77,13 +76,20 @@ def first_of(score: np.ndarray, ids: np.ndarray, k: int | None) -> np.ndarray:
     return there[np.lexsort((ids[there], -score[there]))[:k]]
 
 
+def patch_blocks(patches: DataFrame, name: str = "patch_idx", unit: bool = True) -> DataFrame:
+    """Patches (question_id or none, name, vec) as blocks for blockwise(), similarity() and best(), which take either; worth storing where several searches read them."""
+    kind = patches.schema[name].dataType.simpleString()
+    return packed(patches, {name: kind}, PATCH_BLOCK, unit, "p_", ["question_id"] if "question_id" in patches.columns else None)
+
+
 def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int | None, normalise: tuple[bool, bool], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(question_id, pos, name, score, top, mass): of each text (question_id, pos, vec) and each block of patches (name, vec) the k best (all, without k), and in one of their rows the block's best score and
     the sum of exp(score - best). Patches with a question_id meet their own question's texts, others all. Blocks of texts meet blocks of patches, so a pair of
     vectors is never a row. Texts are written once and sent to all executors if they are small enough."""
-    key = ["question_id"] if "question_id" in patches.columns else None
-    kinds = {f.name: f.dataType.simpleString() for f in [*patches.schema.fields, *texts.schema.fields]}
-    tids = {n: kinds[n] for n in ("question_id", "pos")}
+    left = patches if "p_vec" in patches.columns else patch_blocks(patches, name, normalise[1])
+    key = ["question_id"] if "p_key_question_id" in left.columns else None
+    kind = left.schema[f"p_{name}"].dataType.elementType.simpleString()
+    tids = {n: texts.schema[n].dataType.simpleString() for n in ("question_id", "pos")}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,9 +105,9 @@ def blockwise(texts: DataFrame, patches: DataFrame, name: str, k: int | None, no
                 flat = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays([question.take(pa.array(of)), pos.take(pa.array(of)), own.take(pa.array(flat)), pa.array(found[of, flat]), pa.array(top[of]), pa.array(np.where(first, mass[of], 0.0))], names=["question_id", "pos", name, "score", "top", "mass"])
 
-    left, right = packed(patches, {name: kinds[name]}, PATCH_BLOCK, normalise[1], "p_", key), small(checkpointed(packed(texts, tids, TEXT_BLOCK, normalise[0], "t_", key)))
+    right = small(checkpointed(packed(texts, tids, TEXT_BLOCK, normalise[0], "t_", key)))
     both = left.join(right, F.col("p_key_question_id") == F.col("t_key_question_id")) if key else left.crossJoin(right)
-    return both.select(f"p_{name}", "p_vec", "t_question_id", "t_pos", "t_vec").mapInArrow(best, f"question_id {tids['question_id']}, pos {tids['pos']}, `{name}` {kinds[name]}, score double, top double, mass double")
+    return both.select(f"p_{name}", "p_vec", "t_question_id", "t_pos", "t_vec").mapInArrow(best, f"question_id {tids['question_id']}, pos {tids['pos']}, `{name}` {kind}, score double, top double, mass double")
 
 
 def cosines(scale: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:

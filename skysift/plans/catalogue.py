@@ -18,6 +18,8 @@ from skysift.operators import evaluation as E
 from skysift.operators import modes as O
 from skysift.operators import patches as P
 from skysift.operators import retrieval as R
+from skysift.operators import waterfall as W
+from skysift.session import stored
 from skysift.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +61,11 @@ t AS (SELECT vec_id // 250 AS question_id, (vec_id // 50) % 5 AS pos, v FROM e W
 p AS (SELECT vec_id AS patch_idx, label, v FROM e)"""
 
 
-def softmax_sql(texts: str, unit: bool = True, name: str = "s") -> str:
+def softmax_sql(texts: str, unit: bool = True, name: str = "s", patches: str = "p", own: bool = False) -> str:
     by = "sqrt(list_inner_product(a.v, a.v)) * " if unit else ""
+    on = "JOIN {} p ON p.question_id = a.question_id".format(patches) if own else f"CROSS JOIN {patches} p"
     return f"""
-{name}l AS (SELECT question_id, pos, patch_idx, 100 * list_inner_product(a.v, p.v) / ({by}sqrt(list_inner_product(p.v, p.v))) AS x FROM {texts} a, p),
+{name}l AS (SELECT a.question_id, pos, patch_idx, 100 * list_inner_product(a.v, p.v) / ({by}sqrt(list_inner_product(p.v, p.v))) AS x FROM {texts} a {on}),
 {name}m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY question_id, pos)) AS z FROM {name}l),
 {name} AS (SELECT question_id, pos, patch_idx, z / sum(z) OVER (PARTITION BY question_id, pos) AS prob FROM {name}m)"""
 
@@ -191,8 +194,9 @@ def solo(spark: SparkSession, d: str) -> DataFrame:
 
 def tiers(spark: SparkSession, d: str, path_t: float, lrsd_t: float, crsd_t: float) -> DataFrame:
     q = solo(spark, d)
-    fast = R.above(R.vote(R.best(q, patches(spark, d), 2)), path_t)
-    near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3)
+    fast = stored(R.above(R.vote(R.best(q, patches(spark, d), 2)), path_t), "fast")
+    left = q.join(fast.select("question_id").distinct(), "question_id", "left_anti")
+    near = stored(R.nearest(left, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3, max(lrsd_t, crsd_t)), "near")
     return R.routed(q, fast, near.where(F.col("dist") <= lrsd_t), near.where(F.col("dist") <= crsd_t))
 
 
@@ -651,20 +655,130 @@ def q48_mode_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return made.select("question_id", "prompt", F.array_join(F.transform("confidence", lambda x: F.round(x, 6).cast("string")), ",").alias("confidence"), "path")
 
 
-@query(f"""
-WITH {VEC_SOLO}, {softmax_sql('t')}, {vote_sql()}, {NEAR},
-f AS (SELECT question_id, 0 AS tier, 'Fast' AS path, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, cue_pos) - 1 AS cue_pos, patch_idx, confidence FROM c WHERE confidence > 0.9),
-l AS (SELECT question_id, 1 AS tier, 'Slow-LRSD' AS path, rank - 1 AS cue_pos, label_id AS patch_idx, 1 - dist / 2 AS confidence FROM k WHERE rank <= 3 AND dist <= {LRSD_T}),
-r AS (SELECT question_id, 2 AS tier, 'Slow-CRSD' AS path, rank - 1 AS cue_pos, label_id AS patch_idx, 1 - dist / 2 AS confidence FROM k WHERE rank <= 3 AND dist <= {CRSD_T}),
-a AS (SELECT * FROM f UNION ALL SELECT * FROM l UNION ALL SELECT * FROM r)
-SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM (SELECT *, min(tier) OVER (PARTITION BY question_id) AS first FROM a) WHERE tier = first""")
+# Retrieval in tiers: every 25 vectors are one question's patches, its first three, read backwards, its phrases. The labels of the first store are those of the table,
+# the captions of the second finer; the vector of a label is its first image's.
+TIERED = {"path_t": 0.9995, "lrsd_t": 1.45, "crsd_t": 1.32, "eps": 1.2}
+
+
+def own_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where("vec_id % 25 < 3").select(F.expr("vec_id div 25").alias("question_id"), F.expr("vec_id % 25").alias("pos"), F.reverse("vec").alias("vec"))
+
+
+def own_patches(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("vec_id") % 40 * 20, F.col("vec_id") % 30 * 20
+    return vectors(spark, d).select(F.expr("vec_id div 25").alias("question_id"), F.col("vec_id").alias("patch_idx"), "vec", x.alias("x1"), y.alias("y1"), (x + 100).alias("x2"), (y + 80).alias("y2"))
+
+
+def own_store(spark: SparkSession, d: str, label: Column) -> W.Store:
+    v = vectors(spark, d).withColumn("label", label)
+    labels = v.groupBy("label").agg(F.min_by("vec", "vec_id").alias("vec"))
+    return W.store(v.select(F.col("vec_id").alias("pos"), F.col("vec_id").alias("img_name"), "label", "vec"), labels)
+
+
+def tiered(spark: SparkSession, d: str, reduce: str) -> tuple[DataFrame, DataFrame, W.Store, W.Store, W.Settings]:
+    caption = F.col("label") * 7 + F.col("vec_id") % 7
+    return own_phrases(spark, d), own_patches(spark, d), own_store(spark, d, F.col("label")), own_store(spark, d, caption), W.Settings(**TIERED, reduce=reduce)
+
+
+def reduced_sql(name: str, how: str) -> str:
+    """(question_id, pos, v) of the labels found in {name}f: their images in {name}i as one vector."""
+    if how == "rerank":
+        chosen = f"""
+{name}o AS (SELECT f.question_id, f.place, i.v FROM {name}f f JOIN t ON t.question_id = f.question_id AND t.pos = f.pos JOIN {name}i i ON i.label = f.label
+  QUALIFY row_number() OVER (PARTITION BY f.question_id, f.label ORDER BY list_inner_product(i.v, t.v) / sqrt(list_inner_product(i.v, i.v)) / sqrt(list_inner_product(t.v, t.v)) DESC, i.vec_id) <= 3),"""
+    elif how == "mean":
+        chosen = f"""
+{name}o AS (SELECT question_id, place, {UNIT} AS v FROM {name}f JOIN {name}i USING (label)),"""
+    else:
+        chosen = f"""
+{name}u AS (SELECT vec_id AS id, label, {UNIT} AS v FROM {name}i),
+{name}g AS (SELECT a.label, a.id, b.id AS id2 FROM {name}u a JOIN {name}u b ON a.label = b.label AND a.id <> b.id AND list_distance(a.v, b.v) <= {TIERED["eps"]}),
+{name}c AS (SELECT label, id AS root, id FROM {name}g UNION SELECT c.label, c.root, g.id2 FROM {name}c c JOIN {name}g g ON c.id = g.id),
+{name}m AS (SELECT label, id, min(root) AS cluster FROM {name}c GROUP BY ALL),
+{name}b AS (SELECT label, cluster FROM (SELECT label, cluster, count(*) AS size FROM {name}m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY label ORDER BY size DESC, cluster) = 1),
+{name}o AS (SELECT question_id, place, u.v FROM {name}f JOIN {name}u u USING (label) LEFT JOIN {name}b b ON b.label = u.label LEFT JOIN {name}m m ON m.id = u.id WHERE b.label IS NULL OR m.cluster = b.cluster),"""
+    return f"""{chosen}
+{name}e AS (SELECT question_id, place, v, unnest(range(1, len(v) + 1)) AS i FROM {name}o),
+{name}v AS (SELECT question_id, place AS pos, list(x ORDER BY i) AS v FROM (SELECT question_id, place, i, avg(v[i]) AS x FROM {name}e GROUP BY ALL) GROUP BY ALL)"""
+
+
+def tier_sql(name: str, label: str, threshold: float, how: str) -> str:
+    """{name}x: the votes of the labels near each question's phrases."""
+    return f"""
+{name}i AS (SELECT vec_id, {label} AS label, v FROM e), {name}l AS (SELECT label, arg_min(v, vec_id) AS v FROM {name}i GROUP BY label),
+{name}k AS (SELECT question_id, pos, l.label, list_distance(t.v, l.v) ^ 2 AS dist, row_number() OVER (PARTITION BY question_id, pos ORDER BY list_distance(t.v, l.v) ^ 2, l.label) AS rank FROM t, {name}l l),
+{name}f AS (SELECT question_id, label, max(pos) AS pos, min(pos * 3 + rank - 1) AS place FROM {name}k WHERE rank <= 3 AND dist <= {threshold} GROUP BY ALL), {reduced_sql(name, how)},
+{softmax_sql(f"{name}v", False, f"{name}s", own=True)}, {vote_sql(f"{name}s", f"{name}x")}"""
+
+
+def waterfall_sql(how: str) -> str:
+    """w: question_id, path, cue_pos, patch_idx, confidence."""
+    return f"""
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+t AS (SELECT vec_id // 25 AS question_id, vec_id % 25 AS pos, list_reverse(v) AS v FROM e WHERE vec_id % 25 < 3),
+p AS (SELECT vec_id // 25 AS question_id, vec_id AS patch_idx, v FROM e),
+{softmax_sql("t", own=True)}, {vote_sql()}, {tier_sql("y", "label", TIERED["lrsd_t"], how)}, {tier_sql("z", "label * 7 + vec_id % 7", TIERED["crsd_t"], how)},
+a AS (
+  SELECT question_id, 0 AS tier, '{W.FAST}' AS path, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, cue_pos) - 1 AS cue_pos, patch_idx, confidence FROM c WHERE confidence > {TIERED["path_t"]}
+  UNION ALL SELECT question_id, 1, '{W.LRSD}', cue_pos, patch_idx, confidence FROM yx
+  UNION ALL SELECT question_id, 2, '{W.CRSD}', cue_pos, patch_idx, confidence FROM zx),
+w AS (SELECT * EXCLUDE (tier, first) FROM (SELECT *, min(tier) OVER (PARTITION BY question_id) AS first FROM a) WHERE tier = first)"""
+
+
+def evidence(spark: SparkSession, d: str, reduce: str) -> DataFrame:
+    phrases, *given = tiered(spark, d, reduce)
+    return W.retrieve(phrases.select("question_id"), phrases, *given).evidence.withColumns({"cue_pos": F.col("cue_pos").cast("int"), "confidence": F.round("confidence", 6)})
+
+
+@query(f"WITH {waterfall_sql('mean')} SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM w")
 def q49_tier_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """What the first tier with evidence has for each question: cues, or the nearest labels' images."""
-    q = solo(spark, d)
-    fast = R.above(R.vote(R.best(q, patches(spark, d), 2)), 0.9)
-    near = R.nearest(q, patches(spark, d).withColumnRenamed("patch_idx", "label_id"), 3).select("question_id", (F.col("rank") - 1).alias("cue_pos"), F.col("label_id").alias("patch_idx"), (1 - F.col("dist") / 2).alias("confidence"), "dist")
-    tiers = [("Fast", fast), ("Slow-LRSD", near.where(F.col("dist") <= LRSD_T)), ("Slow-CRSD", near.where(F.col("dist") <= CRSD_T))]
-    return O.evidence(q, tiers).withColumn("confidence", F.round("confidence", 6))
+    """What the first tier with evidence has for each question; labels are reduced to their images' mean."""
+    return evidence(spark, d, "mean")
+
+
+@query(f"WITH {waterfall_sql('rerank')} SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM w")
+def q51_tier_evidence_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """As q49, labels reduced to the mean of the three images most like the phrase: raw vectors, not of unit length."""
+    return evidence(spark, d, "rerank")
+
+
+@query(f"WITH RECURSIVE {waterfall_sql('cluster')} SELECT question_id, path, CAST(cue_pos AS INT) AS cue_pos, patch_idx, {SIX} FROM w")
+def q52_tier_evidence_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """As q49, labels reduced to the mean of their largest cluster."""
+    return evidence(spark, d, "cluster")
+
+
+def cued_sql(boxes: str) -> str:
+    """a: question_id, said (the evidence's part of the prompt), confidence, path; from boxes (question_id, path, category, width, height, pos, conf, x1, y1, x2, y2)."""
+    return f"""
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY conf DESC, pos) AS n, count(*) OVER (PARTITION BY question_id) AS m FROM {boxes} WHERE conf > 0),
+u AS (SELECT question_id, any_value(path) AS path, any_value(width) AS width, any_value(height) AS height, any_value(category) AS category, count(*) AS m, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, avg(conf) AS conf FROM k GROUP BY question_id),
+b AS (
+  SELECT question_id, path, width, height, n, x1, y1, x2, y2, conf FROM k WHERE m = 1 OR category <> 'count'
+  UNION ALL SELECT question_id, path, width, height, CASE WHEN category = 'count' THEN 1 ELSE m + 1 END, x1, y1, x2, y2, conf FROM u WHERE m > 1),
+s2 AS (SELECT question_id, path, n, conf, trunc(x1 / width * 1000) AS x1, trunc(y1 / height * 1000) AS y1, trunc(x2 / width * 1000) AS x2, trunc(y2 / height * 1000) AS y2 FROM b),
+a2 AS (SELECT question_id, any_value(path) AS path, string_agg({patch_sql("n", "{}")}, '' ORDER BY n) AS said, array_to_string(list(round(conf, 6) ORDER BY n), ',') AS confidence FROM s2 GROUP BY question_id)"""
+
+
+def numbered_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of the tiers, in words."""
+    n = F.col("question_id").cast("string")
+    asked = vectors(spark, d).select(F.expr("vec_id div 25").alias("question_id")).distinct()
+    return asked.select(
+        "question_id", F.concat(F.lit("What is in region "), n, F.lit("?")).alias("text"), F.array(F.concat(F.lit("(A) number "), n), F.lit("(B) nothing")).alias("choices"),
+        F.when(F.col("question_id") % 4 == 0, "count").otherwise("color").alias("category"), F.lit(900).alias("width"), F.lit(700).alias("height"),
+    )
+
+
+@query(f"""
+WITH {waterfall_sql("mean")},
+q AS (SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'count' ELSE 'color' END AS category, 'What is in region ' || question_id || '? The choices are listed below: ' || chr(10) || '(A) number ' || question_id || chr(10) || '(B) nothing' || chr(10) || 'Select one.' || chr(10) || 'The best answer is:' AS plain FROM (SELECT DISTINCT vec_id // 25 AS question_id FROM e)),
+x0 AS (SELECT question_id, path, category, 900 AS width, 700 AS height, cue_pos AS pos, confidence AS conf, patch_idx % 40 * 20 AS x1, patch_idx % 30 * 20 AS y1, patch_idx % 40 * 20 + 100 AS x2, patch_idx % 30 * 20 + 80 AS y2 FROM w JOIN q USING (question_id)),
+{cued_sql("x0")}
+SELECT q.question_id, CASE WHEN said IS NULL THEN plain ELSE {HEAD} || said || {LOOKING} || plain END AS prompt, coalesce(path, '{W.ZERO}') AS path FROM q LEFT JOIN a2 USING (question_id)""")
+def q53_retrieval_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """From vectors, stores and questions to prompts, tier by tier."""
+    return W.retrieved_prompts(numbered_questions(spark, d), *tiered(spark, d, "mean"), INSTRUCTION)[0].select("question_id", "prompt", "path")
 
 
 @query(f"WITH {BOX}, o AS (SELECT *, row_number() OVER () AS r, (x1 + x2) / 2 - 300 AS cx, (y1 + y2) / 2 - 200 AS cy, x2 - x1 AS w, y2 - y1 AS h, radians(l_discount * 900) AS a FROM x), z AS (SELECT *, abs(w / 2 * cos(a)) + abs(h / 2 * sin(a)) AS dx, abs(w / 2 * sin(a)) + abs(h / 2 * cos(a)) AS dy FROM o) SELECT l_orderkey, l_linenumber, round(greatest(0, cx - dx), 4) AS l, round(greatest(0, cy - dy), 4) AS t FROM z")

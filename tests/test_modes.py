@@ -47,7 +47,9 @@ def test_random_subpatch_draws_the_sides_first(spark, questions):
     x, y = r.randint(0, 100 - w), r.randint(0, 200 - h)
     rows = G.random_subpatch(spark.createDataFrame([(100, 200, "t"), (1, 1, "u"), (None, 5, "v"), (0, 5, "v")], "width int, height int, more string")).collect()
     assert [tuple(b[3:]) for b in rows] == [(x, y, x + w, y + h), (0, 0, 1, 1), (None,) * 4, (None,) * 4]
-    fake = by_id(O.prompts("detection_gt_fake", questions, "Pick."))[1]
+    right = by_id(O.prompts("detection_gt_fake", questions, "Pick."))[1]
+    assert tuple(right.boxes[0]) == pytest.approx((x * 10, y * 5, (x + w) * 10, (y + h) * 5)) and tuple(right.crops[0]) == pytest.approx((x, y, x + w, y + h), abs=1)
+    fake = by_id(O.prompts("detection_gt_fake", questions, "Pick.", compat=True))[1]
     assert tuple(fake.boxes[0]) == (x, y, x + w, y + h)  # pixels taken for thousandths
     assert tuple(fake.crops[0]) == (int(x / 1000 * 100), int(y / 1000 * 200), int((x + w) / 1000 * 100), int((y + h) / 1000 * 200))
 
