@@ -3,18 +3,21 @@
 Documents become pieces of at most CAPACITY ids. Only the number of pieces of each length matters to a packing, so the
 search runs on a histogram of at most CAPACITY counts however large the corpus is.
 
-Incumbents are best-fit: sequence by sequence, of a few fillings around the largest length left the one that fits best is
-repeated as often as the counts allow; and each piece in falling length in the fullest sequence that holds it. Where the better
-one doesn't meet the lower bound, bin completion looks for less: every undominated filling around the largest piece left is
-enumerated, least waste first and only up to the waste that a better packing can have, and completed the same way. A filling is
-dominated if a piece of it could give way to a larger one that is left, two of it to one, or another could be added. The
-search ends when the lower bound is met, when nothing is left to try (then the packing is proven smallest), or after NODES
-nodes; then the gap to the bound is what least_sequences shows. Pieces are dealt to the patterns' places by their rank among
+Incumbents are best-fit, all worked out on the histogram: each length in falling order in the fullest sequence that holds it; of a few
+fillings around the largest length left the one that fits best, as often as the counts allow; and the same with the filling that wastes
+least of all. Where the best one doesn't meet the lower bound, bin completion looks for less: every undominated filling around the largest
+piece left is enumerated, least waste first and only up to the waste that a better packing can have, used as often as the
+counts allow, then once less, and so on, and completed the same way. A filling is dominated if a piece of it could give way to a
+larger one that is left, two of it to one, or another could be added. The search ends when the lower bound is met, when nothing is left to
+try (then the packing is proven smallest), or after NODES nodes or SECONDS; then the gap to the bound is what least_sequences
+shows, and the packing is the best one found, never worse than best fit. Pieces are dealt to the patterns' places by their rank among
 those of their length, in parallel.
 """
 
 from __future__ import annotations
 
+import bisect
+import time
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +30,7 @@ from pyspark.sql import functions as F
 from skysift.llm.shared import row_tag, stored, table
 from skysift.llm.textcols import encoder
 
-CAPACITY, END_ID, NODES = 2048, 0, 4000
-
-#: Up to so many pieces every sequence is a step of its own in the search, and the search is complete but for NODES.
-SMALL = 64
+CAPACITY, END_ID, NODES, SECONDS = 2048, 0, 4000, 6.0
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), largest first
 
@@ -105,7 +105,7 @@ Packing = list[tuple[Pattern, int]]
 
 
 def repeated(counts: np.ndarray) -> Packing:
-    """An incumbent for any number of pieces: the first of fillings() as often as the counts allow, again and again."""
+    """An incumbent: the first of fillings() as often as the counts allow, again and again."""
     left, out = counts.astype(np.int64), []
     while left.any():
         p = fillings(left)[0]
@@ -116,13 +116,61 @@ def repeated(counts: np.ndarray) -> Packing:
     return out
 
 
+def tightest(counts: np.ndarray, until: float) -> Packing | None:
+    """An incumbent: the filling around the largest length that wastes least as often as the counts allow, again and again. None where that takes too long."""
+    cap, out = len(counts) - 1, []
+    left = {x: int(c) for x, c in enumerate(counts) if c}
+    while left:
+        if time.monotonic() > until:
+            return None
+        x = max(left)
+        left[x] -= 1
+        use = Counter([x, *next(undominated(left, cap - x, cap))])
+        left[x] += 1
+        times = min(left[y] // c for y, c in use.items())
+        out.append((pattern(list(use.elements())), times))
+        left = spent(left, use, times)
+    return out
+
+
+def spent(left: dict[int, int], use: Counter[int], times: int) -> dict[int, int]:
+    after = left | {x: left[x] - c * times for x, c in use.items()}
+    return {x: c for x, c in after.items() if c}
+
+
 def best_fit(counts: np.ndarray) -> Packing:
-    """An incumbent for few pieces: the largest first, each in the fullest sequence that holds it."""
-    cap, bins = len(counts) - 1, []
-    for x in reversed(np.repeat(np.arange(cap + 1), counts).tolist()):
-        fit = min((b for b in bins if sum(b) + x <= cap), key=lambda b: cap - sum(b), default=None)
-        bins.append([x]) if fit is None else fit.append(x)
-    return [(pattern(b), 1) for b in bins]
+    """An incumbent: the largest first, each in the fullest sequence that holds it. Sequences of one filling are one group, and pieces of one length are placed many at a time."""
+    cap = len(counts) - 1
+    groups: dict[int, list[tuple[Pattern, int]]] = {}  # by room left: fillings, and how many sequences of each
+    rooms: list[int] = []  # the rooms there are, rising
+    for x in (np.flatnonzero(counts)[::-1]).tolist():
+        left = int(counts[x])
+        while left:
+            k = bisect.bisect_left(rooms, x)
+            room = rooms[k] if k < len(rooms) else cap
+            if k < len(rooms):
+                held, n = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[k]
+            else:
+                held, n = (), left
+            each = room // x  # a sequence stays the fullest one until x doesn't fit
+            full = min(n, left // each)
+            parts = [(full, each)] if full else []
+            left -= full * each
+            if full < n and left and (left < each):
+                parts.append((1, left))
+                left = 0
+            used = sum(m for m, _ in parts)
+            if k < len(rooms) or held:
+                if used < n:
+                    parts.append((n - used, 0))
+            for m, c in parts:
+                rest = room - c * x
+                if rest not in groups:
+                    bisect.insort(rooms, rest)
+                groups.setdefault(rest, []).append((held + ((x, c),) if c else held, m))
+    return [x for own in groups.values() for x in own]
 
 
 def pattern(lengths: list[int]) -> Pattern:
@@ -176,60 +224,57 @@ def dominated(chosen: list[int], left: dict[int, int], there: list[int], waste:
     return any(y <= x <= y + waste for y in pairs for x in rest)
 
 
-def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[Packing, int]:
+def complete(counts: np.ndarray, nodes: int = NODES, seconds: float = SECONDS) -> tuple[Packing, int]:
     """(pattern, times) that together hold counts[length] pieces of each length, and a proven lower bound for the number of sequences: it is
     reached where the search ended by itself."""
-    cap, bound = len(counts) - 1, lower_bound(counts)
-    pieces, total = int(counts.sum()), int((counts * np.arange(cap + 1)).sum())
-    best = repeated(counts)
-    if pieces <= SMALL:
-        best = min(best, best_fit(counts), key=sequences)
+    cap, bound, until = len(counts) - 1, lower_bound(counts), time.monotonic() + seconds
+    total = int((counts * np.arange(cap + 1)).sum())
+    best = best_fit(counts)
+    for other in (repeated, lambda c: tightest(c, until - seconds / 2)):
+        if sequences(best) > bound and (found := other(counts)) is not None:
+            best = min(best, found, key=sequences)
     fewest = sequences(best)
     if fewest <= bound:
         return best, bound
     tried = 0
 
-    def children(left: dict[int, int], waste: int) -> Iterator[tuple[list[int], int]]:
-        """Fillings and how often they are used: once, where the pieces are few enough to try all, else as often as the counts allow."""
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[Counter[int], int]]:
+        """Fillings and how often they are used: as often as the counts allow first, then less."""
         x = max(left)
-        left = left | {x: left[x] - 1}
-        for chosen in undominated(left, cap - x, (fewest - 1) * cap - total - waste):
+        rest = left | {x: left[x] - 1}
+        for chosen in undominated(rest, cap - x, (fewest - 1) * cap - total - waste):
             use = Counter([x, *chosen])
-            left[x] += 1
-            times = 1 if pieces <= SMALL else min(left[y] // c for y, c in use.items())
-            left[x] -= 1
-            yield [x, *chosen], times
+            for times in range(min(left[y] // c for y, c in use.items()), 0, -1):
+                yield use, times
 
     start = {x: int(c) for x, c in enumerate(counts) if c}
-    path: list[tuple[list[int], int]] = []
+    path: list[tuple[Counter[int], int]] = []
     stack = [(start, 0, 0, children(start, 0))]  # what is left, sequences, waste so far, fillings not yet tried
+    ended = False
     while stack:
         left, n, waste, more = stack[-1]
-        found = next(more, None) if tried < nodes else None
+        ended = tried >= nodes or time.monotonic() > until
+        found = None if ended else next(more, None)
         if found is None or waste > (fewest - 1) * cap - total:
             stack.pop()
             if path:
                 path.pop()
             continue
         tried += 1
-        chosen, times = found
-        after = left.copy()
-        for y, c in Counter(chosen).items():
-            after[y] -= c * times
-            if not after[y]:
-                del after[y]
-        wasted = waste + (cap - sum(chosen)) * times
+        use, times = found
+        after = spent(left, use, times)
+        wasted = waste + (cap - sum(x * c for x, c in use.items())) * times
         if wasted > (fewest - 1) * cap - total or n + times + rest_bound(after, cap) >= fewest and (after or n + times >= fewest):
             continue
-        path.append((chosen, times))
+        path.append((use, times))
         if not after:
-            fewest, best = n + times, [(pattern(c), t) for c, t in path]
+            fewest, best = n + times, [(pattern(list(c.elements())), t) for c, t in path]
             path.pop()
             if fewest <= bound:
                 return best, bound
             continue
         stack.append((after, n + times, wasted, children(after, wasted)))
-    return best, fewest if tried < nodes and pieces <= SMALL else bound
+    return best, bound if ended else fewest
 
 
 def sequences(packing: Packing) -> int:
