@@ -5,7 +5,9 @@ import html
 import itertools
 import os
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +234,44 @@ def test_large_packings_say_their_gap():
     assert (held == counts).all() and 0 <= sum(n for _, n in found) - least <= 0.001 * least
 
 
+def test_packings_are_never_worse_than_best_fit():
+    """On histograms that greedy doesn't solve."""
+    rng = np.random.default_rng(11)
+    for k in range(40):
+        n, low = int(rng.integers(65, 5001)), int(rng.integers(1, 700))
+        counts = np.bincount(rng.integers(low, low + int(rng.integers(50, 1300)), n), minlength=2049)
+        counts = counts if len(counts) == 2049 else np.append(counts[:2048], counts[2048:].sum())
+        found, least = packing.complete(counts, seconds=0.4)
+        held = np.zeros(2049, np.int64)
+        for p, times in found:
+            assert sum(x * c for x, c in p) <= 2048
+            for x, c in p:
+                held[x] += c * times
+        assert (held == counts).all() and least <= packing.sequences(found) <= packing.sequences(packing.best_fit(counts))
+    hard = np.bincount(np.random.default_rng(10000).integers(400, 1100, 1000), minlength=2049)
+    began = time.time()
+    assert packing.sequences(packing.complete(hard)[0]) <= 386 and time.time() - began < 10
+
+
+def naive_best_fit(lengths, cap):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fit = min((k for k, room in enumerate(rooms) if room >= x), key=lambda k: rooms[k], default=None)
+        if fit is None:
+            rooms.append(cap - x)
+        else:
+            rooms[fit] -= x
+    return len(rooms)
+
+
+def test_best_fit_on_histograms():
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        cap = int(rng.integers(5, 60))
+        lengths = rng.integers(1, cap + 1, int(rng.integers(1, 200)))
+        assert packing.sequences(packing.best_fit(np.bincount(lengths, minlength=cap + 1))) == naive_best_fit(lengths.tolist(), cap)
+
+
 def test_encoder_agrees_with_the_library():
     enc = textcols.Encoder()
     texts = ["", None, "It's we'll", "<|endoftext|> a", "12 a1b2 ΣΑΣ", "école ß 中文", "x\x00y\x1fz", "İstanbul"]
@@ -332,6 +372,66 @@ def test_html_keeps_short_blocks_and_late_paragraphs():
     assert html_text.main_text(page) == f"12 euros On Monday {long}"
 
 
+LONG_LINE = "A long paragraph about the storm that reached the coast in the night."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title=don't>First sentence it's here. <b>x</b> tail</p></article>", "First sentence it's here. x tail"),
+        ('<p title="abc>First sentence.</p>', "First sentence."),
+        (f"<article><div class='social'><p>{LONG_LINE}</p></div></article>", LONG_LINE),
+        (f"<p>{LONG_LINE}</p><p>Copyright law in Germany protects works for seventy years.</p><p>{LONG_LINE}</p>", f"{LONG_LINE} Copyright law in Germany protects works for seventy years. {LONG_LINE}"),
+        (f"<p>{LONG_LINE}</p><p>Copyright law in Germany protects works.</p>", f"{LONG_LINE} Copyright law in Germany protects works."),
+        (f"<p>{LONG_LINE}</p><p>© 2024 Storm Ltd. All rights reserved.</p>", LONG_LINE),
+        (f"<p>{LONG_LINE}</p><p><a href=x>Read the whole report here.</a></p>", f"{LONG_LINE} Read the whole report here."),
+        (f"<p>{LONG_LINE}</p>{'<div><a href=x>More</a></div>' * 3}<ul><li>Bring a torch</li></ul>", f"{LONG_LINE} Bring a torch"),
+        (f"<p>{LONG_LINE}</p><div class=user-feedback><p>I was there as well, it was a long night.</p></div>", LONG_LINE),
+        (f"<p>{LONG_LINE}</p><ul class=share><li>Tweet this<li>Mail</ul>", LONG_LINE),
+        ("a <!-- > --> b <!--> c <!x> d </> e </ f> g <3 h", "a b c d e g <3 h"),
+        ("<p a='1' b=\"2\" c=3 d/e = 4>x<br/>y<script>'<p>'</script >z", "x yz"),
+    ],
+)
+def test_html_cases(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b x='", '<a "', "<p title=\"", "<!--", "<", "</", "<a b=", "<script>", "<p><a href='"])
+def test_html_takes_time_in_proportion_to_the_page(part):
+    began = time.time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 5
+
+
+def without_article(page):
+    """The page as one that marks nothing: only div elements, and no names."""
+    return re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page or "")
+
+
+def plain_blocks(page):
+    """By hand: the heading and all paragraphs of the given pages, the only elements that hold their articles."""
+    body = (page or "").partition("<h1>")[2].partition("</article>")[0]
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>|<div class=\"?ad\b.*?</div>", " ", body, flags=re.S)
+    return " ".join(re.sub(r"\s+", " ", html.unescape(re.sub(r"</?(?:b|i)\b[^>]*>", "", x).replace("<br>", " "))) for x in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", body)).split()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are needed")
+def test_html_finds_the_article_where_nothing_marks_it(spark):
+    """Nearly all words of the article and nearly none of menus and footers, from the distribution alone."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    lost = extra = total = 0
+    for page in pages:
+        got, want = Counter(html_text.main_text(without_article(page)).split()), Counter(plain_blocks(page))
+        lost, extra, total = lost + sum((want - got).values()), extra + sum((got - want).values()), total + sum(want.values())
+    assert lost <= 0.001 * total and extra <= 0.01 * total, (lost, extra, total)
+
+
+def test_html_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", 5), (1, "u", "<p>x", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_takes_time_in_proportion_to_nesting():
     deep = "<div><b>" * 20_000 + "<p>Text" + "</b></div>" * 20_000
     assert html_text.main_text(f"<article>{deep}</article>") == "Text"
