@@ -114,6 +114,11 @@ def cosines(scale: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda t, p: scale * (t @ p.T)
 
 
+def distances(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances, negative: the nearest score highest."""
+    return -np.stack([((p - x) ** 2).sum(1) for x in t])
+
+
 BY = ("question_id", "pos")
 
 
@@ -166,8 +171,7 @@ def above(cues: DataFrame, threshold: float) -> DataFrame:
 
 def nearest(phrases: DataFrame, labels: DataFrame, k: int = 3, threshold: float | None = None) -> DataFrame:
     """(question_id, pos, label_id, dist, rank): the k nearest labels by squared distance, then those with dist <= threshold. labels: label_id, vec."""
-    minus = lambda t, p: -np.stack([((p - x) ** 2).sum(1) for x in t])
-    found = blockwise(phrases, labels, "label_id", k, (False, False), minus)
+    found = blockwise(phrases, labels, "label_id", k, (False, False), distances)
     order = Window.partitionBy("question_id", "pos").orderBy(F.desc("score"), "label_id")
     near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "pos", "label_id", (-F.col("score")).alias("dist"), "rank")
     return near if threshold is None else near.where(F.col("dist") <= threshold)

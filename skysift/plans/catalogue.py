@@ -6,6 +6,7 @@ the patches or labelled images searched, so a phrase finds its own row first. pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +20,9 @@ from skysift.operators import modes as O
 from skysift.operators import patches as P
 from skysift.operators import retrieval as R
 from skysift.operators import waterfall as W
-from skysift.session import stored
+from skysift.session import shared_dir, stored
 from skysift.sources import tables as S
+from skysift.sources import vector_index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +121,15 @@ def q04_knn_l2_join_k3(spark: SparkSession, d: str) -> DataFrame:
     return near_labels(spark, d, LRSD_T).withColumn("dist", F.round("dist", 6))
 
 
+@query(f"WITH {VEC}, {NEAR} SELECT question_id, pos, label_id, round(dist, 6) AS dist, rank FROM k WHERE rank <= 3 AND dist <= {LRSD_T}")
+def q54_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """What q04 finds, from a stored index that is made of the even vectors, appended the odd ones, and opened."""
+    path, labels = f"{shared_dir(spark)}/skysift/index-{uuid.uuid4().hex}", patches(spark, d).withColumnRenamed("patch_idx", "label_id")
+    I.create(labels.where("label_id % 2 = 0"), path)
+    I.append(labels.where("label_id % 2 = 1"), path)
+    return I.nearest(phrases(spark, d), I.open_index(spark, path), 3, LRSD_T).near.withColumn("dist", F.round("dist", 6))
+
+
 def spread(df: DataFrame, by: list[str]) -> DataFrame:
     """Vectors as rows (by, i, x), rounded."""
     return df.select(*by, F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
@@ -791,9 +802,6 @@ def q50_region_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def q42_streaming_answers(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, answered into JSON lines, and read again."""
-    import uuid
-
-    from skysift.session import shared_dir
     from skysift.streaming.answers import answer_stream, stream
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skysift.sources.batches import create
+
 QUESTION = T.StructType([T.StructField(n, T.StringType()) for n in ("Question_id", "Task", "Subtask", "Category", "Text", "Image")] + [T.StructField("Answer choices", T.ArrayType(T.StringType())), T.StructField("Ground truth", T.StringType()), T.StructField("gt_toi", T.ArrayType(T.DoubleType())), T.StructField("output", T.StringType())])
 
 
@@ -125,13 +127,8 @@ def write_store(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def create_labels(df: DataFrame, path: str) -> bool:
-    """Writes the label vectors unless the folder is there already; says whether it wrote."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return False
-    df.write.parquet(path)
-    return True
+    """Writes the label vectors unless a whole table is there already; says whether it wrote."""
+    return create(df, path)
 
 
 def missing(requested: DataFrame, cached: DataFrame, on: list[str]) -> DataFrame:
