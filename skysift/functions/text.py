@@ -126,10 +126,6 @@ def category(raw: Column) -> Column:
     return F.when(low.contains("attribute"), F.concat(F.substring_index(low, "/", 1), F.lit("/attribute"))).otherwise(low)
 
 
-def capitalised(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
-
-
 def label(raw: Column) -> Column:
     return F.translate(F.lower(raw), "-_", "  ")
 

@@ -16,6 +16,7 @@ from skysift.functions import geometry as G
 from skysift.functions import text as X
 from skysift.functions import vectors as V
 from skysift.operators import evaluation as E
+from skysift.operators import models as M
 from skysift.operators import modes as O
 from skysift.operators import patches as P
 from skysift.operators import retrieval as R
@@ -587,6 +588,20 @@ def q38_hash_encode_template_mean(spark: SparkSession, d: str) -> DataFrame:
     return spread(R.mean(texts.select("p_name", hashed(F.col("t")).alias("vec")), ["p_name"], normalise=False), ["p_name"]).where("x > 0")
 
 
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest([{", ".join(f"'{t}'" for t in X.TEMPLATES)}]) AS t),
+w AS (SELECT p_name, t, unnest(list_filter(string_split_regex(lower(replace(t, '{{}}', p_name)), '\\W+'), lambda x: x <> '')) AS w FROM n, t),
+h AS (SELECT p_name, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 16 AS i FROM w)
+SELECT p_name, CAST(i AS INT) AS i, round(count(*) / {len(X.TEMPLATES)}, 6) AS x FROM h GROUP BY ALL""")
+def q55_cached_features(spark: SparkSession, d: str) -> DataFrame:
+    """What q38 finds, by an encoder behind a cache: some names are encoded and written back, then all are asked for."""
+    path = f"{shared_dir(spark)}/skysift/features-{uuid.uuid4().hex}"
+    names = S.table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.array("p_name").alias("phrases"))
+    M.phrase_features(names.where("question_id % 3 = 0"), path, "hashed", X.TEMPLATES)
+    found = M.phrase_features(names, path, "hashed", X.TEMPLATES).vectors.select(F.col("phrase").alias("p_name"), "vec")
+    return spread(found.dropDuplicates(["p_name"]), ["p_name"]).where("x > 0")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS again FROM events")
 def q44_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     read = S.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))

@@ -120,6 +120,85 @@ def test_phrases_are_asked_again_then_fall_back(spark):
     assert {r.expansion for r in M.expanded(spark.createDataFrame([(1, ["a"])], "question_id long, phrases array<string>")).collect()} == {"a"}
 
 
+def test_calls_that_raise_lose_their_rows_alone(spark):
+    def model():
+        def ask(prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("refused")
+            return ['["x"]' for _ in prompts]
+
+        return ask
+
+    df = spark.createDataFrame([(k, "bad" if k == 3 else "good", ["own"]) for k in range(6)] + [(9, None, ["none"])], "question_id long, text string, own array<string>").coalesce(1)
+    asked = M.asked_phrases(df, "text", model, "own", tries=2, batch=4)
+    got = {r.question_id: r for r in asked.collect()}
+    assert [got[k].phrases for k in (0, 3, 5, 9)] == [["x"], ["own"], ["x"], ["none"]] and [got[k].tries for k in (0, 3, 9)] == [1, 2, 0]
+    good, failed = M.split_failed(asked, ["question_id"])
+    assert [tuple(r) for r in failed.collect()] == [(3, "RuntimeError: refused")] and good.count() == 6
+    said = {r.question_id: (r.paraphrase, r.error) for r in M.paraphrased(df, "text", model).collect()}
+    assert said[3] == ("bad", "RuntimeError: refused") and said[0] == ('["x"]', None)
+    with pytest.raises(Exception, match="refused"):
+        M.replies(df, "text", model).collect()
+
+
+def test_features_are_encoded_once_and_written_back(spark, tmp_path):
+    calls, path = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+
+    def encoder():
+        def encode(texts):
+            if "bad" in texts:
+                raise ValueError("no vector")
+            for t in texts:
+                (calls / f"{t}-{len(list(calls.iterdir()))}").touch()
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    named = lambda *names: spark.createDataFrame([(n, n) for n in names], "img_name string, t string").coalesce(1)
+    first = M.features(named("a", "bb", "bb", "bad", None), path, ["img_name"], "t", encoder, 2)
+    assert first.fresh == 2 and {r.img_name: r.vec for r in first.vectors.collect()} == {"a": [1.0, 1.0], "bb": [2.0, 1.0]}
+    assert [tuple(r) for r in first.failed.collect()] == [("bad", "ValueError: no vector")]
+    made = len(list(calls.iterdir()))
+    again = M.features(named("bb", "a"), path, ["img_name"], "t", encoder)
+    assert again.fresh == 0 and again.vectors.count() == 2 and again.failed.count() == 0 and len(list(calls.iterdir())) == made
+    dead = tmp_path / "cache" / "batch-dead"  # a run that was killed while it wrote
+    spark.createDataFrame([("ccc", [9.0])], "img_name string, vec array<double>").write.parquet(str(dead))
+    (dead / "_SUCCESS").unlink()
+    more = M.features(named("a", "ccc"), path, ["img_name"], "t", encoder)
+    assert more.fresh == 1 and {r.img_name: r.vec for r in more.vectors.collect()} == {"a": [1.0, 1.0], "ccc": [3.0, 1.0]}
+    with pytest.raises(ValueError, match="unknown"):
+        M.features(named("a"), path, ["img_name"], "t", "unknown")
+
+
+def test_questions_without_phrases_are_listed(spark, tmp_path):
+    def encoder():
+        def encode(texts):
+            if any("odd" in t for t in texts):
+                raise ValueError("odd")
+            return [[float(len(t))] for t in texts]
+
+        return encode
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["a"]), (5, ["odd", "a"])], "question_id long, phrases array<string>")
+    got = M.phrase_features(df, str(tmp_path / "c"), encoder, ["{}", "a {}."])
+    assert {(r.question_id, r.pos): (r.phrase, r.vec) for r in got.vectors.collect()} == {(1, 0): ("a", [2.5]), (1, 1): ("b", [2.5]), (1, 2): ("a and b", [8.5]), (4, 0): ("a", [2.5])}
+    assert {r.question_id: r.error for r in got.failed.collect()} == {2: "no phrases", 3: "no phrases", 5: "ValueError: odd"}
+
+
+def test_answers_resume_where_they_stopped(spark, tmp_path):
+    from skysift.streaming.answers import answer_stream, stream
+
+    schema = spark.createDataFrame([(1, "x")], "question_id long, text string").schema
+    out, state, folder = str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "in")
+    answer = lambda b: b.withColumn("output", F.upper("text"))
+    for rows in ([(1, "a"), (2, "b"), (1, "a")], [(2, "b"), (3, "c")], [(1, "z")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        answer_stream(stream(spark, folder, schema), answer, out, state, ["question_id"]).awaitTermination()  # ends, and is started again
+    got = spark.read.schema("question_id long, output string").json(f"{out}/*").collect()
+    assert sorted((r.question_id, r.output) for r in got) == [(1, "A"), (2, "B"), (3, "C")]
+
+
 def test_chosen_phrases_and_small_functions(spark):
     kind = "array<struct<phrase:string,score:double>>"
     df = spark.createDataFrame([([("a b", 0.5), ("c d", 0.4)], [("x", 0.9), ("c d", 0.4), ("a b", 0.1)]), ([("q r", 0.5)], [("x", 0.9), ("y", 0.8)])], f"p {kind}, k {kind}")
