@@ -22,6 +22,7 @@ from skysift.operators import patches as P
 from skysift.operators import retrieval as R
 from skysift.operators import waterfall as W
 from skysift.session import shared_dir, stored
+from skysift.sources import results as RF
 from skysift.sources import tables as S
 from skysift.sources import vector_index as I
 
@@ -480,6 +481,31 @@ def q25_result_pivot_complete(spark: SparkSession, d: str) -> DataFrame:
     return runs.select(name.alias("name"), "n", "click", "view")
 
 
+# Result files: seven runs share the answers out; one has broken lines, one a name that says nothing. A file counts if it has as many items as the second run.
+RUN_NAMES = [f"d_s_m_cc_clip_0.{k}_0.1_0.5_mean.jsonl" for k in range(6)] + ["notes.jsonl"]
+BROKEN = "doc_id % 7 = 5 AND doc_id % 10 = 5"
+
+
+@query(f"""
+WITH {letter_sql()},
+r AS (SELECT doc_id, [{", ".join(f"'{n}'" for n in RUN_NAMES)}][doc_id % 7 + 1] AS file, {BROKEN} AS broken, NOT ({BROKEN}) AND doc_id % 3 <> 0 AS own, ['position', 'color', 'count', ''][doc_id % 4 + 1] AS category, CAST(letter IN (substr('ABCDE', doc_id % 5 + 1, 1), 'A') AS BIGINT) AS ok FROM l),
+w AS (SELECT count(*) AS items FROM r WHERE own AND doc_id % 7 = 1),
+f AS (SELECT file, count(*) FILTER (broken) AS bad, count(*) FILTER (own) AS n, avg(ok) FILTER (own) AS accuracy, {", ".join(f"avg(ok) FILTER (own AND category = '{c}') AS {c}" for c in ("position", "color", "count"))} FROM r GROUP BY file)
+SELECT file, round(position, 6) AS position, round(color, 6) AS color, round("count", 6) AS "count", round(accuracy, 6) AS accuracy, n,
+  CASE WHEN bad > 0 THEN bad || ' unreadable lines' WHEN file = 'notes.jsonl' THEN 'no parameters in its name' WHEN n <> items THEN n || ' items, not ' || items END AS reason FROM f, w""")
+def q56_result_files(spark: SparkSession, d: str) -> DataFrame:
+    """Result files are written, read back as a folder, and judged whole."""
+    folder = f"{shared_dir(spark)}/skysift/results-{uuid.uuid4().hex}"
+    given = answers(spark, d)
+    line = F.to_json(F.struct(F.col("task").alias("Task"), F.col("subtask").alias("Subtask"), F.col("category").alias("Category"), F.col("choices").alias("Answer choices"), F.to_json("truth").alias("Ground truth"), F.coalesce("output", F.lit("")).alias("output")))
+    name = F.element_at(F.array(*map(F.lit, RUN_NAMES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    lines = given.select(F.when(F.expr(BROKEN), F.lit('{"Task": "Perc')).otherwise(line).alias("value"), name.alias("file"))
+    lines.write.partitionBy("file").text(folder)
+    items = given.where(f"doc_id % 7 = 1 AND doc_id % 3 != 0 AND NOT ({BROKEN})").count()
+    made = RF.sweep(RF.read_results(spark, folder), items)
+    return made.select("file", *(F.round(c, 6).alias(c) for c in ("position", "color", "count", "accuracy")), "n", "reason")
+
+
 @query("SELECT label, count(*) AS n, count(DISTINCT p_name) AS spellings FROM (SELECT p_name, translate(lower(replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END)), '-_', '  ') AS label FROM part) GROUP BY label")
 def q26_label_normalise_distinct(spark: SparkSession, d: str) -> DataFrame:
     part = S.table(spark, d, "part")

@@ -24,6 +24,15 @@ def written(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """All files in path and below, those without bytes included, which Spark's readers pass over."""
+    files, at = _at(spark, path)
+    found, out = files.listFiles(at, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return sorted(out)
+
+
 def batches(spark: SparkSession, path: str) -> list[str]:
     """The folders of all batches that count, in the order of their names."""
     files, at = _at(spark, path)
