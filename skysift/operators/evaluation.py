@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,60 +62,133 @@ def best_rows(results: DataFrame, metric: str) -> DataFrame:
     return results.join(F.broadcast(results.agg(F.max(metric).alias("__m"))), F.col(metric) == F.col("__m")).drop("__m")
 
 
-def key_phrases(docs: DataFrame, top: int = 10, keep: int = 5, diversity: float = 0.7, sizes: tuple[int, ...] = (2, 3, 4), dim: int = 256) -> DataFrame:
-    """(doc_id, phrases): n-grams chosen by maximal marginal relevance to their document, of which the first `keep` stay.
+DIM = 256
+WORD = re.compile(r"[^\W\d_]+")
+
 
-    An n-gram and a text are counts of their words' hashed slots, compared by cosine. Only slots are held for each n-gram, not
-    its vector, so a text takes memory in proportion to its words; products are of whole numbers, so ties are exact and the first
-    n-gram wins them."""
-    import re
-    import zlib
+class Grams:
+    """Runs of a text's words, compared with the text and with each other by the cosine of their words' hashed counts.
 
-    import numpy as np
-    import pyarrow as pa
+    Only slots are held for each run, not its vector, so a text takes memory in proportion to its words; products are of whole numbers, so ties are
+    exact and the first run wins them."""
 
-    def choose(text: str) -> list[str]:
-        words = re.findall(r"[^\W\d_]+", text.lower())
-        first: dict[str, tuple[int, int]] = {}  # where each n-gram begins, and its words
-        for n in sizes:
-            for i in range(len(words) - n + 1):
-                first.setdefault(" ".join(words[i : i + n]), (i, n))
+    def __init__(self, words: list[str], runs: Iterable[tuple[int, int]], dim: int = DIM):
+        first: dict[str, tuple[int, int]] = {}  # where each run begins, and its words
+        for i, n in runs:
+            first.setdefault(" ".join(words[i : i + n]), (i, n))
+        self.names, self.dim = list(first), dim
         if not first:
-            return []
-        grams = list(first)
+            return
         slot = {w: zlib.crc32(w.encode()) % dim for w in set(words)}
         own = np.fromiter((slot[w] for w in words), np.int64, len(words))
         at, size = np.array(list(first.values()), np.int64).T
-        # the slots of each n-gram's words; the slot `dim` counts nothing
-        slots = np.stack([np.where(k < size, own[np.minimum(at + k, len(words) - 1)], dim) for k in range(max(sizes))], axis=1)
+        # the slots of each run's words; the slot `dim` counts nothing
+        self.slots = np.stack([np.where(k < size, own[np.minimum(at + k, len(words) - 1)], dim) for k in range(size.max())], axis=1)
         square = size.copy()
-        for j in range(slots.shape[1]):
+        for j in range(self.slots.shape[1]):
             for i in range(j):
-                square += 2 * ((slots[:, i] == slots[:, j]) & (j < size))
-        norm = np.sqrt(square)
-
-        def cosine(counts: np.ndarray) -> np.ndarray:
-            """Of all n-grams with the text of these counts."""
-            padded, total = np.append(counts, 0), np.zeros(len(grams), np.int64)
-            for i in range(slots.shape[1]):
-                total += padded[slots[:, i]]
-            return total / (norm * np.sqrt((counts**2).sum()))
-
-        def to(k: int) -> np.ndarray:
-            return cosine(np.bincount(slots[k], minlength=dim + 1)[:dim])
-
-        rel = cosine(np.bincount(own, minlength=dim))
-        out = [int(rel.argmax())]
-        near = to(out[0])
-        while len(out) < min(top, len(grams)):
-            score = (1 - diversity) * rel - diversity * near
+                square += 2 * ((self.slots[:, i] == self.slots[:, j]) & (j < size))
+        self.norm = np.sqrt(square)
+        self.text = self.cosine(np.bincount(own, minlength=dim))  # of each run with the text
+
+    def cosine(self, counts: np.ndarray) -> np.ndarray:
+        """Of all runs with the text of these counts."""
+        padded, total = np.append(counts, 0), np.zeros(len(self.names), np.int64)
+        for i in range(self.slots.shape[1]):
+            total += padded[self.slots[:, i]]
+        return total / (self.norm * np.sqrt((counts**2).sum()))
+
+    def with_run(self, k: int) -> np.ndarray:
+        return self.cosine(np.bincount(self.slots[k], minlength=self.dim + 1)[: self.dim])
+
+
+SCORED = "array<struct<phrase:string,score:double>>"
+
+
+Choose = Callable[[str], list[tuple[str, float]]]
+
+
+def scored(docs: DataFrame, **choosers: Choose) -> DataFrame:
+    """(doc_id, a column for each chooser): what it gives for each text; nothing for null."""
+    kind = pa.list_(pa.struct([("phrase", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            out = [pa.array([[{"phrase": p, "score": float(x)} for p, x in choose(t)] for t in texts], kind) for choose in choosers.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["doc_id", *choosers])
+
+    columns = ", ".join(f"`{n}` {SCORED}" for n in choosers)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
+
+
+def by_relevance(top: int, diversity: float, sizes: tuple[int, ...]) -> Choose:
+    """n-grams by maximal marginal relevance to their text, with their likeness to it."""
+
+    def choose(text: str) -> list[tuple[str, float]]:
+        words = WORD.findall(text.lower())
+        grams = Grams(words, ((i, n) for n in sizes for i in range(len(words) - n + 1)))
+        if not grams.names:
+            return []
+        out = [int(grams.text.argmax())]
+        near = grams.with_run(out[0])
+        while len(out) < min(top, len(grams.names)):
+            score = (1 - diversity) * grams.text - diversity * near
             score[out] = -np.inf
             out.append(int(score.argmax()))
-            near = np.maximum(near, to(out[-1]))
-        return [grams[k] for k in out[:keep]]
+            near = np.maximum(near, grams.with_run(out[-1]))
+        return [(grams.names[k], grams.text[k]) for k in out]
+
+    return choose
+
 
-    def run(batches):
+def key_phrases(docs: DataFrame, top: int = 10, keep: int = 5, diversity: float = 0.7, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """(doc_id, phrases): n-grams chosen by maximal marginal relevance to their document, of which the first `keep` stay."""
+    names = F.transform(F.slice("phrases", 1, keep), lambda x: x["phrase"])
+    return scored(docs, phrases=by_relevance(top, diversity, sizes)).select("doc_id", names.alias("phrases"))
+
+
+def common_words(docs: DataFrame, share: float) -> list[str]:
+    """Words that more than this share of all documents hold: at most a document's mean number of distinct words / share, however many documents there are."""
+    texts = docs.where("text IS NOT NULL").select("text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([choose(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "phrases"])
+            n = Counter(w for t in b.column(0).to_pylist() for w in set(WORD.findall(t.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
+
+    total = texts.count()
+    counts = texts.mapInArrow(counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return sorted(r.w for r in counts.where(F.col("n") > share * total).collect())
+
+
+def by_rarity(common: frozenset[str], top: int, longest: int) -> Choose:
+    """Runs of up to `longest` words between signs and common words, those most like their text first, with their likeness to it. Longer runs are parted from their beginning."""
+
+    def choose(text: str) -> list[tuple[str, float]]:
+        low, words, runs, size, end = text.lower(), [], [], 0, 0
+        for m in WORD.finditer(low):
+            rare = m[0] not in common
+            if size and (not rare or size == longest or low[end : m.start()].strip()):
+                runs.append((len(words) - size, size))
+                size = 0
+            words.append(m[0])
+            size, end = (size + 1 if rare else 0), m.end()
+        if size:
+            runs.append((len(words) - size, size))
+        grams = Grams(words, runs)
+        order = np.lexsort((np.arange(len(grams.names)), -grams.text))[:top] if grams.names else []
+        return [(grams.names[k], grams.text[k]) for k in order]
+
+    return choose
+
+
+def keywords(docs: DataFrame, top: int = 10, share: float = 0.2, longest: int = 4) -> DataFrame:
+    """(doc_id, keywords array<struct<phrase,score>>) of each document. What words are common follows from all documents: without a tagger of parts of speech the runs between them stand for noun phrases."""
+    return scored(docs, keywords=by_rarity(frozenset(common_words(docs, share)), top, longest))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, phrases array<string>")
+def key_texts(docs: DataFrame, keep: int = 5, top: int = 10, diversity: float = 0.7, sizes: tuple[int, ...] = (2, 3, 4), share: float = 0.2, longest: int = 4) -> DataFrame:
+    """(doc_id, texts): phrases of each document that are keywords as well, with one score, then the other keywords; without any such, the keywords."""
+    both = scored(docs, phrases=by_relevance(top, diversity, sizes), keywords=by_rarity(frozenset(common_words(docs, share)), top, longest))
+    return both.select("doc_id", X.chosen_phrases(F.col("phrases"), F.col("keywords"), keep).alias("texts"))

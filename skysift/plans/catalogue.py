@@ -597,6 +597,12 @@ def q37_mmr_keyphrases(spark: SparkSession, d: str) -> DataFrame:
     return E.key_phrases(S.table(spark, d, "documents"))
 
 
+@query()
+def q57_key_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of each document that are keywords as well, then its other keywords."""
+    return E.key_texts(S.table(spark, d, "documents"))
+
+
 def hashed(text: Column, dim: int = 16) -> Column:
     """Counts of the words' hashes: a text encoder without weights."""
     slots = F.transform(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
