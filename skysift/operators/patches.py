@@ -107,7 +107,13 @@ def cc(images: DataFrame, parts: int = 20) -> DataFrame:
     return numbered(images, boxes)
 
 
-SCHEMES = {"vit": vit, "grid": grid, "cc": cc}
+def cc_padded(images: DataFrame, parts: int = 10) -> DataFrame:
+    """cc of images that are padded to whole parts instead of resized (sources.images.padded()); boxes are in the padded image's coordinates."""
+    whole = lambda c: (F.ceil(F.col(c) / parts) * parts).cast("long").alias(c)
+    return cc(images.select("image", whole("width"), whole("height")), parts)
+
+
+SCHEMES = {"vit": vit, "grid": grid, "cc": cc, "cc_padded": cc_padded}
 
 
 def patchify(images: DataFrame, method: str) -> DataFrame:

@@ -82,30 +82,6 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
 
 
-def cropped(images: DataFrame, patches: DataFrame) -> DataFrame:
-    """(image, patch_idx, x1, y1, x2, y2, name, png): each patch cut from its image, with its file name. images: path, width, height, pixels, and image, the key of patches. What lies
-    outside the image is black."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for w, h, data, *box in zip(*(c.to_pylist() for c in b.columns[7:10]), *(c.to_pylist() for c in b.columns[2:6]), strict=True):
-                x1, y1, x2, y2 = box
-                whole, own = np.frombuffer(data, np.uint8).reshape(h, w, 3), np.zeros((y2 - y1, x2 - x1, 3), np.uint8)
-                left, top, right, low = max(x1, 0), max(y1, 0), min(x2, w), min(y2, h)
-                if left < right and top < low:
-                    own[top - y1 : low - y1, left - x1 : right - x1] = whole[top:low, left:right]
-                out.append(png(own))
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(out, pa.binary())], names=["image", "patch_idx", "x1", "y1", "x2", "y2", "name", "png"])
-
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    name = F.concat(stem, F.lit("_"), F.concat_ws("-", "x1", "y1", "x2", "y2"), F.lit(".png"))
-    both = patches.select("image", "patch_idx", "x1", "y1", "x2", "y2").join(images.select("image", "path", "width", "height", "pixels"), "image")
-    rows = both.select("image", "patch_idx", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], name.alias("name"), "width", "height", "pixels")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(cut, f"image {kinds['image']}, patch_idx {kinds['patch_idx']}, x1 int, y1 int, x2 int, y2 int, name string, png binary")
-
-
 def list_folders(spark: SparkSession, folder: str) -> DataFrame:
     """(folder): those below that hold images."""
     return list_images(spark, folder).select("folder").distinct()

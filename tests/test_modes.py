@@ -13,6 +13,7 @@ from skysift.functions import text as X
 from skysift.operators import models as M
 from skysift.operators import modes as O
 from skysift.session import shared_dir
+from skysift.sources import images as I
 from skysift.sources import tables as S
 
 PLAIN = "Which? The choices are listed below: \n(A) a\n(B) b\nPick.\nThe best answer is:"
@@ -230,7 +231,7 @@ def test_images_are_read_cut_and_written(spark, tmp_path):
     assert S.list_images(spark, str(tmp_path)).count() == 2 and S.list_folders(spark, str(tmp_path)).count() == 1
     images = S.open_images(spark, str(tmp_path)).withColumn("image", F.lit("a"))
     boxes = spark.createDataFrame([("a", 0, 1, 1, 4, 3), ("a", 1, 6, 4, 9, 6)], "image string, patch_idx int, x1 int, y1 int, x2 int, y2 int")
-    out = {r.patch_idx: r for r in S.cropped(images, boxes).collect()}
+    out = {r.patch_idx: r for r in I.crops(images, boxes).collect()}
     outside = np.zeros((2, 3, 3), np.uint8)
     outside[0, 0] = pixels[4, 6]
     assert out[0].name == "a_1-1-4-3.png" and bytes(out[0].png) == S.png(np.ascontiguousarray(pixels[1:3, 1:4])) and bytes(out[1].png) == S.png(outside)
