@@ -3,9 +3,10 @@
 Detected entities are brought to a canonical form (letters' case and punctuation aside), so that all mentions of one
 entity, in any document and format, get one replacement. The replacement follows from a secret key: digits become
 digits, letters letters of their script and case, cards keep their check digit, addresses stay addresses, names keep
-their gender and script. Names are found after a title (see PATTERNS), or where a given name of GIVEN stands before another
-capitalised word, as written; where a document has such a name, its other whole-word mentions of the name or of parts of it are
-replaced too. Distinct entities must stay distinct: replacements that meet, or that are themselves entities of the corpus, are
+their gender and script, and every mention keeps its case. Names are found after a title (see PATTERNS), where a given name of GIVEN stands before
+another capitalised word, or where the words beside two or three capitalised ones say that they are a person (CUES); not where the last
+of them, or the next, is a word for a place or a body (PLACES). Where a document has such a name, its other whole-word mentions of the
+name or of parts of it are replaced too. Distinct entities must stay distinct: replacements that meet, or that are themselves entities of the corpus, are
 drawn again for all but one of them until none meet; from the fourth draw on they grow longer, so that no space is ever full.
 """
 
@@ -28,7 +29,8 @@ from skysift.llm.shared import by_row, row_tag, stored, table
 
 #: The setting that holds the key of the query's surrogates; where it is unset, a key is drawn for the run.
 KEY_SETTING = "spark.skysift.surrogates.key"
-NAME = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]?[^\W\d_]+)*(?!\w)"
+UPPER = "A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω"
+NAME = rf"(?:[{UPPER}]['’](?=[{UPPER}]))?[{UPPER}][^\W\d_]+(?:[-'’][{UPPER}]?[^\W\d_]+)*(?!\w)"
 DIGITS, NEAR = re.compile("[0-9]+"), 64
 #: kind, of which strings the text must hold one (None: a digit within NEAR characters), pattern; earlier ones win where they overlap. Group 1, if there is one, is the entity.
 PATTERNS = [
@@ -36,6 +38,9 @@ PATTERNS = [
     ("key", ("AKIA",), r"\b(AKIA[0-9A-Z]{16})\b"),
     ("key", ("gh", "sk_", "xox"), r"\b(gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("secret", ("password", "passwd", "pwd", "secret", "token", "api", "access", "auth"), r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth))[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.~-]{6,}={0,2})"),
+    ("secret", ("password", "passwd", "passwort", "contraseña"), r"(?i:\b(?:password|passwd|passwort|contraseña)\s+(?:is|was|ist|es)\s+)[\"']?((?=[^\s\"']*[0-9])[A-Za-z0-9+/_.~!#$%&*-]{6,}(?<![.!]))"),
+    ("document", None, r"(?i:\b(?:passport|reisepass|passeport|pasaporte)(?:\s*(?:no|nr|number|nummer|numéro|número|n°|#))?\.?\s*(?:is|ist|est|es|:|=)?\s*)([A-Z]{0,2}[0-9]{6,9})(?![\w-])"),
+    ("date", None, r"(?i:\b(?:born(?:\s+on)?|date\s+of\s+birth|dob|geboren(?:\s+am)?|geburtsdatum|née?\s+le|nacid[oa]\s+el)\s*[:=]?\s*)([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![\w-])"),
     ("iban", None, r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     ("ipv4", None, r"(?<![\w.])((?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?!\.?\w)"),
     ("ipv6", None, r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"),
@@ -44,12 +49,15 @@ PATTERNS = [
     ("phone", None, r"(?<![\w.+-])(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])"),
     ("man", ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor"), rf"\b(?:Mr|Mister|Herr|Monsieur|Señor|Sr|Signor)\b\.? ({NAME}(?: {NAME}){{0,2}})"),
     ("woman", ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora"), rf"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora)\b\.? ({NAME}(?: {NAME}){{0,2}})"),
+    ("person", ("Dr", "Prof", "Doctor", "Doktor"), rf"\b(?:Dr|Prof|Professor|Doctor|Doktor)\b\.?(?: (?:Dr|Prof)\b\.?)* ({NAME}(?: {NAME}){{0,2}})"),
 ]
 COMPILED = [(k, hold, re.compile(p)) for k, hold, p in PATTERNS]
 #: First names of a gender and script.
 FIRST = {
     ("man", "LATIN"): "Adam Albert Bruno Carl Daniel David Emil Felix Gabriel Hugo Jonas Julian Leo Lucas Marc Martin Max Nils Oscar Paul Robert Simon Thomas Victor".split(),
     ("woman", "LATIN"): "Alice Anna Bella Clara Diana Elena Emma Eva Helena Ines Irene Julia Laura Lea Lucia Maria Marta Nina Nora Olivia Paula Rosa Sara Vera".split(),
+    ("person", "LATIN"): "Alex Charlie Dana Jules Kai Kim Luca Noel Robin Sam Sasha Toni".split(),
+    ("person", "CYRILLIC"): "Валя Женя Саша Шура".split(),
     ("man", "CYRILLIC"): "Алексей Андрей Борис Виктор Денис Иван Игорь Максим Николай Олег Павел Сергей".split(),
     ("woman", "CYRILLIC"): "Алина Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Полина Татьяна".split(),
 }
@@ -62,10 +70,20 @@ GIVEN = {
     }.items()
     for n in names.split()
 } | {n: kind for (kind, _), names in FIRST.items() for n in names}
+#: What says that the capitalised words after or before it are a person.
+BEFORE = r"(?i:my name is|i am called|full name|signed by|signed|kind regards|best regards|regards|sincerely|yours truly|dear|attn|contact person|mein name ist|unterzeichnet von|mit freundlichen grüßen|je m'appelle|me llamo)"
+AFTER = r"(?:said|says|wrote|writes|told|tells|asked|asks|replied|replies|answered|lives (?:at|in)|was born|is \d+ years old|sagte|schrieb|wohnt in|wurde geboren|dit|écrit|habite|dijo|escribió|vive en)\b"
+TWO = rf"{NAME}(?: {NAME}){{1,2}}"
+CUES = [(("name", "igned", "egards", "incerely", "ruly", "ear ", "ttn", "ontact", "unterzeichnet", "Grüßen", "appelle", "llamo"), re.compile(rf"\b{BEFORE}[:,]?\s+({TWO})")), (None, re.compile(rf"(?<![\w.'’-])({TWO})(?= {AFTER}|,? (?:aged )?\d\d?,| <[\w.+-]+@)"))]
+#: Words for places and bodies: what ends in one, or stands before one, is none's name.
+PLACES = frozenset("Station Street Road Avenue Lane Square Park Garden Gardens Institute University College School Academy Airport Hospital Bridge Tower Prize Award Museum Library Lake River Mountain Mount Falls Island Islands County City Bay Beach Church Cathedral Palace Castle Hall House Center Centre Foundation Society Company Corporation Inc Ltd GmbH AG Corp Group Bank Club Court Theatre Theater Hotel Stadium Street Straße Platz Allee Institut Universität Discussion Stiftung Verlag Rue Place Calle Plaza Avenida".split())
+#: Words that begin a capitalised pair which is no person.
+OPENERS = frozenset("The A An This That These Those Our My Your His Her Their Its No Every Each New Old Great North South East West San Santa Los Las Saint St In On At By For From With And But Or As If When While After Before Then Der Die Das Ein Eine Le La Les Un Une El Una".split())
 UNTITLED = re.compile(rf"(?<![\w-])({NAME})(?= ({NAME}(?: {NAME})?))")
 SYLLABLES = {"LATIN": "ba be bo da do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa po ra re ro sa se ta te to va ve vo".split(), "CYRILLIC": "ба бе бо да до га го ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то ва ве во".split()}
 
-NAMES = ("man", "woman", "surname")
+GENDERS = ("man", "woman", "person")
+NAMES = (*GENDERS, "surname")
 
 Mention = tuple[int, int, str, list[tuple[str, str]]]  # start, end, kind, entities (see canon)
 
@@ -119,7 +137,11 @@ def canon(kind: str, value: str) -> list[tuple[str, str]]:
         local, _, domain = value.lower().rpartition("@")
         return [("email", f"{local}@{domain}"), ("domain", domain)]
     if kind in ("card", "phone", "ssn"):
-        return [(kind, re.sub(r"[^0-9]", "", value))]
+        digits = re.sub(r"[^0-9]", "", value)
+        # with or without its country's code a number of North America is one
+        return [(kind, digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits)]
+    if kind == "date":
+        return [(kind, "{:04}-{:02}-{:02}".format(*date_parts(value)))]
     if kind == "iban":
         return [(kind, value.replace(" ", ""))]
     if kind == "ipv6":
@@ -127,12 +149,42 @@ def canon(kind: str, value: str) -> list[tuple[str, str]]:
             return [(kind, ipaddress.IPv6Address(value).compressed)]
         except ValueError:
             return [(kind, value.lower())]
-    if kind in ("man", "woman"):
+    if kind in GENDERS:
         parts = value.split(" ")
-        return [(kind, p) for p in parts[:-1]] + [("surname", parts[-1])]
+        return [(GIVEN.get(p.capitalize(), kind) if kind == "person" else kind, folded(p)) for p in parts[:-1]] + [("surname", folded(parts[-1]))]
     return [(kind, value)]
 
 
+def folded(name: str) -> str:
+    """A part of a name, case and sort of apostrophe aside."""
+    return name.lower().replace("’", "'")
+
+
+def date_parts(value: str) -> tuple[int, int, int]:
+    """Year, month and day; of two numbers that could both be the month the first is, after slashes, else the second."""
+    a, b, c = (int(x) for x in re.split(r"[./-]", value))
+    if a > 31:
+        return a, b, c
+    return (c, a, b) if a <= 12 and ("/" in value or b > 12) else (c, b, a)
+
+
+def dated(value: str, iso: str) -> str:
+    """iso in value's format."""
+    year, month, day = iso.split("-")
+    parts = re.split(r"([./-])", value)
+    y, m, d = date_parts(value)
+    first = parts[0] == "%d" % y or len(parts[0]) == 4
+    order = [year, month, day] if first else [month, day, year] if (int(parts[0]), int(parts[2])) == (m, d) and ("/" in value or d > 12) else [day, month, year]
+    return "".join(x if i % 2 else order[i // 2].lstrip("0") if len(x) == 1 and order[i // 2][0] == "0" else order[i // 2] for i, x in enumerate(parts))
+
+
+def cased(value: str, bare: str) -> str:
+    """bare, in lower case, in the case of value, a part of a name."""
+    if value.isupper() and len(value) > 1:
+        return bare.upper()
+    return bare if value.islower() else "-".join(x[:1].upper() + x[1:] for x in bare.split("-"))
+
+
 def surrogate(key: bytes, kind: str, c: str, attempt: int) -> str:
     """The replacement of a canonical form, itself canonical."""
     below = draw(key, kind, c, attempt)
@@ -158,8 +210,11 @@ def surrogate(key: bytes, kind: str, c: str, attempt: int) -> str:
     if kind == "phone":
         keep = 1 if len(c) > 10 else 0
         return c[:keep] + "".join(like(x, below) for x in c[keep:]) + digits(fixed)
-    if kind == "ssn":
+    if kind in ("ssn", "document"):
         return "".join(like(x, below) for x in c) + digits(fixed)
+    if kind == "date":
+        year = int(c[:4]) - 4 - attempt + below(9 + 2 * attempt)
+        return f"{max(year, 1):04}-{1 + below(12):02}-{1 + below(28):02}"
     if kind == "iban":
         return c[:2] + "".join(like(x, below) for x in c[2:]) + digits(fixed)
     if kind == "key":
@@ -169,10 +224,10 @@ def surrogate(key: bytes, kind: str, c: str, attempt: int) -> str:
         hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", c))
         return "".join(like(x, below, hexadecimal) for x in c) + digits(longer)
     script = script_of(c[0])
-    syllables = lambda n: "".join(SYLLABLES[script][below(len(SYLLABLES[script]))] for _ in range(n)).capitalize()
-    if kind in ("man", "woman") and (kind, script) in FIRST:
+    syllables = lambda n: "".join(SYLLABLES[script][below(len(SYLLABLES[script]))] for _ in range(n))
+    if kind in GENDERS and (kind, script) in FIRST:
         names = FIRST[kind, script]
-        return names[below(len(names))] + ("" if not attempt else "-" + syllables(2 + below(2) + attempt // 4))
+        return names[below(len(names))].lower() + ("" if not attempt else "-" + syllables(2 + below(2) + attempt // 4))
     if kind == "surname" and script in SYLLABLES:
         return syllables(3 + below(2) + attempt // 4)
     return "".join(like(x, below) for x in (c + c[-1] * (attempt // 4) if kind in NAMES else c))
@@ -191,23 +246,33 @@ def untitled(text: str, titled: list[tuple[int, int, str]], gaps: list[tuple[int
     last: dict[str, tuple[str, str]] = {}
     for s, e, kind in titled:
         parts = canon(kind, text[s:e])
-        whole.setdefault(text[s:e], (0, 0, kind, parts))
+        whole.setdefault(folded(text[s:e]), (0, 0, kind, parts))
         last.setdefault(parts[-1][1], (kind, parts[-1][0]))
         for k, p in parts[:-1]:
             given.setdefault(p, (kind, k))
-    word = "|".join(map(re.escape, sorted({*given, *last}, key=lambda x: (-len(x), x))))
+    forms = {x for p in {*given, *last} for x in (cased("Xx", p), p.upper(), "'".join(y[:1].upper() + y[1:] for y in cased("Xx", p).split("'")))} | {w for s, e, _ in titled for w in text[s:e].split(" ")}
+    word = "|".join(map(re.escape, sorted(forms | {x.replace("'", "’") for x in forms}, key=lambda x: (-len(x), x))))
     out = []
     pattern = re.compile(rf"(?<!\w)(?:{word})(?!\w)(?: (?:{word})(?!\w))*")
     for m in (m for s, e in gaps for m in pattern.finditer(text, s, e)):
-        if m[0] in whole:
-            out.append((*m.span(), *whole[m[0]][2:]))
+        if folded(m[0]) in whole:
+            out.append((*m.span(), *whole[folded(m[0])][2:]))
             continue
-        words = m[0].split(" ")
+        words = folded(m[0]).split(" ")
         roles = [(last.get(w) if i == len(words) - 1 else None) or given.get(w) or last[w] for i, w in enumerate(words)]
         out.append((*m.span(), roles[0][0], [(k, w) for (_, k), w in zip(roles, words, strict=True)]))
     return out
 
 
+NEXT_WORD = re.compile(r" ([^\W\d_]+)")
+
+
+def placed(text: str, s: int, e: int) -> bool:
+    """Whether what stands there, or the word after it, is a place's or a body's name."""
+    after = NEXT_WORD.match(text, e)
+    return not PLACES.isdisjoint(text[s:e].split(" ")[1:]) or bool(after) and after[1] in PLACES
+
+
 def mentions(text: str) -> list[Mention]:
     """(start, end, kind, entities) of what is found, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -226,7 +291,10 @@ def mentions(text: str) -> list[Mention]:
             found += [(*m.span(group), kind) for m in pattern.finditer(text)]
     rank = {k: i for i, (k, _, _) in reversed(list(enumerate(PATTERNS)))}
     ranked = [(rank[kind], s, e, kind) for s, e, kind in found]
-    ranked += [(len(PATTERNS), m.start(1), m.end(2), GIVEN[m[1]]) for m in UNTITLED.finditer(text) if m[1] in GIVEN]
+    ranked += [(len(PATTERNS), m.start(1), m.end(2), GIVEN[m[1].capitalize()]) for m in UNTITLED.finditer(text) if m[1].capitalize() in GIVEN and not placed(text, m.start(1), m.end(2))]
+    for hold, pattern in CUES:
+        if hold is None or any(x in text for x in hold):
+            ranked += [(len(PATTERNS) + 1, *m.span(1), GIVEN.get(m[1].split(" ")[0].capitalize(), "person")) for m in pattern.finditer(text) if m[1].split(" ")[0] not in OPENERS and not placed(text, *m.span(1))]
     if not ranked:
         return []
     taken: list[tuple[int, int, str]] = []
@@ -250,10 +318,13 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
         if kind == "email":
             new = parts[0][2].rpartition("@")[0] + "@" + parts[1][2]
             new = "".join(y.upper() if x.isupper() else y for x, y in zip(value, new, strict=False)) if len(new) == len(value) else new
-        elif kind in ("man", "woman"):
-            new = " ".join(p[2] for p in parts)
+        elif kind in GENDERS:
+            new = " ".join(cased(w, p[2]) for w, p in zip(value.split(" "), parts, strict=True))
+        elif kind == "date":
+            new = dated(value, parts[0][2])
         elif kind in ("card", "phone", "ssn", "iban"):
-            new = dress(value, parts[0][2])
+            code = "1" if kind == "phone" and sum(map(str.isdecimal, value)) == len(parts[0][1]) + 1 else ""
+            new = dress(value, code + parts[0][2])
         else:
             new = parts[0][2]
         out += [text[at:s], new]
@@ -287,7 +358,7 @@ def drawn(pairs: DataFrame, key: bytes) -> DataFrame:
 def redrawn(distinct: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate met another's, or an entity of the corpus. Given names are
     held apart across genders, and no part of a name becomes a part of any name of the corpus."""
-    group = F.when(F.col("kind").isin("man", "woman"), "given").otherwise(F.col("kind"))  # within it no two surrogates may meet
+    group = F.when(F.col("kind").isin(*GENDERS), "given").otherwise(F.col("kind"))  # within it no two surrogates may meet
     realm = F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind"))  # within it no surrogate may be real
     entity = F.struct("attempt", "canonical", "kind")
     there = distinct.select(realm.alias("realm"), F.col("canonical").alias("surrogate")).distinct()

@@ -475,6 +475,53 @@ def test_given_names_stay_distinct(spark):
     assert not {w for n in names for w in n.split(" ")} & {*given, *russian, "Smith"}
 
 
+def replacements(text):
+    return surrogates.replaced(text, KEY, {})[0]
+
+
+def test_names_keep_case_and_person():
+    new = replacements("Mr. O'Neil's dog; O'Neil and Mrs. D’Angelo, D'Angelo")
+    assert not re.search("Neil|Angelo", new) and re.fullmatch(r"Mr\. (\w+)'s dog; \1 and Mrs\. (\w+), \2", new)
+    new = replacements("Mr. JOHN SMITH, John Smith, JOHN, Smith")
+    loud, soft, given, last = re.fullmatch(r"Mr\. (\S+ \S+), (\S+ \S+), (\S+), (\S+)", new).groups()
+    assert loud == soft.upper() and soft == soft.title() and given == loud.split(" ")[0] and last == soft.split(" ")[1]
+    assert replacements("Mr. JOHN SMITH") == replacements("Mr. John Smith").upper().replace("MR", "Mr")
+
+
+def test_numbers_with_and_without_country_are_one():
+    one, two = (re.sub(r"\D", "", replacements(x)) for x in ("+1 555 123 4567", "555-123-4567"))
+    assert one == "1" + two != "15551234567" and replacements("+1 555 123 4567").startswith("+1 ") and re.fullmatch(r"\d{3}-\d{3}-\d{4}", replacements("555-123-4567"))
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("Dr. Wu came; Prof. Dr. Keller left.", "Wu|Keller"), ("My name is Wei Zhang.", "Wei|Zhang"), ("Then Priya Patel said no.", "Priya|Patel"), ("Kind regards, Oluwaseun Adeyemi", "Oluwaseun|Adeyemi"), ("Ngozi Okafor, 34, runs", "Ngozi|Okafor"),
+        ("The password is hunter22.", "hunter22"), ("Passport no. C01X00T47 or passport number 533380006", "533380006"), ("born on 12.03.1984 in Bonn", "1984|12.03"), ("DOB: 1990-02-01", "1990-02-01"),
+    ],
+)
+def test_more_that_is_private(text, gone):
+    assert not re.search(gone, replacements(text)), replacements(text)
+
+
+@pytest.mark.parametrize("text", ["Victoria Station", "the Max Planck Institute", "Frank Discussion", "The password is required", "It was born in 1999.", "New York said no", "At Rose Garden we met", "Hent eringre. The Ones said"])
+def test_what_is_not_private_stays(text):
+    assert replacements(text) == text
+
+
+def test_dates_keep_their_format_and_identity():
+    new = replacements("born on 01.02.1990; DOB: 1990-02-01; date of birth 2/1/1990; geboren am 1.2.1990")
+    a, b, c, d = re.fullmatch(r"born on (\S+); DOB: (\S+); date of birth (\S+); geboren am (\S+)", new).groups()
+    iso = tuple(map(int, b.split("-")))
+    assert tuple(map(int, a.split(".")))[::-1] == iso and tuple(map(int, d.split(".")))[::-1] == iso
+    month, day, year = map(int, c.split("/"))
+    assert (year, month, day) == iso and iso != (1990, 2, 1) and re.fullmatch(r"\d\d\.\d\d\.\d{4}", a)
+
+
+def test_surrogates_of_an_empty_table(empty):
+    assert surrogates.pseudonymise(empty, KEY).count() == 0
+
+
 def test_names_without_title_in_the_same_document(spark):
     text = "Smith came. Mrs. Anna Smith's car: Anna Smith (Smith, SMITHSON, Smithson) said Anna's e-mail is smith@a.org; Mr. Paul Smith and Ms. Smith. Paul, Smith-led"
     docs = spark.createDataFrame([(1, text), (2, "Smith and Anna")], "doc_id long, text string")
