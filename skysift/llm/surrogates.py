@@ -294,7 +294,13 @@ def mentions(text: str) -> list[Mention]:
     ranked += [(len(PATTERNS), m.start(1), m.end(2), GIVEN[m[1].capitalize()]) for m in UNTITLED.finditer(text) if m[1].capitalize() in GIVEN and not placed(text, m.start(1), m.end(2))]
     for hold, pattern in CUES:
         if hold is None or any(x in text for x in hold):
-            ranked += [(len(PATTERNS) + 1, *m.span(1), GIVEN.get(m[1].split(" ")[0].capitalize(), "person")) for m in pattern.finditer(text) if m[1].split(" ")[0] not in OPENERS and not placed(text, *m.span(1))]
+            for m in pattern.finditer(text):
+                words = m[1].split(" ")
+                while words and words[0] in OPENERS:
+                    words.pop(0)
+                s = m.end(1) - len(" ".join(words))
+                if len(words) > 1 and not placed(text, s, m.end(1)):
+                    ranked.append((len(PATTERNS) + 1, s, m.end(1), GIVEN.get(words[0].capitalize(), "person")))
     if not ranked:
         return []
     taken: list[tuple[int, int, str]] = []
