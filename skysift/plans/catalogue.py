@@ -21,7 +21,7 @@ from skysift.operators import modes as O
 from skysift.operators import patches as P
 from skysift.operators import retrieval as R
 from skysift.operators import waterfall as W
-from skysift.session import shared_dir, stored
+from skysift.session import scratch_dir, stored
 from skysift.sources import results as RF
 from skysift.sources import tables as S
 from skysift.sources import vector_index as I
@@ -126,7 +126,7 @@ def q04_knn_l2_join_k3(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VEC}, {NEAR} SELECT question_id, pos, label_id, round(dist, 6) AS dist, rank FROM k WHERE rank <= 3 AND dist <= {LRSD_T}")
 def q54_index_search(spark: SparkSession, d: str) -> DataFrame:
     """What q04 finds, from a stored index that is made of the even vectors, appended the odd ones, and opened."""
-    path, labels = f"{shared_dir(spark)}/skysift/index-{uuid.uuid4().hex}", patches(spark, d).withColumnRenamed("patch_idx", "label_id")
+    path, labels = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", patches(spark, d).withColumnRenamed("patch_idx", "label_id")
     I.create(labels.where("label_id % 2 = 0"), path)
     I.append(labels.where("label_id % 2 = 1"), path)
     return I.nearest(phrases(spark, d), I.open_index(spark, path), 3, LRSD_T).near.withColumn("dist", F.round("dist", 6))
@@ -384,7 +384,23 @@ def q19_bbox_normalise_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return n.select("l_orderkey", "l_linenumber", "nx", "ny", G.pixels(F.col("nx"), F.col("width")).alias("px"), G.pixels(F.col("ny"), F.col("height")).alias("py"))
 
 
-@query()
+def drawn_sql() -> str:
+    """The generator's first words follow from its seed; a number below n is the next word's first bits, as many as n has, that say less than n. d: image, x1, y1, x2, y2."""
+    import random
+
+    draw = random.Random(2024)
+    words = ", ".join(str(draw.getrandbits(32)) for _ in range(200))
+    at = lambda n, since: f"list_filter(range({since}, 200), lambda j: (u[j + 1] >> (32 - length(bin({n})))) < {n})[1]"
+    value = lambda n, k: f"(u[{k} + 1] >> (32 - length(bin({n}))))"
+    return f"""
+u AS (SELECT CAST([{words}] AS BIGINT[]) AS u),
+d1 AS (SELECT *, {at("width", "0")} AS k1 FROM i, u), d2 AS (SELECT *, 1 + {value("width", "k1")} AS w, {at("height", "k1 + 1")} AS k2 FROM d1),
+d3 AS (SELECT *, 1 + {value("height", "k2")} AS h, width - w + 1 AS across, {at("(width - w + 1)", "k2 + 1")} AS k3 FROM d2),
+d4 AS (SELECT *, {value("across", "k3")} AS x, height - h + 1 AS down, {at("(height - h + 1)", "k3 + 1")} AS k4 FROM d3),
+d AS (SELECT image, x AS x1, {value("down", "k4")} AS y1, x + w AS x2, {value("down", "k4")} + h AS y2 FROM d4)"""
+
+
+@query(f"WITH {IMG}, {drawn_sql()} SELECT * FROM d")
 def q41_random_subpatch(spark: SparkSession, d: str) -> DataFrame:
     """A box that depends on the image's size alone."""
     made = G.random_subpatch(images(spark, d))
@@ -495,7 +511,7 @@ SELECT file, round(position, 6) AS position, round(color, 6) AS color, round("co
   CASE WHEN bad > 0 THEN bad || ' unreadable lines' WHEN file = 'notes.jsonl' THEN 'no parameters in its name' WHEN n <> items THEN n || ' items, not ' || items END AS reason FROM f, w""")
 def q56_result_files(spark: SparkSession, d: str) -> DataFrame:
     """Result files are written, read back as a folder, and judged whole."""
-    folder = f"{shared_dir(spark)}/skysift/results-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/results-{uuid.uuid4().hex}"
     given = answers(spark, d)
     line = F.to_json(F.struct(F.col("task").alias("Task"), F.col("subtask").alias("Subtask"), F.col("category").alias("Category"), F.col("choices").alias("Answer choices"), F.to_json("truth").alias("Ground truth"), F.coalesce("output", F.lit("")).alias("output")))
     name = F.element_at(F.array(*map(F.lit, RUN_NAMES)), (F.col("doc_id") % 7 + 1).cast("int"))
@@ -627,7 +643,7 @@ h AS (SELECT p_name, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 16 AS i FR
 SELECT p_name, CAST(i AS INT) AS i, round(count(*) / {len(X.TEMPLATES)}, 6) AS x FROM h GROUP BY ALL""")
 def q55_cached_features(spark: SparkSession, d: str) -> DataFrame:
     """What q38 finds, by an encoder behind a cache: some names are encoded and written back, then all are asked for."""
-    path = f"{shared_dir(spark)}/skysift/features-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/features-{uuid.uuid4().hex}"
     names = S.table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.array("p_name").alias("phrases"))
     M.phrase_features(names.where("question_id % 3 = 0"), path, "hashed", X.TEMPLATES)
     found = M.phrase_features(names, path, "hashed", X.TEMPLATES).vectors.select(F.col("phrase").alias("p_name"), "vec")
@@ -851,7 +867,7 @@ def q42_streaming_answers(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, answered into JSON lines, and read again."""
     from skysift.streaming.answers import answer_stream, stream
 
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     table = S.table(spark, d, "events").select("event_type", "value")
     table.write.parquet(f"{base}/in")
     answer_stream(stream(spark, f"{base}/in", table.schema), lambda b: b, f"{base}/out", f"{base}/state").awaitTermination()

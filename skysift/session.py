@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -34,10 +36,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder in the shared one for what this application writes between steps; it is deleted when the driver ends."""
+    at = f"{shared_dir(spark)}/skysift/{spark.sparkContext.applicationId}"
+    if at not in _SCRATCH:
+        _SCRATCH.add(at)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), at)
+    return at
+
+
+_SCRATCH: set[str] = set()
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # the driver ends, and its JVM may have ended before
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: lineage ends there, so a lost executor costs no recomputation."""
+    """df written as a table in the scratch folder and read back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skysift/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,5 +66,4 @@ def drop_stored(*tables: DataFrame) -> None:
     """Deletes the files behind stored() tables that nothing reads any more."""
     for df in tables:
         for f in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(os.path.dirname(f))
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration(), os.path.dirname(f))
