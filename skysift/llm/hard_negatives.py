@@ -300,8 +300,7 @@ def mine(rows: DataFrame, anchor: str, positives: int = 5, negatives: int = 10,
     windows = asked.join(scores, asked["vec_id"] == scores["anchor_id"]).select("vec_id", "label", "vec", "scores")
     found = first(searched(blocks, anchor_blocks(windows, dim, positives), grid, book, positives, negatives, (low, high)), negatives)
     result = stored(found.withColumn("place", F.col("list") + 1).join(best, ["anchor_id", "place"]).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
-    for done in (given, blocks, best):
-        drop_stored(done)
+    drop_stored(given, blocks, best)
     return result
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skysift.llm.shared import drop_stored, row_tag, stored, table
 from skysift.llm.textcols import encoder, mix
-from skysift.session import shared_dir
+from skysift.session import scratch_dir
 
 WINDOW, MASK, LEAST, MOST, END_ID = 16, 0xFF, 64, 2048, 2
 POLY = 0xEDB88320
@@ -155,7 +155,7 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each recipe, rebuilt from the chunk files; fails if any part doesn't verify.
+    """(doc_id, start, n_tokens, ids_crc32) of each recipe, rebuilt from the chunk files; fails if any part doesn't verify. Documents that were repeated have each a row; the store of an empty table gives none.
 
     Documents are not moved: the CRC of a document follows from those of its chunks and their lengths."""
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
@@ -215,6 +215,6 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/skysift/store-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
     write_store(table(spark, sf_dir, "documents"), path)
     return read_store(spark, path)

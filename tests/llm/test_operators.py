@@ -279,6 +279,16 @@ def test_encoder_agrees_with_the_library():
     assert got == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_token_store_of_odd_tables(spark, docs, empty, tmp_path):
+    for name, df in (("empty", empty), ("all", docs)):  # null and repeated ids among all
+        token_store.write_store(df, str(tmp_path / name))
+    assert token_store.read_store(spark, str(tmp_path / "empty")).count() == 0
+    rows = token_store.read_store(spark, str(tmp_path / "all")).orderBy("start").collect()
+    assert len(rows) == len(ROWS) and rows[0].doc_id is None and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    eight = [r for r in rows if r.doc_id == 8]
+    assert len(eight) == 2 and eight[0].ids_crc32 == eight[1].ids_crc32
+
+
 def test_token_store(spark, docs, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), path)
