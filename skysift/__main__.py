@@ -1,4 +1,4 @@
-"""python -m skysift COMMAND ...: patches, accuracy, and any query of the catalogue, from the command line or by spark-submit."""
+"""python -m skysift COMMAND ...: patches, accuracy, sweeps, indexes, features, and any query of the catalogue, from the command line or by spark-submit."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from skysift.operators import evaluation, patches
+from skysift.operators import evaluation, models, patches
 from skysift.session import session
-from skysift.sources import tables
+from skysift.sources import results, tables, vector_index
 
 
 def main(given: list[str] | None = None) -> None:
@@ -26,6 +26,21 @@ def main(given: list[str] | None = None) -> None:
     one.add_argument("name")
     one.add_argument("tables")
     one.add_argument("out")
+    one = commands.add_parser("sweep", help="the table of a folder of result files (.jsonl), with reasons for those that don't count")
+    one.add_argument("results")
+    one.add_argument("out")
+    one.add_argument("--items", type=int, required=True, help="items of the task that a whole file has")
+    one = commands.add_parser("index", help="an index of label vectors (Parquet: label_id, vec), made or appended to; out gets the labels that were added")
+    one.add_argument("labels")
+    one.add_argument("index")
+    one.add_argument("out")
+    one = commands.add_parser("encode", help="features of texts (Parquet: the key and a column of texts), from a cache that they are written back to; out gets key and vector")
+    one.add_argument("texts")
+    one.add_argument("cache")
+    one.add_argument("out")
+    one.add_argument("--key", default="id")
+    one.add_argument("--column", default="text")
+    one.add_argument("--encoder", default="hashed", choices=sorted(models.ENCODERS))
     args = parser.parse_args(given)
     spark = session()
     if args.command == "patches":
@@ -35,6 +50,18 @@ def main(given: list[str] | None = None) -> None:
         if args.subtask:
             rows = rows.where(F.col("subtask") == args.subtask)
         out = evaluation.accuracy(evaluation.judged(rows.withColumnsRenamed({"answer_choices": "choices", "ground_truth": "truth"})))
+    elif args.command == "sweep":
+        out = results.sweep(results.read_results(spark, args.results), args.items)
+    elif args.command == "index":
+        labels = spark.read.parquet(args.labels)
+        if not vector_index.create(labels, args.index):
+            vector_index.append(labels, args.index)
+        out = labels.select("label_id")
+    elif args.command == "encode":
+        got = models.features(spark.read.parquet(args.texts), args.cache, [args.key], args.column, args.encoder)
+        for r in got.failed.limit(20).collect():
+            print(f"{r[args.key]}: {r.error}")
+        out = got.vectors
     else:
         from skysift.plans.catalogue import QUERIES
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # What introduces an answer, tried in this order; two of them are run together, as the results to match have it.
 PREFIXES = ["The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:", "Answer"]
+# The parts of prompts.
 CHOICES_HEAD, ANSWER_TAIL = " The choices are listed below: \n", "\nThe best answer is:"
 TARGET_QUESTION = "What is the target of interest in this question? Answer in short phrases only."
 BOX_REQUEST = "<image>\nPlease provide the bounding box coordinate of the region this sentence describes: <ref>{}</ref>."
-
 LOOK = "Look at the image and answer the question based on the provided additional information (location of sub-patches). \nQuestion: "
 # The texts that a phrase is put in before it is encoded.
 TEMPLATES = [

@@ -855,6 +855,99 @@ def q53_retrieval_prompts(spark: SparkSession, d: str) -> DataFrame:
     return W.retrieved_prompts(numbered_questions(spark, d), *tiered(spark, d, "mean"), INSTRUCTION)[0].select("question_id", "prompt", "path")
 
 
+# ---------------------------------------------------------------- boxes of patches in words, detected and drawn boxes, files
+
+OWN_BOX = "b AS (SELECT vec_id AS patch_idx, vec_id // 25 AS question_id, vec_id % 40 * 20 AS x1, vec_id % 30 * 20 AS y1, vec_id % 40 * 20 + 100 AS x2, vec_id % 30 * 20 + 80 AS y2 FROM embeddings)"
+
+
+@query(f"""
+WITH {OWN_BOX}, c AS (SELECT *, x1 - 30.5 AS l, y1 - 20.25 AS t, least(greatest(x1 + 50.0 - 75, 0), 900) AS sx, least(greatest(y1 + 40.0 - 60, 0), 900) AS sy FROM b)
+SELECT patch_idx, '<' || CAST(trunc(greatest(l, 0)) AS INT) || '><' || CAST(trunc(greatest(t, 0)) AS INT) || '><' || x2 || '><' || y2 || '>|<' || patch_idx % 90 || '>' AS region, x2 - x1 AS w, y2 - y1 AS h,
+  CAST(trunc(sx / 900 * 1800) AS INT) AS px, CAST(trunc(sy / 900 * 700) AS INT) AS py, CAST(trunc(l) AS INT) AS whole FROM c""")
+def q58_box_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes and angles in words, sides from ranges, whole numbers, and cues scaled and brought to an image's pixels."""
+    p = own_patches(spark, d).withColumns({"l": F.col("x1") - 30.5, "t": F.col("y1") - 20.25})
+    ranges = G.sides_of_ranges(F.array("x1", "x2"), F.array("y1", "y2"))
+    text = X.region_text(F.col("l"), F.col("t"), F.col("x2"), F.col("y2"), F.col("patch_idx") % 90)
+    side = lambda v: F.lit(float(v))
+    _, pixels = G.cue_boxes(F.col("x1") + 50.0, F.col("y1") + 40.0, side(100), side(80), 1.5, side(0), side(900), F.lit(1800), F.lit(700))
+    return p.select("patch_idx", text.alias("region"), ranges[2].alias("w"), ranges[3].alias("h"), pixels[0].alias("px"), pixels[1].alias("py"), G.whole(F.array(F.array("l", "t")))[0][0].alias("whole"))
+
+
+QUESTIONS_SQL = """
+e AS (SELECT DISTINCT vec_id // 25 AS question_id FROM embeddings),
+q AS (SELECT question_id, 'What is in region ' || question_id || '?' AS text, 'What is in region ' || question_id || '? The choices are listed below: ' || chr(10) || '(A) number ' || question_id || chr(10) || '(B) nothing' || chr(10) || 'Select one.' || chr(10) || 'The best answer is:' AS plain FROM e)"""
+
+
+def naming() -> M.Ask:
+    """A language model that names the region in the question."""
+    return lambda prompts: [f" region {p.partition('region ')[2].partition('?')[0]} " for p in prompts]
+
+
+def pointing() -> M.Ask:
+    """A vision model that finds every third region, where its number says."""
+
+    def point(prompt: str) -> str:
+        n = int(prompt.partition("<ref>region ")[2].partition("<")[0])
+        return f"there: <box>[[{n % 100}, {n % 90}, {n % 100 + 300}, {n % 90 + 400}]]</box>" if n % 3 == 0 else "nothing"
+
+    return lambda prompts: list(map(point, prompts))
+
+
+@query(f"""
+WITH {QUESTIONS_SQL}, p AS (SELECT *, question_id % 100 AS x1, question_id % 90 AS y1, question_id % 100 + 300 AS x2, question_id % 90 + 400 AS y2 FROM q)
+SELECT question_id, CASE WHEN question_id % 3 = 0 THEN {HEAD} || {patch_sql("1", "{}")} || {LOOKING} || plain ELSE plain END AS prompt, 'region ' || question_id AS target_of_interest, CASE WHEN question_id % 3 = 0 THEN CAST(trunc(x2 / 1000 * 900) AS INT) END AS crop_x2 FROM p""")
+def q59_mode_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Targets named and boxes found by models behind callables."""
+    made = O.prompts("baseline_detection", numbered_questions(spark, d), INSTRUCTION, language=naming, vision=pointing)
+    return made.select("question_id", "prompt", "target_of_interest", F.get("crops", F.lit(0))["x2"].alias("crop_x2"))
+
+
+@query(f"""
+WITH {QUESTIONS_SQL}, i AS (SELECT question_id AS image, 200 + question_id % 7 AS width, 100 + question_id % 5 AS height FROM q), {drawn_sql()},
+p AS (SELECT q.question_id, plain, d.x1 / width * 1000 AS x1, d.y1 / height * 1000 AS y1, d.x2 / width * 1000 AS x2, d.y2 / height * 1000 AS y2 FROM q JOIN d ON d.image = question_id JOIN i ON i.image = question_id)
+SELECT question_id, {HEAD} || {patch_sql("1", "{}")} || {LOOKING} || plain AS prompt FROM p""")
+def q60_mode_drawn_box(spark: SparkSession, d: str) -> DataFrame:
+    """A box that depends on the image's size alone, as evidence."""
+    sized = numbered_questions(spark, d).withColumns({"width": (200 + F.col("question_id") % 7).cast("int"), "height": (100 + F.col("question_id") % 5).cast("int")})
+    return O.prompts("detection_gt_fake", sized, INSTRUCTION).select("question_id", "prompt")
+
+
+@query("""
+WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Reasoning' ELSE 'Perception' END AS task, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS answers, length(coalesce(text, '')) AS n FROM documents WHERE doc_id IS NOT NULL)
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'json' ELSE 'jsonl' END AS kind, task, count(*) AS rows, CAST(sum(answers) AS BIGINT) AS answers, CAST(sum(n) AS BIGINT) AS characters FROM a GROUP BY ALL""")
+def q61_question_files(spark: SparkSession, d: str) -> DataFrame:
+    """Questions written as JSON lines, and each fifth one in an array of its own, read by what their file's name ends with."""
+    docs = S.table(spark, d, "documents").where("doc_id IS NOT NULL")
+    truth = F.when(F.col("doc_id") % 2 == 0, F.lit("A")).otherwise(F.lit('["A", "B"]'))
+    task = F.when(F.col("doc_id") % 3 == 0, "Reasoning").otherwise("Perception")
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("Question_id"), task.alias("Task"), F.coalesce("text", F.lit("")).alias("Text"), truth.alias("Ground truth")))
+    base, array = f"{scratch_dir(spark)}/questions-{uuid.uuid4().hex}", F.col("doc_id") % 5 == 0
+    docs.where(~array).select(line.alias("value")).write.text(f"{base}/q.jsonl")
+    docs.where(array).select(F.concat(F.lit("["), line, F.lit("]")).alias("value")).write.option("lineSep", "\n").text(f"{base}/a.json")
+    lines = S.read_questions(spark, f"{base}/q.jsonl").withColumn("kind", F.lit("jsonl"))
+    arrays = spark.read.text(f"{base}/a.json").select(F.explode(F.from_json("value", S.T.ArrayType(S.QUESTION))).alias("q")).select("q.*")
+    both = lines.select("kind", "task", "text", "ground_truth").unionByName(S.named(arrays).withColumn("kind", F.lit("json")).select("kind", "task", "text", "ground_truth"))
+    return both.groupBy("kind", "task").agg(F.count("*").alias("rows"), F.sum(F.size("ground_truth")).alias("answers"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("""
+WITH m AS (SELECT 'v' || vec_id || '.png' AS img_name, 'a view, of "label" ' || label || chr(10) || 'number ' || vec_id AS text, label, vec_id, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings)
+SELECT label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters, round(sum(first), 5) AS first, max(img_name) AS last FROM m GROUP BY label""")
+def q62_shards_and_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Feature shards and their captions, two files of which the later counts, written, read, joined, stored by label and read again."""
+    base, v = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}", vectors(spark, d)
+    name = F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(".png"))
+    S.write_store(v.select(F.concat(F.lit("some/folder/"), name).alias("img_name"), "label", F.col("vec").alias("feat")), f"{base}/shards")
+    said = F.concat(F.lit('a view, of "label" '), F.col("label").cast("string"), F.lit("\n"), F.lit("number "), F.col("vec_id").cast("string"))
+    for k, text in enumerate((F.lit("to be replaced"), said)):
+        v.select(name.alias("file_name"), text.alias("text")).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{base}/captions-{k}")
+    captions = [S.read_metadata(spark, [f"{base}/captions-{k}"]).select(F.lit(k).alias("pos"), F.col("file_name").alias("img_name"), "text") for k in (0, 1)]
+    S.write_store(S.joined_metadata(S.read_shards(spark, f"{base}/shards"), captions[0].unionByName(captions[1])), f"{base}/store", by=["label"])
+    read = S.read_store(spark, f"{base}/store")
+    return read.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"), F.round(F.sum(F.col("feat")[0].cast("double")), 5).alias("first"), F.max("img_name").alias("last"))
+
+
 @query(f"WITH {BOX}, o AS (SELECT *, row_number() OVER () AS r, (x1 + x2) / 2 - 300 AS cx, (y1 + y2) / 2 - 200 AS cy, x2 - x1 AS w, y2 - y1 AS h, radians(l_discount * 900) AS a FROM x), z AS (SELECT *, abs(w / 2 * cos(a)) + abs(h / 2 * sin(a)) AS dx, abs(w / 2 * sin(a)) + abs(h / 2 * cos(a)) AS dy FROM o) SELECT l_orderkey, l_linenumber, round(greatest(0, cx - dx), 4) AS l, round(greatest(0, cy - dy), 4) AS t FROM z")
 def q50_region_bounds(spark: SparkSession, d: str) -> DataFrame:
     cx, cy = (F.col("x1") + F.col("x2")) / 2 - 300, (F.col("y1") + F.col("y2")) / 2 - 200

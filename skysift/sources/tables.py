@@ -30,9 +30,13 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions or answers from .jsonl (one object a line) or .json (an array); other suffixes are refused."""
     if not path.endswith((".json", ".jsonl")):
         raise ValueError(f"{path}: neither .json nor .jsonl")
-    df = spark.read.schema(QUESTION).json(path, multiLine=path.endswith(".json"))
+    return named(spark.read.schema(QUESTION).json(path, multiLine=path.endswith(".json")))
+
+
+def named(questions: DataFrame) -> DataFrame:
+    """Rows of QUESTION under the names that the operators use; one true answer or several are an array."""
     names = {"Question_id": "question_id", "Task": "task", "Subtask": "subtask", "Category": "category", "Text": "text", "Image": "image", "Answer choices": "answer_choices"}
-    return df.withColumnsRenamed(names).withColumn("ground_truth", one_or_many(F.col("Ground truth"))).drop("Ground truth")
+    return questions.withColumnsRenamed(names).withColumn("ground_truth", one_or_many(F.col("Ground truth"))).drop("Ground truth")
 
 
 def write_answers(df: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from skysift.operators import modes as O
 from skysift.session import shared_dir
 from skysift.sources import images as I
 from skysift.sources import tables as S
+from skysift.sources import vector_index
 
 PLAIN = "Which? The choices are listed below: \n(A) a\n(B) b\nPick.\nThe best answer is:"
 HEAD = "<image>\nAdditional information:\n"
@@ -256,6 +257,17 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     cli.main(["accuracy", str(tmp_path / "a.jsonl"), str(tmp_path / "acc"), "--subtask", "s"])
     assert spark.read.parquet(str(tmp_path / "acc")).where("level = 7").first().accuracy == 1.0
+    (tmp_path / "results").mkdir()
+    (tmp_path / "results" / "d_s_m_cc_clip_0.3_0.1_0.5_mean.jsonl").write_text("{")
+    cli.main(["sweep", str(tmp_path / "results"), str(tmp_path / "sweep"), "--items", "2"])
+    assert spark.read.parquet(str(tmp_path / "sweep")).first().reason == "1 unreadable lines"
+    spark.createDataFrame([(1, [0.0, 1.0])], "label_id long, vec array<double>").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string").write.parquet(str(tmp_path / "t"))
+    for k in (1, 2):
+        cli.main(["index", str(tmp_path / "l"), str(tmp_path / "index"), str(tmp_path / f"added{k}")])
+        assert vector_index.open_index(spark, str(tmp_path / "index")).blocks.count() == k
+        cli.main(["encode", str(tmp_path / "t"), str(tmp_path / "cache"), str(tmp_path / f"vectors{k}")])
+    assert spark.read.parquet(str(tmp_path / "vectors2")).count() == 2 and len(list((tmp_path / "cache").iterdir())) == 1
     with pytest.raises(SystemExit):
         cli.main(["query", "none", "x", "y"])
 
